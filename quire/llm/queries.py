@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.llm.common import read_table
 from quire.llm.exact_dedup import exact_groups
 from quire.llm.packing import pack
+from quire.llm.passage_dedup import passage_dedup
+from quire.llm.simhash import near_groups
+from quire.llm.suffix_dedup import suffix_dedup
 from quire.llm.token_codes import read_token_files, write_token_files
 
 
@@ -15,18 +18,33 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op6_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(read_table(spark, sf_dir, "documents")))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(read_table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_token_codes": op6_token_codes,
+    "op7_simhash": op7_simhash,
     "op9_packing": op9_packing,
+    "op10_passage_dedup": op10_passage_dedup,
 }
 
 ORACLE_SQL = {
