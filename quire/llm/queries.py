@@ -5,8 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.llm.chat import format_chats
 from quire.llm.common import read_table
+from quire.llm.crf_quality import quality_scores
 from quire.llm.exact_dedup import exact_groups
+from quire.llm.gif import gif_features, store_as_gif
 from quire.llm.packing import pack
 from quire.llm.passage_dedup import passage_dedup
 from quire.llm.simhash import near_groups
@@ -14,10 +17,22 @@ from quire.llm.suffix_dedup import suffix_dedup
 from quire.llm.token_codes import read_token_files, write_token_files
 
 
+def op1_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(read_table(spark, sf_dir, "conversations"))
+
+
+def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif_features(store_as_gif(read_table(spark, sf_dir, "documents")))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -39,7 +54,10 @@ def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_crf_quality": op1_crf_quality,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_chat_format": op3_chat_format,
+    "op4_gif_media": op4_gif_media,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_token_codes": op6_token_codes,
     "op7_simhash": op7_simhash,
@@ -57,4 +75,30 @@ ORACLE_SQL = {
         FROM documents WHERE doc_id IS NOT NULL
         WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op3_chat_format": """
+        WITH turns AS (
+            SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), logged AS (
+            SELECT conv_id, count(*) AS n, list({'r': role, 't': text} ORDER BY turn, role, text) AS said
+            FROM turns GROUP BY conv_id
+        ), heads AS (
+            SELECT conv_id, n, k, list_slice(said, 1, k) AS head
+            FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM logged)
+        ), best AS (
+            SELECT k, head, max(n) AS best_n,
+                   max({'n': n, 'neg': -conv_id})['neg'] AS best_neg
+            FROM heads GROUP BY k, head
+        ), kept AS (
+            SELECT logged.conv_id, logged.n FROM logged
+            JOIN best ON best.k = logged.n AND best.head = logged.said
+            WHERE best_n = logged.n AND best_neg = -logged.conv_id
+        )
+        SELECT t.conv_id, CAST(floor(t.turn / 4096.0) AS BIGINT) AS part,
+               any_value(kept.n) AS n_turns, count(*) AS part_turns,
+               string_agg('<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |')
+                          || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
+        FROM turns t JOIN kept USING (conv_id)
+        GROUP BY t.conv_id, part
+    """,
 }
