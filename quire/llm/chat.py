@@ -59,7 +59,7 @@ def prefixes(rows: DataFrame) -> DataFrame:
     so_far = Window.partitionBy("conv_id", "block").orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rolled = placed.select("conv_id", "block", "k", F.bit_xor("g1").over(so_far).alias("r1"), F.bit_xor("g2").over(so_far).alias("r2"))
     return rolled.join(sums, ["conv_id", "block"]).select(
-        "conv_id", "k", F.col("r1").bitwiseXOR("b1").alias("h1"), F.col("r2").bitwiseXOR("b2").alias("h2")
+        "conv_id", "k", F.col("r1").bitwiseXOR(F.col("b1")).alias("h1"), F.col("r2").bitwiseXOR(F.col("b2")).alias("h2")
     )
 
 

@@ -12,6 +12,7 @@ from quire.llm.exact_dedup import exact_groups
 from quire.llm.gif import gif_features, store_as_gif
 from quire.llm.packing import pack
 from quire.llm.passage_dedup import passage_dedup
+from quire.llm.sentencepiece_scan import encode_pieces, piece_summary
 from quire.llm.simhash import near_groups
 from quire.llm.suffix_dedup import suffix_dedup
 from quire.llm.token_codes import read_token_files, write_token_files
@@ -45,6 +46,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_summary(encode_pieces(read_table(spark, sf_dir, "documents")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_token_codes": op6_token_codes,
     "op7_simhash": op7_simhash,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_packing": op9_packing,
     "op10_passage_dedup": op10_passage_dedup,
 }
