@@ -131,7 +131,7 @@ def is_arabic_only(c: Column | str) -> Column:
 def english_share(c: Column | str) -> tuple[Column, Column]:
     """(tokens, of them English function words) of a line, code and link targets left out."""
     plain = replace(replace(c, P.INLINE_CODE, " "), r"\]\([^)]*\)", "]")
-    words = F.filter(F.transform(find_all(F.lower(plain), r"[a-z']+"), lambda w: F.trim(F.lit("'"), w)), lambda w: w != "")
+    words = F.filter(F.transform(find_all(F.lower(plain), r"[a-z']+"), lambda w: F.trim(w, F.lit("'"))), lambda w: w != "")
     stop = F.array(*[F.lit(w) for w in P.ENGLISH])
     return F.size(words).cast("long"), F.size(F.filter(words, lambda w: F.array_contains(stop, w))).cast("long")
 

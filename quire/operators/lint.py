@@ -24,6 +24,11 @@ def finding(severity: str, code: str, item: Column, n: Column) -> Column:
     return F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), item.cast("string").alias("item"), n.cast("long").alias("n")).cast(FINDING)
 
 
+def _items(severity: str, code: str, word: str, items: Column) -> Column:
+    """A finding per (item, n) struct."""
+    return F.transform(items, lambda m: finding(severity, code, F.concat(F.lit(word), m["item"]), m["n"]))
+
+
 def _if(condition: Column, found: Column) -> Column:
     return F.when(F.coalesce(condition, F.lit(False)), F.array(found)).otherwise(F.array().cast(f"array<{FINDING}>"))
 
@@ -93,9 +98,10 @@ def check_structure(src: Column, out: Column) -> Column:
         found.append(_if(a[name] != b[name], finding("error", "E_STRUCTURE", F.lit(name), b[name] - a[name])))
     for name in ("images", "links"):
         for word, more in (("missing", bag_minus(a[name], b[name])), ("extra", bag_minus(b[name], a[name]))):
-            found.append(F.transform(more, lambda m, w=f"{name} {word} ": finding("error", "E_STRUCTURE", F.concat(F.lit(w), m["item"]), m["n"])))
+            found.append(_items("error", "E_STRUCTURE", f"{name} {word} ", more))
     for word, more in (("missing", set_minus(a["footnotes"], b["footnotes"])), ("extra", set_minus(b["footnotes"], a["footnotes"]))):
-        found.append(F.transform(more, lambda m, w=f"footnotes {word} ": finding("error", "E_STRUCTURE", F.concat(F.lit(w), m), F.lit(1))))
+        counted = F.transform(more, lambda m: F.struct(m.alias("item"), F.lit(1).alias("n")))
+        found.append(_items("error", "E_STRUCTURE", f"footnotes {word} ", counted))
     n, m = a["arabic_chars"], b["arabic_chars"]
     found.append(_if((n > 0) & ~((m * 10 >= n * 9) & (m * 10 <= n * 11)), finding("error", "E_STRUCTURE", F.lit("arabic_chars"), m - n)))
     return F.concat(*found)
@@ -162,6 +168,10 @@ def check_prophet(out: Column) -> Column:
     return F.transform(F.slice(missed, 1, 5), lambda a: finding("warning", "W_HONORIFIC", a, F.lit(1)))
 
 
+def _lacking(pattern: str):
+    return lambda a: ~a.rlike(pattern)
+
+
 def check_term_honorifics(out: Column, expected: Sequence[tuple[str, Sequence[str]]]) -> Column:
     """expected: (target, forms of its honorific); each target must have a form within 30 characters, citations aside."""
     prose, _ = prose_lines(out)
@@ -172,8 +182,8 @@ def check_term_honorifics(out: Column, expected: Sequence[tuple[str, Sequence[st
         if not target or not forms:
             continue
         after = T.find_all(low, P.whole_word(target.lower(), "") + r"(?=([\s\S]{0,30}))", 1)
-        has = lambda a, fs=forms: F.exists(F.array(*[F.lit(f.strip("() ").lower()) for f in fs]), lambda f: a.contains(f))
-        misses = F.size(F.filter(after, lambda a, h=has: ~h(a)))
+        wanted = "|".join(rf"\Q{f.strip('() ').lower()}\E" for f in forms)
+        misses = F.size(F.filter(after, _lacking(wanted)))
         found.append(_if(misses > 0, finding("warning", "W_HONORIFIC", F.lit(target), misses)))
     return F.concat(*found) if found else F.array().cast(f"array<{FINDING}>")
 
