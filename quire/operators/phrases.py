@@ -93,4 +93,4 @@ def candidates(docs: DataFrame, known: DataFrame | None = None, least: int = 2,
     second = rest.groupBy("phrase").agg(F.min(place).alias("two"))
     return best.join(second, "phrase", "left").select(
         F.col("phrase").alias("source"), "frequency", F.array_compact(F.array("one.context", "two.context")).alias("contexts")
-    )
+    ).orderBy(F.desc("frequency"), "source").limit(most)

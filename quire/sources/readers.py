@@ -175,8 +175,7 @@ def json_relation(spark: SparkSession, path: str, schema: str, default: DataFram
     empty = default if default is not None else spark.createDataFrame([], schema)
     try:
         rows = spark.read.schema(f"{schema}, _broken string").option("multiLine", True).option("columnNameOfCorruptRecord", "_broken").json(path)
-        good = rows.where("_broken is null").drop("_broken")
-        return good if not rows.where("_broken is not null").limit(1).count() else empty
+        return empty if rows.where("_broken is not null").take(1) else rows.drop("_broken")
     except Exception as e:  # noqa: BLE001 - only a missing path is tolerated
         if "PATH_NOT_FOUND" not in str(e):
             raise

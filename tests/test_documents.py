@@ -24,7 +24,7 @@ def test_whole_words_are_unicode_words(spark):
 
 
 @pytest.mark.parametrize("line,want", [
-    ("The Book of Faith", False), ("The Great Book", True), ("INTRODUCTION TO IT", True), ("Ends here.", False),
+    ("The Book of Faith", True), ("the book of Faith", False), ("The Great Book", True), ("INTRODUCTION TO IT", True), ("Ends here.", False),
     ("7", False), ("Trailing Comma,", False), ("ab", False), ("One Two Three Four Five Six Seven Eight Nine Ten Eleven Twelve Thirteen", False),
 ])
 def test_heading_candidates(spark, line, want):
@@ -72,7 +72,7 @@ def test_page_numbers_on_the_spine_go():
 
 
 def test_reflow():
-    pages = "\f".join(f"My Book\nThis is a long line of the page that wraps and goes on with a hyphen-\nated word in it to the end.\n{i}\n" for i in range(1, 6))
+    pages = "\f".join(f"My Book\nThis is line {i} of the page that wraps and goes on with a hyphen-\nated word in it to the end of {i}.\n{i}\n" for i in range(1, 6))
     got = segment.reflow_text(pages)
     assert "My Book" not in got and "hyphenated word" in got and "\n1\n" not in got
     got = segment.reflow_text("INTRODUCTION\n\nSome prose that is long enough to be a line of prose here.\n1. first item of the list\n2. second item of the list\n")
