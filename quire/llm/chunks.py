@@ -10,19 +10,18 @@ bucket fits into one task whatever the size of the whole.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import documents, parts_for, text_bytes
 
-CHUNK_BYTES = 8 << 20
-BUCKET_BYTES = 32 << 20
 _HELD = 32 << 20
 BLOBS = "chunk long, bucket long, kind int, blob binary"
 _BLOB = [("chunk", pa.int64()), ("bucket", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())]
@@ -74,7 +73,15 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
+def chunk_size(spark: SparkSession) -> int:
+    """Text bytes per chunk such that a task's arrays fit beside an executor's heap: 1/400 of
+    it, 4 MB at least and 256 MB at most.  Larger executors mean fewer and larger blobs."""
+    named = spark.conf.get("spark.executor.memory", "1g").lower()
+    number, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", named).groups()
+    return min(256 << 20, max(4 << 20, int(number) * {"k": 1 << 10, "": 1 << 20, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}[unit] // 400))
+
+
+def chunked(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
     """The documents as blobs, partitioned by chunk, and the bytes of all texts."""
     rows = documents(docs)
     total = text_bytes(rows)

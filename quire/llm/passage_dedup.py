@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from quire.llm.anchors import _TABLE, mix64
 from quire.llm.chunks import (
-    BUCKET_BYTES, CHUNK_BYTES, BLOBS, Texts, answer, ask, blob_table, chunked, entry_blobs, hear, heard_bits,
+    BLOBS, Texts, answer, ask, blob_table, chunk_size, chunked, entry_blobs, hear, heard_bits,
     parts_for, reply_shared, split_by_bucket,
 )
 
@@ -163,7 +163,7 @@ def _cut(buckets: int, window: int, period: int, cover: tuple[int, ...], with_te
 
 def passage_dedup(
     docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER,
-    chunk_bytes: int = CHUNK_BYTES, with_text: bool = False,
+    chunk_bytes: int | None = None, with_text: bool = False,
 ) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256 (and kept_text).
 
@@ -171,8 +171,9 @@ def passage_dedup(
     else, in the same document or another, goes; all copies go.  Windows are judged on the
     input.  Null, empty and blank texts have no words.  Repeated rows are copies of each other.
     """
+    chunk_bytes = chunk_bytes or chunk_size(docs.sparkSession)
     chunks, total = chunked(docs, chunk_bytes)
-    buckets = parts_for(total, BUCKET_BYTES if chunk_bytes == CHUNK_BYTES else chunk_bytes, 6)
+    buckets = parts_for(total, chunk_bytes * 3 // 2, 6)
 
     def first(texts: Texts) -> list[tuple[int, bytes]]:
         c = _Chunk(texts, buckets, window, period, cover)

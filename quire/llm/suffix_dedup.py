@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.anchors import anchor_runs, mix64
 from quire.llm.chunks import (
-    BUCKET_BYTES, CHUNK_BYTES, BLOBS, Texts, answer, ask, blob_table, chunked, entry_blobs, expand, hear, heard_bits,
+    BLOBS, Texts, answer, ask, blob_table, chunk_size, chunked, entry_blobs, expand, hear, heard_bits,
     parts_for, reply_shared, split_by_bucket, squeeze, unsqueeze,
 )
 
@@ -328,7 +328,7 @@ def _cut(buckets: int, window: int, gram: int, with_text: bool):
 
 
 def suffix_dedup(
-    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, chunk_bytes: int = CHUNK_BYTES, with_text: bool = False
+    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, chunk_bytes: int | None = None, with_text: bool = False
 ) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text).
 
@@ -338,8 +338,9 @@ def suffix_dedup(
     share.  kept_text drops the bytes of characters that a cut has split; null and empty
     texts give zeros.
     """
+    chunk_bytes = chunk_bytes or chunk_size(docs.sparkSession)
     chunks, total = chunked(docs, chunk_bytes)
-    buckets = parts_for(total, BUCKET_BYTES if chunk_bytes == CHUNK_BYTES else chunk_bytes, 6)
+    buckets = parts_for(total, chunk_bytes * 3 // 2, 6)
 
     def first(texts: Texts) -> list[tuple[int, bytes]]:
         c = _Chunk(texts, buckets, window, gram)
