@@ -30,6 +30,12 @@ def documents(docs: DataFrame) -> DataFrame:
     ).where(F.col("doc_id").isNotNull())
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs, all columns whatever their names, whose doc_id is not null and not in gone."""
+    ids = gone.select(F.col("doc_id").alias("gone_id"))
+    return docs.where(docs["doc_id"].isNotNull()).join(ids, docs["doc_id"].cast("long") == ids["gone_id"], "left_anti")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir.
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import documents
+from quire.llm.common import documents, without
 from quire.llm.passage_dedup import word_hashes
 
 ACCEPT = 0.7
@@ -254,5 +254,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, *
 
 def keep_good(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """The rows of docs, all columns, that the classifier accepts."""
-    bad = quality_scores(docs, labels, accept).where("predicted = 0").select(F.col("doc_id").alias("__bad"))
-    return docs.where(docs["doc_id"].isNotNull()).join(bad, docs["doc_id"] == F.col("__bad"), "left_anti")
+    return without(docs, quality_scores(docs, labels, accept).where("predicted = 0"))

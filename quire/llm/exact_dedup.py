@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import documents
+from quire.llm.common import documents, without
 
 SALTS = 16
 
@@ -61,5 +61,4 @@ def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that stay; a null text stands for the empty text."""
-    gone = exact_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.where(docs["doc_id"].isNotNull()).join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    return without(docs, exact_groups(docs).where(~F.col("kept")))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import documents, parts_for, stash
+from quire.llm.common import documents, parts_for, stash, without
 
 WORDS = 4
 BITS = 4
@@ -256,5 +256,4 @@ def near_groups(docs: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFram
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns: of each group the row with the smallest doc_id stays."""
-    gone = near_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.where(docs["doc_id"].isNotNull()).join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    return without(docs, near_groups(docs).where("doc_id <> component_id"))

@@ -277,7 +277,7 @@ def _reply_windows(window: int, gram: int):
 
 # --- the end: spans out of the chunk's texts ---
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, source_sha256 string, kept_text string"
 
 
 def _cut(buckets: int, window: int, gram: int, with_text: bool):
@@ -319,10 +319,11 @@ def _cut(buckets: int, window: int, gram: int, with_text: bool):
                 spans = int(np.count_nonzero(cut[1:] & ~cut[:-1])) + int(cut[0])
             else:
                 kept, spans = c.data[end - size : end], 0
-            rows.append((doc_id, size, size - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None))
-        kinds = [pa.int64()] * 4 + [pa.string()] * 2
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-        return pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names=names)
+            source = hashlib.sha256(c.data[end - size : end]).hexdigest() if with_text else None
+            rows.append((doc_id, size, size - len(kept), spans, hashlib.sha256(kept).hexdigest(), source, kept.decode(errors="ignore") if with_text else None))
+        kinds = [pa.int64()] * 4 + [pa.string()] * 3
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "source_sha256", "kept_text"]
+        return pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True)], names=names)
 
     return run
 
@@ -350,12 +351,16 @@ def suffix_dedup(
     asked = hear(chunks, one, _second_question(buckets, window, gram), BLOBS)
     two = answer(asked, buckets, _reply_windows(window, gram), 2)
     done = hear(chunks, one.union(two), _cut(buckets, window, gram, with_text), RESULT)
-    return done if with_text else done.drop("kept_text")
+    return done if with_text else done.drop("source_sha256", "kept_text")
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with text reduced to what no earlier document has; n_chars follows."""
-    kept = suffix_dedup(docs, with_text=True).select(F.col("doc_id").alias("__id"), "kept_text")
-    joined = docs.join(kept.dropDuplicates(["__id"]), docs["doc_id"] == F.col("__id"))
-    new = {"text": F.col("kept_text")} | ({"n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return joined.withColumns(new).select(*docs.columns)
+    """docs, all columns, with text reduced to what no earlier document has; n_chars follows.
+
+    Rows without doc_id are left out; a null text becomes the empty text.
+    """
+    kept = suffix_dedup(docs, with_text=True).select("doc_id", "source_sha256", "kept_text").distinct()
+    source = F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256)
+    joined = docs.join(kept, (docs["doc_id"].cast("long") == kept["doc_id"]) & (source == kept["source_sha256"]))
+    new = {"text": kept["kept_text"], "n_chars": F.length(kept["kept_text"]).cast("long")}
+    return joined.select(*[new[c].alias(c) if c in new else docs[f"`{c}`"] for c in docs.columns])
