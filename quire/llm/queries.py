@@ -107,4 +107,46 @@ ORACLE_SQL = {
         FROM turns t JOIN kept USING (conv_id)
         GROUP BY t.conv_id, part
     """,
+    "op5_suffix_dedup": """
+        WITH d AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents WHERE doc_id IS NOT NULL
+        ), n AS (
+            SELECT doc_id, h, length(h) // 2 AS n FROM d
+        ), s AS (
+            SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS win
+            FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM n WHERE n >= 50)
+        ), dup AS (
+            SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS low FROM s) WHERE low < doc_id
+        ), gone AS (
+            SELECT DISTINCT doc_id, i + k AS p FROM dup, range(50) AS r(k)
+        ), runs AS (
+            SELECT doc_id, count(*) AS n_removed, count(*) FILTER (prev IS NULL OR prev < p - 1) AS n_spans
+            FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS prev FROM gone) GROUP BY doc_id
+        ), kept AS (
+            SELECT b.doc_id, sha256(unhex(string_agg(x, '' ORDER BY b.p))) AS kept_sha256
+            FROM (SELECT doc_id, i AS p, substr(h, 2 * i + 1, 2) AS x FROM (SELECT doc_id, h, unnest(range(0, n)) AS i FROM n)) b
+            ANTI JOIN gone ON gone.doc_id = b.doc_id AND gone.p = b.p GROUP BY b.doc_id
+        )
+        SELECT n.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               coalesce(kept_sha256, sha256('')) AS kept_sha256
+        FROM n LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
+    "op10_passage_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL
+        ), s AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS win
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)
+        ), dup AS (
+            SELECT doc_id, i FROM s JOIN (SELECT win FROM s GROUP BY win HAVING count(*) > 1) USING (win)
+        ), gone AS (
+            SELECT DISTINCT doc_id, i + k AS p FROM dup, range(35) AS r(k)
+        ), kept AS (
+            SELECT b.doc_id, count(*) AS n, sha256(string_agg(x, ' ' ORDER BY b.p)) AS kept_sha256
+            FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d) b
+            ANTI JOIN gone ON gone.doc_id = b.doc_id AND gone.p = b.p GROUP BY b.doc_id
+        )
+        SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """,
 }
