@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,16 +92,16 @@ class DacReader:
         return out
 
 
-SHARD = "first_doc long, n_docs long, n_tokens long, doc_ids binary, doc_ends binary, codes binary"
-ROWS = "first_doc long, doc_id long, in_shard long, n_tokens long, ids_crc32 long"
+SHARD = "shard long, n_docs long, n_tokens long, doc_ids binary, doc_ends binary, codes binary"
+ROWS = "shard long, doc_id long, in_shard long, n_tokens long, ids_crc32 long"
 
 
-def _shard(ids: list[int], parts: list[bytes]) -> pa.RecordBatch:
+def _shard(number: int, ids: list[int], parts: list[bytes]) -> pa.RecordBatch:
     flat = np.frombuffer(b"".join(parts), "<u4")
     ends = np.cumsum([len(p) // 4 for p in parts]).astype("<i8")
-    row = [ids[0], len(ids), len(flat), np.array(ids, "<i8").tobytes(), ends.tobytes(), dac_encode(flat)]
+    row = [number, len(ids), len(flat), np.array(ids, "<i8").tobytes(), ends.tobytes(), dac_encode(flat)]
     kinds = [pa.int64()] * 3 + [pa.binary()] * 3
-    names = ["first_doc", "n_docs", "n_tokens", "doc_ids", "doc_ends", "codes"]
+    names = ["shard", "n_docs", "n_tokens", "doc_ids", "doc_ends", "codes"]
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
 
@@ -109,16 +110,17 @@ def _encode_shards(vocabulary: str | None, shard_tokens: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, ids, parts, held = word_bpe(vocabulary), [], [], 0
+        number = TaskContext.get().partitionId() << 32  # ranges are numbered in doc_id order
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(doc_id)
                 parts.append(bpe.encode(text) + end)
                 held += len(parts[-1]) // 4
                 if held >= shard_tokens:
-                    yield _shard(ids, parts)
-                    ids, parts, held = [], [], 0
+                    yield _shard(number, ids, parts)
+                    ids, parts, held, number = [], [], 0, number + 1
         if ids:
-            yield _shard(ids, parts)
+            yield _shard(number, ids, parts)
 
     return run
 
@@ -131,8 +133,8 @@ def _decode_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             starts = np.append(0, ends[:-1]).astype(np.int64)
             crc = [zlib.crc32(flat[4 * s : 4 * e]) for s, e in zip(starts, ends, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(ids), row["first_doc"])), pa.array(ids), pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())],
-                ["first_doc", "doc_id", "in_shard", "n_tokens", "ids_crc32"],
+                [pa.array(np.full(len(ids), row["shard"])), pa.array(ids), pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())],
+                ["shard", "doc_id", "in_shard", "n_tokens", "ids_crc32"],
             )
 
 
@@ -155,9 +157,6 @@ def read_token_files(shards: DataFrame) -> DataFrame:
     shard of millions of ids, never over documents.
     """
     rows = shards.mapInArrow(_decode_shards, ROWS)
-    before = Window.orderBy("first_doc", "doc_hash").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = shards.select("first_doc", F.xxhash64("doc_ids", "doc_ends").alias("doc_hash"), F.col("n_tokens").alias("n"))
-    offsets = offsets.select("first_doc", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return rows.join(offsets, "first_doc").select(
-        "doc_id", (F.col("before") + F.col("in_shard")).alias("start"), "n_tokens", "ids_crc32"
-    )
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = shards.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("before"))
+    return rows.join(offsets, "shard").select("doc_id", (F.col("before") + F.col("in_shard")).alias("start"), "n_tokens", "ids_crc32")

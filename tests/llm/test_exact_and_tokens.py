@@ -43,13 +43,14 @@ def test_word_bpe_equals_library():
 
 
 def test_token_files(awkward, rows):
-    shards = token_codes.write_token_files(awkward, shard_tokens=500, part_bytes=20_000)
-    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_codes.read_token_files(shards).collect())
-    at = 0
-    for (doc_id, text), (d, start, n, crc) in zip(rows, got):
-        ids = whole_ids(text)
-        assert (d, start, n, crc) == (doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        at += n
+    for shard_tokens in (500, 1):
+        shards = token_codes.write_token_files(awkward, shard_tokens=shard_tokens, part_bytes=20_000)
+        got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_codes.read_token_files(shards).collect())
+        at = 0
+        for (doc_id, text), (d, start, n, crc) in zip(rows, got, strict=True):
+            ids = whole_ids(text)
+            assert (d, start, n, crc) == (doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+            at += n
 
 
 def test_token_files_empty(nothing):
