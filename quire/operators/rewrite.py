@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions.spelling import SHIPPED_RULES
+
 _ARABIC = "؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-﻿"
 _PROTECTED = [
     re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)", re.M | re.S),
@@ -25,7 +27,7 @@ _PROTECTED = [
     re.compile(r"[(\[][^()\[\]\n]*?:\s*[^()\[\]\n]*?\d[^()\[\]\n]*[)\]]"),
 ]
 
-# The rules that hold where no rule file is given.
+# The rules that hold where a rule file cannot be read.
 DEFAULT_RULES = (
     {"canonical": "ke", "reject": ["keh", "kay"], "safe_fix": True},
     {"canonical": "mein", "reject": ["mei", "mn"], "safe_fix": True},
@@ -60,8 +62,10 @@ def compile_rules(rules: Sequence[dict] | None = None) -> list[Rule]:
     return out
 
 
-def load_rules(path: str | None) -> list[Rule]:
-    """Rules of a JSON file; the default ones if it is missing or unreadable."""
+def load_rules(path: str | None = None) -> list[Rule]:
+    """Rules of a JSON file, the shipped ones without a path; the default ones if the file is missing or unreadable."""
+    if path is None:
+        return compile_rules(SHIPPED_RULES)
     try:
         with open(path, encoding="utf-8") as f:
             data = json.load(f)

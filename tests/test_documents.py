@@ -211,6 +211,14 @@ def test_fixes_respect_protected_spans():
     assert ("Rahimahullah", "rahmatullah alaih", 1) in rewrite.spelling_hits(text, rules)
 
 
+def test_shipped_rules(tmp_path):
+    rules = rewrite.load_rules()
+    assert len(rules) == 40 and sum(r.safe for r in rules) == 33
+    fixed, _ = rewrite.fix_text("Tawheed aur Hadith ki Namaaz mayn nahin", rules)
+    assert fixed == "Tauheed aur Hadees ki Namaz mein nahi"
+    assert len(rewrite.load_rules(str(tmp_path / "none.json"))) == 10
+
+
 def test_fix_column(spark):
     r = one(spark, "keh yeh", lambda c: rewrite.apply_fixes(c, rewrite.compile_rules()))
     assert r.text == "ke yeh" and r.fixes == {"ke": 1}
