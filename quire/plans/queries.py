@@ -369,7 +369,7 @@ def work_queue(spark: SparkSession, d: str) -> DataFrame:
     return context.work_queue(turns.where("role = 'user'"), done).select("doc_id", "chunk_no")
 
 
-_REVIEWS = X.sql_values(X.REVIEWS, "doc_id, chunk_no, score, type")
+_REVIEWS = f"(SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, score, type FROM {X.sql_values(X.REVIEWS, 'doc_id, chunk_no, score, type')}) f"
 
 
 def _reviews(spark: SparkSession) -> DataFrame:
@@ -395,7 +395,7 @@ def retry_selection(spark: SparkSession, d: str) -> DataFrame:
 
 # --- paired checks ---
 
-_FIX = X.sql_values(X.PAIRS, "doc_id, chunk_no, src, out")
+_FIX = f"(SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, src, out FROM {X.sql_values(X.PAIRS, 'doc_id, chunk_no, src, out')}) f"
 
 
 def _fixture_pairs(spark: SparkSession) -> DataFrame:
