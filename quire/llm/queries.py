@@ -12,7 +12,7 @@ from quire.llm.exact_dedup import exact_groups
 from quire.llm.gif import gif_features, store_as_gif
 from quire.llm.packing import pack
 from quire.llm.passage_dedup import passage_dedup
-from quire.llm.sentencepiece_scan import encode_pieces, piece_summary
+from quire.llm.sentencepiece_scan import encode_pieces
 from quire.llm.simhash import near_groups
 from quire.llm.suffix_dedup import suffix_dedup
 from quire.llm.token_codes import read_token_files, write_token_files
@@ -47,7 +47,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_summary(encode_pieces(read_table(spark, sf_dir, "documents")))
+    return encode_pieces(read_table(spark, sf_dir, "documents"), summary=True)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

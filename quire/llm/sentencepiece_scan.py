@@ -39,7 +39,7 @@ _NONE = -np.inf
 class Pieces:
     """The vocabulary: BPE of words through the library, and the lattice of compatible pieces."""
 
-    def __init__(self, path: str, most_cached: int = 1_000_000):
+    def __init__(self, path: str, most_cached: int = 300_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
@@ -76,7 +76,7 @@ class Pieces:
         key = (left, right)
         found = self._fits.get(key)
         if found is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > 200_000:
                 self._fits.clear()
             if right.startswith(MARK) and not left.endswith(MARK):
                 found = True
@@ -239,7 +239,34 @@ def decode(ids: np.ndarray, vocabulary: Pieces) -> str:
 
 PARTS = "doc_id long, chunk long, chunks long, begin long, stop long, part string"
 COUNTS = "doc_id long, chunk long, chunks long, n_ids long, ids binary"
-_COUNTS = pa.schema([("doc_id", pa.int64()), ("chunk", pa.int64()), ("chunks", pa.int64()), ("n_ids", pa.int64()), ("ids", pa.binary())])
+SUMMARY = "doc_id long, chunk long, chunks long, n_ids long, decoded_bytes long, ids_crc32 long, n_byte_ids long"
+_STEP = 500
+
+
+def _rows(model: str | None, summary: bool):
+    """Turns (doc_id, chunk, chunks, ids) into rows of COUNTS or SUMMARY.  Every Python stage of a
+    plan is a process of its own, so the summary is made where the ids are."""
+    head = ["doc_id", "chunk", "chunks", "n_ids"]
+    if not summary:
+        return lambda rows: pa.RecordBatch.from_arrays(
+            [*(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), pa.array([len(r[3]) // 4 for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())],
+            [*head, "ids"],
+        )
+    p = pieces(model)
+    n = p.library.get_piece_size()
+    by_byte = np.zeros(n, bool)
+    by_byte[list(p.byte.values())] = True
+    # a mark is three bytes in the vocabulary and one, a space, in the text
+    size = np.array([1 if by_byte[i] else len(p.text.get(i, "").encode()) - 2 * p.text.get(i, "").count(MARK) for i in range(n)])
+
+    def run(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        flat = [np.frombuffer(r[3], "<u4") for r in rows]
+        # the mark before a document is not part of it
+        more = [(len(f), int(size[f].sum()) - (r[1] == 0 and len(f) > 0), zlib.crc32(r[3]), int(by_byte[f].sum())) for f, r in zip(flat, rows, strict=True)]
+        columns = [*([r[i] for r in rows] for i in range(3)), *([m[i] for m in more] for i in range(4))]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [*head, "decoded_bytes", "ids_crc32", "n_byte_ids"])
+
+    return run
 
 
 def _split(size: int, margin: int):
@@ -263,16 +290,14 @@ def _split(size: int, margin: int):
     return run
 
 
-def _whole(model: str | None):
+def _whole(model: str | None, summary: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces(model)
+        p, make = pieces(model), _rows(model, summary)
         for batch in batches:
-            ids = [b"".join(map(p.word, _WORD.findall(t))) for t in batch.column("part").to_pylist()]
-            zeros = [0] * len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(zeros, pa.int64()), pa.array([1] * len(ids), pa.int64()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())],
-                schema=_COUNTS,
-            )
+            for at in range(0, batch.num_rows, _STEP):
+                part = batch.slice(at, _STEP)
+                rows = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+                yield make([(doc_id, 0, 1, b"".join(map(p.word, _WORD.findall(marked(text))))) for doc_id, text in rows])
 
     return run
 
@@ -300,27 +325,29 @@ def _states(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     })
 
 
-def _backtrace(model: str | None):
+def _backtrace(model: str | None, summary: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces(model)
+        p, make = pieces(model), _rows(model, summary)
         for batch in batches:
             for r in batch.to_pylist():
                 ids = Chunk(p, r["part"], r["begin"], r["stop"]).backtrace(r["entry"], r["exit"])
-                yield pa.RecordBatch.from_pylist([{"doc_id": r["doc_id"], "chunk": r["chunk"], "chunks": r["chunks"], "n_ids": len(ids) // 4, "ids": ids}], _COUNTS)
+                yield make([(r["doc_id"], r["chunk"], r["chunks"], ids)])
 
     return run
 
 
-def encode_pieces(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str | None = None, chunk: int = CHUNK, summary: bool = False) -> DataFrame:
     """Ids chunk by chunk: doc_id, chunk, chunks, n_ids, ids (little-endian 32-bit).
 
     A document's ids are those of its chunks in order.  Documents up to one chunk take one
     pass over their words; longer ones are split, scanned and backtraced.  The empty text
     has one chunk without ids.  Rows that repeat a doc_id are encoded each for itself.
+    summary: in place of the ids decoded_bytes, ids_crc32 and n_byte_ids.
     """
+    schema = SUMMARY if summary else COUNTS
     margin = pieces(model).longest
     rows = documents(docs)
-    short = rows.where(F.length("text") < chunk).mapInArrow(_split(chunk, margin), PARTS).mapInArrow(_whole(model), COUNTS)
+    short = rows.where(F.length("text") < chunk).mapInArrow(_whole(model, summary), schema)
     # the key tells repeated rows apart; the table fixes it
     split = rows.where(F.length("text") >= chunk).withColumn("key", F.monotonically_increasing_id())
     long_docs = stash(split)
@@ -328,30 +355,5 @@ def encode_pieces(docs: DataFrame, model: str | None = None, chunk: int = CHUNK)
     parts = stash(parts.join(long_docs.select("key", "doc_id"), "key").repartition("key", "chunk"))
     weights = parts.mapInArrow(_matrices(model), "doc_id long, key long, chunk long, rows long, weights binary")
     states = weights.groupBy("key").applyInArrow(_states, "key long, chunk long, entry long, exit long")
-    traced = parts.join(states, ["key", "chunk"]).mapInArrow(_backtrace(model), COUNTS)
+    traced = parts.join(states, ["key", "chunk"]).mapInArrow(_backtrace(model, summary), schema)
     return short.union(traced)
-
-
-def _summary(model: str | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces(model)
-        words = np.array([i in set(p.byte.values()) for i in range(p.library.get_piece_size())])
-        lengths = np.array([1 if words[i] else len(p.text.get(i, "").encode()) for i in range(len(words))])
-        marks = np.array([p.text.get(i, "").count(MARK) for i in range(len(words))])
-        for batch in batches:
-            rows = []
-            for doc_id, c, chunks, n, ids in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                flat = np.frombuffer(ids, "<u4")
-                size = int(lengths[flat].sum() - 2 * marks[flat].sum())  # a mark is three bytes, a space one
-                rows.append((doc_id, c, chunks, n, size, zlib.crc32(ids), int(words[flat].sum())))
-            names = ["doc_id", "chunk", "chunks", "n_ids", "decoded_bytes", "ids_crc32", "n_byte_ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [()] * 7)], names)
-
-    return run
-
-
-def piece_summary(encoded: DataFrame, model: str | None = None) -> DataFrame:
-    """Per chunk: doc_id, chunk, chunks, n_ids, decoded_bytes, ids_crc32, n_byte_ids."""
-    return encoded.mapInArrow(
-        _summary(model), "doc_id long, chunk long, chunks long, n_ids long, decoded_bytes long, ids_crc32 long, n_byte_ids long"
-    )
