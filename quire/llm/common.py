@@ -53,11 +53,27 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def sweep() -> None:
+    """Removes the tables that stash() wrote; runs when the driver ends, and may be called before."""
+    while _written:
+        spark, at = _written.pop()
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001 - the session is gone: the cluster's own clean-up takes over
+            return
+
+
 def stash(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """df written once as a table in the shared folder and read back: lineage ends there,
     so a lost executor costs no recomputation, and later readers scan only what they need."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}"
+    _written.append((spark, at))
     df.write.option("compression", codec).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
