@@ -359,8 +359,11 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 
     Rows without doc_id are left out; a null text becomes the empty text.
     """
-    kept = suffix_dedup(docs, with_text=True).select("doc_id", "source_sha256", "kept_text").distinct()
+    # one row a key, dealt by the keys of the join: the texts travel once
+    kept = suffix_dedup(docs, with_text=True).select("doc_id", "source_sha256", "kept_text").dropDuplicates(["doc_id", "source_sha256"])
+    # the text comes out of the operator; of the documents only the other columns travel
     source = F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256)
-    joined = docs.join(kept, (docs["doc_id"].cast("long") == kept["doc_id"]) & (source == kept["source_sha256"]))
-    new = {"text": kept["kept_text"], "n_chars": F.length(kept["kept_text"]).cast("long")}
-    return joined.select(*[new[c].alias(c) if c in new else docs[f"`{c}`"] for c in docs.columns])
+    others = [docs[f"`{c}`"] for c in docs.columns if c not in ("text", "n_chars")]
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), source.alias("source_sha256"), F.struct(*others).alias("row"))
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return rows.join(kept, ["doc_id", "source_sha256"]).select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
