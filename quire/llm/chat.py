@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.common import stash
+
 BLOCK = 4096
 # The markers of the rendered format.
 START, END = "<|im_start|>", "<|im_end|>"
@@ -65,7 +67,8 @@ def prefixes(rows: DataFrame) -> DataFrame:
 
 def maximal(rows: DataFrame) -> DataFrame:
     """(conv_id, n_turns) of conversations that are no prefix of another; of equal ones the smallest conv_id."""
-    heads = prefixes(rows)
+    # two hashes a turn, written once: the branches below read them again
+    heads = stash(prefixes(rows))
     length = heads.groupBy("conv_id").agg(F.max("k").alias("n"))
     full = heads.join(length, "conv_id")
     # one row per prefix: the longest conversation that goes on from it
@@ -79,17 +82,18 @@ def maximal(rows: DataFrame) -> DataFrame:
 
 
 def render(rows: DataFrame) -> DataFrame:
-    """(conv_id, part, part_turns, rendered): turns in order between markers.
+    """(conv_id, part, n_turns, part_turns, rendered): turns in order between markers.
 
     A marker's opening "<|" inside a role or text is set apart as "< |".
     """
     safe = lambda c: F.replace(F.col(c), F.lit("<|"), F.lit("< |"))
     line = F.concat(F.lit(START), safe("role"), F.lit("\n"), safe("text"), F.lit(END), F.lit("\n"))
     listed = rows.groupBy("conv_id", "block").agg(
+        F.first("n_turns").alias("n_turns"),
         F.count(F.lit(1)).alias("part_turns"),
         F.array_sort(F.collect_list(F.struct("turn", "role", "text", line.alias("line")))).alias("lines"),
     )
-    return listed.select("conv_id", F.col("block").alias("part"), "part_turns", F.array_join(F.col("lines.line"), "").alias("rendered"))
+    return listed.select("conv_id", F.col("block").alias("part"), "n_turns", "part_turns", F.array_join(F.col("lines.line"), "").alias("rendered"))
 
 
 def format_chats(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -100,7 +104,5 @@ def format_chats(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     a repeated row is a turn of its own.  An empty table gives an empty result.
     """
     rows = turns(conversations, block)
-    kept = maximal(rows)
-    return render(rows.join(kept, "conv_id", "left_semi")).join(kept, "conv_id").select(
-        "conv_id", "part", "n_turns", "part_turns", "rendered"
-    )
+    kept = stash(maximal(rows))
+    return render(rows.join(kept, "conv_id")).select("conv_id", "part", "n_turns", "part_turns", "rendered")
