@@ -7,7 +7,7 @@ from quire.plans import jobs
 def test_a_run_from_files_to_books(spark, tmp_path):
     source, run = tmp_path / "in", str(tmp_path / "run")
     source.mkdir()
-    (source / "one.md").write_text("# One\n\nSome text of Badr Wells. Later Badr Wells text.\n")
+    (source / "one.md").write_text("# One\n\nOk text of Badr Wells, near Badr Wells text.\n")
     (source / "two.txt").write_text("Plain text of the second book.\n")
     (source / "three.xyz").write_text("?")
     first = jobs.convert(spark, str(source), run)
