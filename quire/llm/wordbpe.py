@@ -25,6 +25,8 @@ _PIECES = re.compile(
 # Characters whose lower case, class and normal form are settled; all others take the library's path.
 _PLAIN = re.compile("[\t-\r\x20-\u012f\u0131-\u017f]*")
 _WORD = re.compile("[^\t-\r\x20]+")
+# Characters that the byte alphabet spells as themselves.
+_OWN = re.compile("[!-~]*")
 
 
 def _byte_alphabet() -> list[str]:
@@ -52,7 +54,7 @@ class WordBpe:
             def __missing__(self, piece: str) -> bytes:
                 if len(self) >= most_cached:
                     self.clear()
-                spelled = piece if piece.isascii() else "".join([byte[b] for b in piece.encode()])
+                spelled = piece if _OWN.fullmatch(piece) else "".join([byte[b] for b in piece.encode()])
                 ids = [t.id for t in model.tokenize(spelled)]
                 self[piece] = out = np.array(ids, "<u4").tobytes()
                 return out

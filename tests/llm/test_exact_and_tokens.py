@@ -42,6 +42,13 @@ def test_word_bpe_equals_library():
         assert np.frombuffer(bpe.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_word_bpe_equals_library_on_control_characters():
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for c in (*map(chr, range(33)), *map(chr, range(127, 161)), "\xad"):
+        for text in (c, f"a{c}b", f"a {c}{c} b{c}", f"漢{c} x{c}"):
+            assert np.frombuffer(word_bpe().encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_token_files(awkward, rows):
     for shard_tokens in (500, 1):
         shards = token_codes.write_token_files(awkward, shard_tokens=shard_tokens, part_bytes=20_000)
