@@ -479,21 +479,26 @@ def fence_mask(spark: SparkSession, d: str) -> DataFrame:
     return _fixture_pairs(spark).select("doc_id", "chunk_no", F.explode(prose).alias("line"))
 
 
+def _linted(pairs: DataFrame) -> DataFrame:
+    """Pairs linted in full: the shipped spelling rules, and an expected honorific."""
+    spelling = rewrite.spelling_findings(F.coalesce("out", F.lit("")), rewrite.load_rules())
+    return lint.lint(pairs, [("Nabi", ["Sallallahu Alaihi Wasallam"])], spelling)
+
+
 @query()
 def lint_findings(spark: SparkSession, d: str) -> DataFrame:
-    spelling = rewrite.spelling_findings(F.coalesce("out", F.lit("")), rewrite.compile_rules())
     every = _pairs(spark, d).unionByName(_fixture_pairs(spark).withColumn("doc_id", F.col("doc_id") + 1000000))
-    return lint.findings(lint.lint(every, [("Nabi", ["Sallallahu Alaihi Wasallam"])], spelling))
+    return lint.findings(_linted(every))
 
 
 @query()
 def lint_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return lint.summary(lint.lint(_pairs(spark, d)))
+    return lint.summary(_linted(_pairs(spark, d)))
 
 
 @query()
 def spelling_fixes(spark: SparkSession, d: str) -> DataFrame:
-    fixed = _turns(spark, d).select("doc_id", "chunk_no", rewrite.apply_fixes("text", rewrite.compile_rules()).alias("f"))
+    fixed = _turns(spark, d).select("doc_id", "chunk_no", rewrite.apply_fixes("text", rewrite.load_rules()).alias("f"))
     return fixed.select("doc_id", "chunk_no", F.sha2("f.text", 256).alias("sha256"), F.size("f.fixes").alias("rules_used"))
 
 

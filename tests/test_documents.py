@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
 from quire.functions import text as T
+from quire.catalog import QUERIES
 from quire.operators import assemble, context, dictionary, integrity, lint, phrases, rewrite, segment
 
 
@@ -198,6 +199,17 @@ def test_rollup(spark):
     assert got == {1: (2, 1, 0, [2], True), 2: (1, 0, 1, [], True)}
 
 
+def test_registered_queries_use_the_shipped_rules(spark, tmp_path):
+    turns = [(1, 0, "user", "He said it here"), (1, 1, "assistant", "Nabi ne yah kaha"), (2, 0, "user", "in it"), (2, 1, "assistant", "mayn kia")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    spelled = {(r.doc_id, r.item) for r in run("lint_findings") if r.code == "W_SPELLING" and r.doc_id < 1000000}
+    assert spelled == {(1, "yeh <- yah"), (2, "mein <- mayn"), (2, "kya <- kia")}
+    assert {(r.doc_id, r.chunk_no): r.rules_used for r in run("spelling_fixes")} == {(1, 0): 0, (1, 1): 1, (2, 0): 0, (2, 1): 1}
+    # the Prophet's mention, the expected form of "Nabi", and the spelling
+    assert {r.doc_id: r.warnings for r in run("lint_rollup")}[1] == 3
+
+
 # --- rewriting ---
 
 
