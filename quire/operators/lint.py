@@ -2,8 +2,9 @@
 honorifics, script and length.
 
 Input: pairs (doc_id, chunk_no, src, out).  Every check is a projection that yields an array
-of findings (severity, code, item, n); they are concatenated and exploded once, so linting
-is one pass over the pairs without a shuffle.  Roll-ups come after.
+of findings (severity, code, test, item, n); they are concatenated and exploded once, so linting
+is one pass over the pairs without a shuffle.  Roll-ups come after.  A check that fails for
+several items gives a finding for each of them, all with the same test; roll-ups count tests.
 """
 
 from __future__ import annotations
@@ -16,17 +17,17 @@ from pyspark.sql import functions as F
 from quire.functions import patterns as P
 from quire.functions import text as T
 
-FINDING = "struct<severity:string,code:string,item:string,n:bigint>"
+FINDING = "struct<severity:string,code:string,test:string,item:string,n:bigint>"
 KEY = ["doc_id", "chunk_no"]
 
 
-def finding(severity: str, code: str, item: Column, n: Column) -> Column:
-    return F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), item.cast("string").alias("item"), n.cast("long").alias("n")).cast(FINDING)
+def finding(severity: str, code: str, test: str, item: Column, n: Column) -> Column:
+    return F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.lit(test).alias("test"), item.cast("string").alias("item"), n.cast("long").alias("n")).cast(FINDING)
 
 
-def _items(severity: str, code: str, word: str, items: Column) -> Column:
+def _items(severity: str, code: str, test: str, word: str, items: Column) -> Column:
     """A finding per (item, n) struct."""
-    return F.transform(items, lambda m: finding(severity, code, F.concat(F.lit(word), m["item"]), m["n"]))
+    return F.transform(items, lambda m: finding(severity, code, test, F.concat(F.lit(word), m["item"]), m["n"]))
 
 
 def _if(condition: Column, found: Column) -> Column:
@@ -93,17 +94,17 @@ def bag_difference(left: DataFrame, right: DataFrame, key: Sequence[str], item:
 def check_structure(src: Column, out: Column) -> Column:
     a, b = features(src), features(out)
     show = lambda f: F.array_join(f["headings"].cast("array<string>"), ",")
-    found = [_if(a["headings"] != b["headings"], finding("error", "E_STRUCTURE", F.concat(F.lit("headings "), show(a), F.lit(" / "), show(b)), F.size(b["headings"]) - F.size(a["headings"])))]
+    found = [_if(a["headings"] != b["headings"], finding("error", "E_STRUCTURE", "headings", F.concat(F.lit("headings "), show(a), F.lit(" / "), show(b)), F.size(b["headings"]) - F.size(a["headings"])))]
     for name in ("list_items", "blockquotes", "table_rows", "fences"):
-        found.append(_if(a[name] != b[name], finding("error", "E_STRUCTURE", F.lit(name), b[name] - a[name])))
+        found.append(_if(a[name] != b[name], finding("error", "E_STRUCTURE", name, F.lit(name), b[name] - a[name])))
     for name in ("images", "links"):
         for word, more in (("missing", bag_minus(a[name], b[name])), ("extra", bag_minus(b[name], a[name]))):
-            found.append(_items("error", "E_STRUCTURE", f"{name} {word} ", more))
+            found.append(_items("error", "E_STRUCTURE", name, f"{name} {word} ", more))
     for word, more in (("missing", set_minus(a["footnotes"], b["footnotes"])), ("extra", set_minus(b["footnotes"], a["footnotes"]))):
         counted = F.transform(more, lambda m: F.struct(m.alias("item"), F.lit(1).alias("n")))
-        found.append(_items("error", "E_STRUCTURE", f"footnotes {word} ", counted))
+        found.append(_items("error", "E_STRUCTURE", "footnotes", f"footnotes {word} ", counted))
     n, m = a["arabic_chars"], b["arabic_chars"]
-    found.append(_if((n > 0) & ~((m * 10 >= n * 9) & (m * 10 <= n * 11)), finding("error", "E_STRUCTURE", F.lit("arabic_chars"), m - n)))
+    found.append(_if((n > 0) & ~((m * 10 >= n * 9) & (m * 10 <= n * 11)), finding("error", "E_STRUCTURE", "arabic_chars", F.lit("arabic_chars"), m - n)))
     return F.concat(*found)
 
 
@@ -131,8 +132,8 @@ def missing_references(src: Column, out: Column) -> Column:
 
 def check_citations(src: Column, out: Column) -> Column:
     return F.concat(
-        F.transform(missing_numbers(src, out), lambda r: finding("error", "E_CITATION", r, F.lit(1))),
-        F.transform(missing_references(src, out), lambda r: finding("error", "E_CITATION", r, F.lit(1))),
+        F.transform(missing_numbers(src, out), lambda r: finding("error", "E_CITATION", "numbers", r, F.lit(1))),
+        F.transform(missing_references(src, out), lambda r: finding("error", "E_CITATION", "references", r, F.lit(1))),
     )
 
 
@@ -141,16 +142,16 @@ def check_commentary(src: Column, out: Column) -> Column:
     first = F.regexp_extract(o, r"\A([^\n]*)", 1)
     note = "[translator's note"
     return F.concat(
-        _if(first.rlike(P.COMMENTARY), finding("error", "E_COMMENTARY", F.substring(first, 1, 120), F.lit(1))),
-        _if(o.startswith("```") & ~s.startswith("```"), finding("error", "E_COMMENTARY", F.lit("code fence"), F.lit(1))),
-        _if(F.lower(out).contains(note) & ~F.lower(src).contains(note), finding("error", "E_COMMENTARY", F.lit("translator's note"), F.lit(1))),
+        _if(first.rlike(P.COMMENTARY), finding("error", "E_COMMENTARY", "opening", F.substring(first, 1, 120), F.lit(1))),
+        _if(o.startswith("```") & ~s.startswith("```"), finding("error", "E_COMMENTARY", "code fence", F.lit("code fence"), F.lit(1))),
+        _if(F.lower(out).contains(note) & ~F.lower(src).contains(note), finding("error", "E_COMMENTARY", "note", F.lit("translator's note"), F.lit(1))),
     )
 
 
-def check_untranslated(out: Column, most: int = 10) -> Column:
+def check_untranslated(out: Column) -> Column:
     prose, _ = prose_lines(out)
     english = F.filter(prose, T.looks_untranslated)
-    return F.transform(F.slice(english, 1, most), lambda x: finding("error", "E_UNTRANSLATED", F.substring(T.strip(x), 1, 160), F.lit(1)))
+    return F.transform(english, lambda x: finding("error", "E_UNTRANSLATED", "untranslated", F.substring(T.strip(x), 1, 160), F.lit(1)))
 
 
 def missing_prophet_honorifics(out: Column) -> Column:
@@ -164,8 +165,7 @@ def missing_prophet_honorifics(out: Column) -> Column:
 
 
 def check_prophet(out: Column) -> Column:
-    missed = missing_prophet_honorifics(out)
-    return F.transform(F.slice(missed, 1, 5), lambda a: finding("warning", "W_HONORIFIC", a, F.lit(1)))
+    return F.transform(missing_prophet_honorifics(out), lambda a: finding("warning", "W_HONORIFIC", "prophet", a, F.lit(1)))
 
 
 def _lacking(pattern: str):
@@ -178,13 +178,13 @@ def check_term_honorifics(out: Column, expected: Sequence[tuple[str, Sequence[st
     text = F.array_join(F.filter(prose, lambda x: ~x.rlike(f"[{P.ARABIC}]")), "\n")
     low = F.lower(T.replace(text, P.CITATION, " "))
     found = []
-    for target, forms in expected:
+    for k, (target, forms) in enumerate(expected):
         if not target or not forms:
             continue
         after = T.find_all(low, P.whole_word(target.lower(), "") + r"(?=([\s\S]{0,30}))", 1)
         wanted = "|".join(rf"\Q{f.strip('() ').lower()}\E" for f in forms)
         misses = F.size(F.filter(after, _lacking(wanted)))
-        found.append(_if(misses > 0, finding("warning", "W_HONORIFIC", F.lit(target), misses)))
+        found.append(_if(misses > 0, finding("warning", "W_HONORIFIC", f"term {k}", F.lit(target), misses)))
     return F.concat(*found) if found else F.array().cast(f"array<{FINDING}>")
 
 
@@ -192,8 +192,8 @@ def arabic_words(text: Column) -> Column:
     return F.array_distinct(T.find_all(text, f"[{P.ARABIC}]+"))
 
 
-def check_script(src: Column, out: Column, most: int = 10) -> Column:
-    return F.transform(F.slice(set_minus(arabic_words(out), arabic_words(src)), 1, most), lambda w: finding("warning", "W_URDU_SCRIPT", w, F.lit(1)))
+def check_script(src: Column, out: Column) -> Column:
+    return F.transform(set_minus(arabic_words(out), arabic_words(src)), lambda w: finding("warning", "W_URDU_SCRIPT", "script", w, F.lit(1)))
 
 
 def length_ratio(src: Column, out: Column) -> Column:
@@ -207,7 +207,7 @@ def length_outside(src: Column, out: Column) -> Column:
 
 
 def check_length(src: Column, out: Column) -> Column:
-    return _if(length_outside(src, out), finding("warning", "W_LENGTH", F.format_string("%.2f", length_ratio(src, out)), F.lit(1)))
+    return _if(length_outside(src, out), finding("warning", "W_LENGTH", "length", F.format_string("%.2f", length_ratio(src, out)), F.lit(1)))
 
 
 def lint(pairs: DataFrame, expected: Sequence[tuple[str, Sequence[str]]] = (), spelling: Column | None = None) -> DataFrame:
@@ -222,7 +222,7 @@ def lint(pairs: DataFrame, expected: Sequence[tuple[str, Sequence[str]]] = (), s
         *([spelling] if spelling is not None else []),
         check_prophet(out), check_term_honorifics(out, expected), check_script(src, out), check_length(src, out),
     ]
-    nothing = F.array(finding("error", "E_EMPTY", F.lit("output is empty or missing"), F.lit(1)))
+    nothing = F.array(finding("error", "E_EMPTY", "empty", F.lit("output is empty or missing"), F.lit(1)))
     return pairs.select(
         *KEY, F.when(empty, 0.0).otherwise(F.round(length_ratio(src, out), 3)).alias("ratio"),
         F.when(empty, nothing).otherwise(F.concat(*parts)).alias("findings"),
@@ -231,12 +231,15 @@ def lint(pairs: DataFrame, expected: Sequence[tuple[str, Sequence[str]]] = (), s
 
 def findings(linted: DataFrame) -> DataFrame:
     """(doc_id, chunk_no, severity, code, item, n)."""
-    return linted.select(*KEY, F.inline("findings"))
+    return linted.select(*KEY, F.inline("findings")).drop("test")
 
 
 def summary(linted: DataFrame, strict: bool = False) -> DataFrame:
-    """Per document: chunks, errors, warnings, chunks_with_errors, failed (warnings too if strict)."""
-    number = lambda s: F.size(F.filter("findings", lambda f: f["severity"] == s)).cast("long")
+    """Per document: chunks, errors, warnings, chunks_with_errors, failed (warnings too if strict).
+
+    errors and warnings are failed checks, each once a pair, however many items it names.
+    """
+    number = lambda s: F.size(F.array_distinct(F.transform(F.filter("findings", lambda f: f["severity"] == s), lambda f: f["test"]))).cast("long")
     counted = linted.select("*", number("error").alias("e"), number("warning").alias("w"))
     per = counted.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("chunks"), F.sum("e").alias("errors"), F.sum("w").alias("warnings"),

@@ -140,10 +140,10 @@ def spelling_findings(c: Column | str, rules: Sequence[Rule]) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([
-                [{"severity": "warning", "code": "W_SPELLING", "item": f"{c} <- {v}", "n": n} for c, v, n in spelling_hits(t or "", rules)] for t in batch
+                [{"severity": "warning", "code": "W_SPELLING", "test": "spelling", "item": f"{c} <- {v}", "n": n} for c, v, n in spelling_hits(t or "", rules)] for t in batch
             ])
 
-    kind = "array<struct<severity:string,code:string,item:string,n:bigint>>"
+    kind = "array<struct<severity:string,code:string,test:string,item:string,n:bigint>>"
     return F.pandas_udf(run, kind)(F.col(c) if isinstance(c, str) else c)
 
 

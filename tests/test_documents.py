@@ -199,6 +199,23 @@ def test_rollup(spark):
     assert got == {1: (2, 1, 0, [2], True), 2: (1, 0, 1, [], True)}
 
 
+def test_every_item_is_a_finding_and_every_check_counts_once(spark):
+    words = [f"کتاب{chr(0x628 + i)}" for i in range(12)]
+    lines = ["this is one of the many things that they have made with their people"] * 200 + ["Nabi ne kaha aur phir yeh baat hui ke sab log aaye"] * 7
+    src = "\n".join(["source"] * 1000) + "\n[a](u) [b](v) 1:1 2:2"
+    df = spark.createDataFrame([(1, 1, src, "\n".join([*lines, *words, "yah kia"]))], "doc_id long, chunk_no int, src string, out string")
+    spelling = rewrite.spelling_findings("out", rewrite.load_rules())
+    linted = lint.lint(df, [("Nabi", ["Sallallahu Alaihi Wasallam"])], spelling)
+    n = {}
+    for r in lint.findings(linted).collect():
+        n.setdefault((r.code, r.item if r.item == "Nabi" else None), []).append(r.n)
+    assert n[("E_UNTRANSLATED", None)] == [1] * 200 and n[("W_HONORIFIC", None)] == [1] * 7 and n[("W_URDU_SCRIPT", None)] == [1] * 12
+    assert n[("W_HONORIFIC", "Nabi")] == [7] and n[("E_CITATION", None)] == [1, 1] and n[("E_STRUCTURE", None)] == [1, 1] and len(n[("W_SPELLING", None)]) == 2
+    # links, verse numbers, untranslated; spelling, the Prophet, the term, the script
+    got = lint.summary(linted).first()
+    assert (got.errors, got.warnings) == (3, 4)
+
+
 def test_registered_queries_use_the_shipped_rules(spark, tmp_path):
     turns = [(1, 0, "user", "He said it here"), (1, 1, "assistant", "Nabi ne yah kaha"), (2, 0, "user", "in it"), (2, 1, "assistant", "mayn kia")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
