@@ -17,6 +17,8 @@ one once per worker.
 
 from __future__ import annotations
 
+import codecs
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -52,6 +54,9 @@ class Pieces:
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
         self.text = {i: p.piece for i, p in enumerate(model.pieces) if p.type in (1, 4)}
         self.longest = max(map(len, self.id))
+        bytes_of = {i: bytes([b]) for b, i in self.byte.items()} | {i: t.replace(MARK, " ").encode() for i, t in self.text.items()}
+        #: What each id adds to a text; None where an id stands for no text.
+        self.raw = [bytes_of.get(i) for i in range(len(model.pieces))]
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("a piece goes on past the start of a word")
         self._fits: dict[tuple[str, str], bool] = {}
@@ -237,34 +242,83 @@ def decode(ids: np.ndarray, vocabulary: Pieces) -> str:
     return raw.decode().removeprefix(MARK).replace(MARK, " ")
 
 
+class Decoder:
+    """The text of one document from its ids, chunk after chunk.  A character whose bytes lie on both
+    sides of a chunk border comes with the later chunk."""
+
+    def __init__(self, vocabulary: Pieces):
+        self._raw, self._first = vocabulary.raw, True
+        self._characters, self._digest = codecs.getincrementaldecoder("utf-8")(), hashlib.sha256()
+
+    def chunk(self, ids: list[int], last: bool) -> str:
+        raw = b"".join([self._raw[i] for i in ids])
+        if self._first and raw:
+            # the mark before a document is not part of it
+            raw, self._first = raw.removeprefix(b" "), False
+        self._digest.update(raw)
+        return self._characters.decode(raw, last)
+
+    def sha256(self) -> str:
+        """Of the bytes of all chunks so far."""
+        return self._digest.hexdigest()
+
+
 PARTS = "doc_id long, chunk long, chunks long, begin long, stop long, part string"
 COUNTS = "doc_id long, chunk long, chunks long, n_ids long, ids binary"
-SUMMARY = "doc_id long, chunk long, chunks long, n_ids long, decoded_bytes long, ids_crc32 long, n_byte_ids long"
+TEXTS = "doc_id long, chunk long, chunks long, n_ids long, text string, decoded_sha256 string"
+SUMMARY = "doc_id long, chunk long, chunks long, n_ids long, decoded_bytes long, ids_crc32 long, n_byte_ids long, decoded_sha256 string"
 _STEP = 500
+_HEAD = ["doc_id", "chunk", "chunks", "n_ids"]
+
 
+def _head(rows: list[tuple[int, int, int, bytes]]) -> list[pa.Array]:
+    return [*(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), pa.array([len(r[3]) // 4 for r in rows], pa.int64())]
 
-def _rows(model: str | None, summary: bool):
-    """Turns (doc_id, chunk, chunks, ids) into rows of COUNTS or SUMMARY.  Every Python stage of a
-    plan is a process of its own, so the summary is made where the ids are."""
-    head = ["doc_id", "chunk", "chunks", "n_ids"]
-    if not summary:
-        return lambda rows: pa.RecordBatch.from_arrays(
-            [*(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), pa.array([len(r[3]) // 4 for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())],
-            [*head, "ids"],
-        )
+
+def _coded(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    """Rows of COUNTS from (doc_id, chunk, chunks, ids)."""
+    return pa.RecordBatch.from_arrays([*_head(rows), pa.array([r[3] for r in rows], pa.binary())], [*_HEAD, "ids"])
+
+
+def _decoded(model: str | None, summary: bool):
+    """Turns (doc_id, chunk, chunks, ids), a document's chunks in order, into rows of TEXTS or SUMMARY.
+    Every Python stage of a plan is a process of its own, so short documents are decoded where they are encoded."""
     p = pieces(model)
-    n = p.library.get_piece_size()
-    by_byte = np.zeros(n, bool)
+    by_byte = np.zeros(p.library.get_piece_size(), bool)
     by_byte[list(p.byte.values())] = True
-    # a mark is three bytes in the vocabulary and one, a space, in the text
-    size = np.array([1 if by_byte[i] else len(p.text.get(i, "").encode()) - 2 * p.text.get(i, "").count(MARK) for i in range(n)])
+    decoder, due, document = None, 0, None
+
+    def run(rows: list[tuple[int, int, int, bytes]], keys: list | None = None) -> pa.RecordBatch:
+        nonlocal decoder, due, document
+        texts, digests = [], []
+        for k, (doc_id, chunk, chunks, ids) in enumerate(rows):
+            key = keys[k] if keys else doc_id
+            if not due:
+                decoder, document = Decoder(p), key
+            if chunk != due or key != document:
+                raise ValueError(f"chunk {due} of {document} should come, not {chunk} of {key}")
+            due = chunk + 1 if chunk + 1 < chunks else 0
+            texts.append(decoder.chunk(np.frombuffer(ids, "<u4").tolist(), not due))
+            digests.append(decoder.sha256())
+        digests = pa.array(digests, pa.string())
+        if not summary:
+            return pa.RecordBatch.from_arrays([*_head(rows), pa.array(texts, pa.string()), digests], [*_HEAD, "text", "decoded_sha256"])
+        more = [(len(t.encode()), zlib.crc32(r[3]), int(by_byte[np.frombuffer(r[3], "<u4")].sum())) for t, r in zip(texts, rows, strict=True)]
+        columns = [pa.array([m[i] for m in more], pa.int64()) for i in range(3)]
+        return pa.RecordBatch.from_arrays([*_head(rows), *columns, digests], [*_HEAD, "decoded_bytes", "ids_crc32", "n_byte_ids", "decoded_sha256"])
+
+    return run
 
-    def run(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-        flat = [np.frombuffer(r[3], "<u4") for r in rows]
-        # the mark before a document is not part of it
-        more = [(len(f), int(size[f].sum()) - (r[1] == 0 and len(f) > 0), zlib.crc32(r[3]), int(by_byte[f].sum())) for f, r in zip(flat, rows, strict=True)]
-        columns = [*([r[i] for r in rows] for i in range(3)), *([m[i] for m in more] for i in range(4))]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [*head, "decoded_bytes", "ids_crc32", "n_byte_ids"])
+
+def _decode(model: str | None, summary: bool):
+    """Of sorted rows (key, doc_id, chunk, chunks, ids)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = _decoded(model, summary)
+        for batch in batches:
+            for at in range(0, batch.num_rows, _STEP):
+                key, *columns = (c.to_pylist() for c in batch.slice(at, _STEP).columns)
+                yield make(list(zip(*columns, strict=True)), key)
 
     return run
 
@@ -292,7 +346,7 @@ def _split(size: int, margin: int):
 
 def _whole(model: str | None, summary: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, make = pieces(model), _rows(model, summary)
+        p, make = pieces(model), _decoded(model, True) if summary else _coded
         for batch in batches:
             for at in range(0, batch.num_rows, _STEP):
                 part = batch.slice(at, _STEP)
@@ -325,13 +379,14 @@ def _states(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     })
 
 
-def _backtrace(model: str | None, summary: bool):
+def _backtrace(model: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, make = pieces(model), _rows(model, summary)
+        p = pieces(model)
         for batch in batches:
             for r in batch.to_pylist():
                 ids = Chunk(p, r["part"], r["begin"], r["stop"]).backtrace(r["entry"], r["exit"])
-                yield make([(r["doc_id"], r["chunk"], r["chunks"], ids)])
+                row = _coded([(r["doc_id"], r["chunk"], r["chunks"], ids)])
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([r["key"]], pa.int64())], [*row.schema.names, "key"])
 
     return run
 
@@ -342,7 +397,8 @@ def encode_pieces(docs: DataFrame, model: str | None = None, chunk: int = CHUNK,
     A document's ids are those of its chunks in order.  Documents up to one chunk take one
     pass over their words; longer ones are split, scanned and backtraced.  The empty text
     has one chunk without ids.  Rows that repeat a doc_id are encoded each for itself.
-    summary: in place of the ids decoded_bytes, ids_crc32 and n_byte_ids.
+    summary: the ids are decoded again (see decode_pieces), and in their place stand decoded_bytes,
+    ids_crc32, n_byte_ids and decoded_sha256.
     """
     schema = SUMMARY if summary else COUNTS
     margin = pieces(model).longest
@@ -355,5 +411,18 @@ def encode_pieces(docs: DataFrame, model: str | None = None, chunk: int = CHUNK,
     parts = stash(parts.join(long_docs.select("key", "doc_id"), "key").repartition("key", "chunk"))
     weights = parts.mapInArrow(_matrices(model), "doc_id long, key long, chunk long, rows long, weights binary")
     states = weights.groupBy("key").applyInArrow(_states, "key long, chunk long, entry long, exit long")
-    traced = parts.join(states, ["key", "chunk"]).mapInArrow(_backtrace(model, summary), schema)
-    return short.union(traced)
+    traced = parts.join(states, ["key", "chunk"]).mapInArrow(_backtrace(model), COUNTS + ", key long")
+    return short.union(decode_pieces(traced, model, "key", True) if summary else traced.drop("key"))
+
+
+def decode_pieces(chunks: DataFrame, model: str | None = None, key: str = "doc_id", summary: bool = False) -> DataFrame:
+    """The texts of chunk rows (doc_id, chunk, chunks, ids): doc_id, chunk, chunks, n_ids, text, decoded_sha256.
+
+    A document's text is that of its chunks in order.  decoded_sha256 is of the text up to the end
+    of the chunk, in the last one of the whole.  A document's chunks pass through one task in order,
+    one batch at a time; none is held whole.  key: the column that tells documents apart, another one
+    where a doc_id of several chunks repeats.  summary: in place of the text decoded_bytes,
+    ids_crc32 and n_byte_ids.
+    """
+    rows = chunks.select(F.col(key).alias("key"), "doc_id", "chunk", "chunks", "ids")
+    return rows.repartition("key").sortWithinPartitions("key", "chunk").mapInArrow(_decode(model, summary), SUMMARY if summary else TEXTS)

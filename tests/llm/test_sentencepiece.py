@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -45,3 +46,27 @@ def test_documents(awkward, rows, nothing):
     for r in S.encode_pieces(awkward, chunk=700, summary=True).collect():
         sizes[r.doc_id] = sizes.get(r.doc_id, 0) + r.decoded_bytes
     assert all(sizes[i] == len(t.encode()) * (2 if i == 9 else 1) for i, t in rows)
+
+
+def test_decoding_gives_the_texts_back(spark, awkward, rows, nothing):
+    texts = dict(rows)
+    for chunk in (1 << 15, 700):
+        got = S.encode_pieces(awkward, chunk=chunk, summary=True).collect()
+        ends = sorted((r.doc_id, r.decoded_sha256) for r in got if r.chunk + 1 == r.chunks)
+        assert ends == sorted((i, hashlib.sha256(t.encode()).hexdigest()) for i, t in rows)
+        once = awkward.where("doc_id <> 9")
+        parts = {}
+        for r in sorted(S.decode_pieces(S.encode_pieces(once, chunk=chunk)).collect(), key=lambda r: r.chunk):
+            parts[r.doc_id] = parts.get(r.doc_id, "") + r.text
+        assert parts == {i: t for i, t in texts.items() if i != 9}
+    assert S.decode_pieces(S.encode_pieces(nothing)).count() == 0
+
+
+def test_a_character_on_both_sides_of_a_border(spark):
+    text = "a \U00012345 b"
+    ids = np.array(LIBRARY.encode(text), "<u4")
+    for cut in range(len(ids) + 1):
+        halves = [(1, 1, 2, ids[cut:].tobytes()), (1, 0, 2, ids[:cut].tobytes())]
+        df = spark.createDataFrame(halves, "doc_id long, chunk long, chunks long, ids binary").coalesce(1)
+        got = sorted(S.decode_pieces(df).collect(), key=lambda r: r.chunk)
+        assert "".join(r.text for r in got) == text and got[1].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
