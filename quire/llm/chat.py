@@ -47,10 +47,10 @@ def prefixes(rows: DataFrame) -> DataFrame:
     rolls forward turn by turn and carries over from block to block.
     """
     light = rows.select(
-        "conv_id", "block", "turn", "role",
+        "conv_id", "block", "turn", "role", "text",
         F.xxhash64("role", "text").alias("c1"), F.xxhash64(F.lit(7), "text", F.lit(11), "role").alias("c2"),
     )
-    in_block = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "c1", "c2")
+    in_block = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
     counts = light.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"))
     offsets = _carry(counts, ("before", F.sum("n")))
     placed = light.withColumn("rn", F.row_number().over(in_block)).join(offsets, ["conv_id", "block"])

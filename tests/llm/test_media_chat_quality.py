@@ -75,6 +75,16 @@ def brute_chats(rows):
     return sorted((c, len(said[c]), "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n".replace("<|x", "< |x") for r, t in said[c])) for c in keep)
 
 
+def test_tied_turns_go_by_their_texts(spark):
+    rows = []
+    for k in range(40):
+        # turns that share number and role: the shorter log is the first of the longer one's texts, or is not
+        rows += [(2 * k, 0, "user", f"a{k}"), (2 * k + 1, 0, "user", f"a{k}"), (2 * k + 1, 0, "user", f"b{k}")]
+        rows += [(1000 + 2 * k, None, "user", f"d{k}"), (1001 + 2 * k, None, "user", f"c{k}"), (1001 + 2 * k, None, "user", f"d{k}")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert sorted((r.conv_id, r.n_turns, r.rendered) for r in chat.format_chats(df).collect()) == brute_chats(rows)
+
+
 def test_chats(spark):
     random.seed(6)
     rows = []
