@@ -5,7 +5,8 @@ Rules that hold for every operator of this subpackage:
 * a row whose ``doc_id`` is null names no document and is left out;
 * a null text counts as the empty text;
 * further columns are ignored (or passed through by filtering stages), whatever their names;
-* a repeated row is a document of its own and is returned as often as it occurs.
+* a repeated row is a document of its own and is returned as often as it occurs; filters decide on
+  rows, never on ids alone, and keep one of several equal rows.
 """
 
 from __future__ import annotations
@@ -30,10 +31,19 @@ def documents(docs: DataFrame) -> DataFrame:
     ).where(F.col("doc_id").isNotNull())
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of docs, all columns whatever their names, whose doc_id is not null and not in gone."""
-    ids = gone.select(F.col("doc_id").alias("gone_id"))
-    return docs.where(docs["doc_id"].isNotNull()).join(ids, docs["doc_id"].cast("long") == ids["gone_id"], "left_anti")
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, least: int = 100_000) -> DataFrame:
+    """rows joined with groups (one row a key; size: how many of the rows have it), whatever the skew.
+
+    Keys with at least max(least, a thousandth of all rows) rows are at most a thousand, so they
+    are broadcast; the other keys meet in an ordinary shuffled join.  groups must be a written
+    table, since it is read more than once.
+    """
+    total, most = groups.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+    limit = max(least, -(-total // 1000))
+    if most < limit:
+        return rows.join(groups, key)
+    heavy, cold = F.broadcast(groups.where(F.col(size) >= limit)), groups.where(F.col(size) < limit)
+    return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(cold, key))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,16 +66,27 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
+def _remove(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @atexit.register
 def sweep() -> None:
     """Removes the tables that stash() wrote; runs when the driver ends, and may be called before."""
     while _written:
-        spark, at = _written.pop()
         try:
-            path = spark._jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # noqa: BLE001 - the session is gone: the cluster's own clean-up takes over
-            return
+            _remove(*_written.pop())
+        except Exception:  # noqa: BLE001, S112 - a session that is gone leaves its tables to the cluster's clean-up
+            continue
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table of stash() that nothing will read any more (the rounds of an iteration)."""
+    found = [w for w in _written if w[1] == getattr(df, "_stashed_at", None)]
+    for w in found:
+        _written.remove(w)
+        _remove(*w)
 
 
 def stash(df: DataFrame, codec: str = "zstd") -> DataFrame:
@@ -75,7 +96,9 @@ def stash(df: DataFrame, codec: str = "zstd") -> DataFrame:
     at = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}"
     _written.append((spark, at))
     df.write.option("compression", codec).parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    back = spark.read.schema(df.schema).parquet(at)
+    back._stashed_at = at
+    return back
 
 
 def text_bytes(docs: DataFrame) -> int:

@@ -153,10 +153,14 @@ def write_token_files(docs: DataFrame, vocabulary: str | None = None, shard_toke
 def read_token_files(shards: DataFrame) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32, in file order.
 
-    start counts the ids of all documents before it; the running sum goes over one row per
-    shard of millions of ids, never over documents.
+    start counts the ids of all documents before it.  The running sum has two levels: over the
+    ranges of doc_ids (one row per writing task), and inside each range over its shards.
     """
     rows = shards.mapInArrow(_decode_shards, ROWS)
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = shards.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("before"))
+    sizes = shards.select("shard", F.shiftright("shard", 32).alias("range"), "n_tokens")
+    earlier = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = sizes.groupBy("range").agg(F.sum("n_tokens").alias("n_tokens"))
+    ranges = ranges.select("range", earlier(Window.orderBy("range")).alias("range_before"))
+    inside = sizes.select("shard", "range", earlier(Window.partitionBy("range").orderBy("shard")).alias("shard_before"))
+    offsets = inside.join(ranges, "range").select("shard", (F.col("range_before") + F.col("shard_before")).alias("before"))
     return rows.join(offsets, "shard").select("doc_id", (F.col("before") + F.col("in_shard")).alias("start"), "n_tokens", "ids_crc32")

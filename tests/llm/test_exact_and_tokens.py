@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quire.llm import exact_dedup, packing, token_codes
@@ -25,10 +26,30 @@ def test_exact_groups(awkward, rows):
     assert got == want
 
 
-def test_exact_filter_keeps_columns(awkward):
+def test_equal_digests_alone_merge_nothing(awkward, rows):
+    first_digit = lambda c: F.substring(F.sha2(c, 256), 1, 1)
+    for hot in (100_000, 2):
+        got = exact_dedup.exact_groups(awkward, salts=3, digest=first_digit, least_hot=hot).collect()
+        want = sorted((i, max(j for j, u in rows if u == t), sum(u == t for _, u in rows)) for i, t in rows)
+        assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got) == want
+
+
+def test_hot_groups_meet_their_winner_by_broadcast(awkward):
+    plain = exact_dedup.exact_groups(awkward)
+    hot = exact_dedup.exact_groups(awkward, least_hot=2)
+    assert sorted(map(tuple, hot.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_exact_filter_keeps_one_row_a_text(awkward):
     kept = exact_dedup.drop_exact_copies(awkward)
-    assert kept.columns == awkward.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 6, 7, 8, 9, 9, 11, 12, 13]
+    assert kept.schema == awkward.schema
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 6, 7, 8, 9, 11, 12, 13]
+    assert {r.doc_id: r.keep_id for r in kept.collect()}[6] == "k"
+
+
+def test_exact_filter_decides_on_rows(spark):
+    df = spark.createDataFrame([(5, "A"), (9, "A"), (5, "B"), (7, "C"), (7, "C"), (8, None), (2, "")], "doc_id long, text string")
+    assert sorted(map(tuple, exact_dedup.drop_exact_copies(df).collect())) == sorted([(5, "B"), (7, "C"), (9, "A"), (8, None)], key=lambda r: r[0])
 
 
 def test_exact_empty(nothing):
