@@ -66,19 +66,19 @@ def prefixes(rows: DataFrame) -> DataFrame:
 
 
 def maximal(rows: DataFrame) -> DataFrame:
-    """(conv_id, n_turns) of conversations that are no prefix of another; of equal ones the smallest conv_id."""
+    """(conv_id, n_turns) of conversations that are no prefix of another; of equal ones the smallest conv_id.
+
+    Ends that share a prefix become one row before they meet the prefixes that go on, of which
+    each is one row too: however often a conversation is logged, no key of the anti-join is hot.
+    """
     # two hashes a turn, written once: the branches below read them again
     heads = stash(prefixes(rows))
     length = heads.groupBy("conv_id").agg(F.max("k").alias("n"))
     full = heads.join(length, "conv_id")
-    # one row per prefix: the longest conversation that goes on from it
-    best = full.groupBy("k", "h1", "h2").agg(F.max(F.struct("n", (-F.col("conv_id")).alias("neg"))).alias("top"))
-    best = best.select(F.col("k").alias("bk"), F.col("h1").alias("bh1"), F.col("h2").alias("bh2"), "top.n", "top.neg")
-    best = best.withColumnsRenamed({"n": "best_n", "neg": "best_neg"})
-    ends = full.where("k = n")
-    longer = (F.col("best_n") > F.col("n")) | (F.col("best_neg") > -F.col("conv_id"))
-    same = (F.col("k") == F.col("bk")) & (F.col("h1") == F.col("bh1")) & (F.col("h2") == F.col("bh2"))
-    return ends.join(best, same & longer, "left_anti").select("conv_id", F.col("n").alias("n_turns"))
+    prefix = ["k", "h1", "h2"]
+    ends = full.where("k = n").groupBy(*prefix).agg(F.min("conv_id").alias("conv_id"))
+    longer = full.where("k < n").select(*prefix).distinct()
+    return ends.join(longer, prefix, "left_anti").select("conv_id", F.col("k").alias("n_turns"))
 
 
 def render(rows: DataFrame) -> DataFrame:

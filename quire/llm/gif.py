@@ -9,18 +9,21 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quire.llm.common import documents, stash
 
 WIDTH = 192
 FRAME_ROWS = 1024
 DELAY = 4  # hundredths of a second
+#: Stored frames stay, go back to the background and go back to the frame before, in turn; spaces are transparent.
+DISPOSALS, CLEAR = (1, 2, 3), 32
 BINS = 4
 
 # --- LZW ---
@@ -144,14 +147,20 @@ def colour_cube() -> np.ndarray:
 _CUBE = colour_cube()
 
 
-def write_gif(frames: list[np.ndarray], palette: np.ndarray = _CUBE, delay: int = DELAY, disposal: int = 1, transparent: int | None = None) -> bytes:
-    """An animation of index frames (height x width, all as wide as the first), at the upper left."""
+def write_gif(
+    frames: list[np.ndarray], palette: np.ndarray = _CUBE, delay: int = DELAY, disposal: int | Sequence[int] = 1, transparent: int | None = None
+) -> bytes:
+    """An animation of index frames (height x width, all as wide as the first), at the upper left.
+
+    disposal: one for all frames, or those of the frames in turn.
+    """
+    turn = [disposal] if isinstance(disposal, int) else disposal
     high, wide = max(len(f) for f in frames), frames[0].shape[1]
     out = [b"GIF89a", struct.pack("<HHBBB", wide, high, 0xF7, 0, 0), palette.tobytes()]
     if len(frames) > 1:
         out.append(b"\x21\xff\x0bNETSCAPE2.0\x03\x01\x00\x00\x00")
-    for f in frames:
-        flags = disposal << 2 | (transparent is not None)
+    for i, f in enumerate(frames):
+        flags = turn[i % len(turn)] << 2 | (transparent is not None)
         out.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, flags, delay, transparent or 0, 0))
         out.append(struct.pack("<BHHHHB", 0x2C, 0, 0, f.shape[1], f.shape[0], 0) + b"\x08")
         codes = lzw_encode(f.tobytes())
@@ -166,6 +175,7 @@ class Frame:
     top: int
     delay: int
     disposal: int
+    transparent: int | None
     indices: np.ndarray
     canvas: np.ndarray | None  # height x width x RGBA, as shown
 
@@ -231,7 +241,7 @@ def read_gif(data: bytes, compose: bool = True) -> Iterator[Frame]:
                 area[...] = 0
             elif disposal == 3:
                 canvas = before
-        yield Frame(left, top, delay, disposal, rows, shown)
+        yield Frame(left, top, delay, disposal, transparent, rows, shown)
         disposal, delay, transparent = 0, 0, None
 
 
@@ -258,49 +268,53 @@ def payload_frames(payload: bytes, rows: int = FRAME_ROWS) -> list[np.ndarray]:
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t.encode() for t in batch.column(1).to_pylist()]
-        media = [write_gif(payload_frames(payload_of(t))) for t in texts]
+        media = [write_gif(payload_frames(payload_of(t)), disposal=DISPOSALS, transparent=CLEAR) for t in texts]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"]
         )
 
 
-FRAMES = "doc_id long, frame int, start_ms long, delay_ms long, disposal int, width int, height int, histogram array<long>"
-FEATURES = (
-    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_FRAME = (
+    "struct<frame:int,start_ms:bigint,delay_ms:bigint,disposal:int,transparent:int,width:int,height:int,"
+    "red:array<bigint>,green:array<bigint>,blue:array<bigint>>"
+)
+_FRAME_ARROW = pa.struct([
+    ("frame", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int64()), ("disposal", pa.int32()), ("transparent", pa.int32()),
+    ("width", pa.int32()), ("height", pa.int32()), *((c, pa.list_(pa.int64())) for c in ("red", "green", "blue")),
+])
+DECODED = (
+    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
+    f"problem string, frames array<{_FRAME}>"
 )
 
 
-def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for doc_id, media in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True):
-            rows, start = [], 0
-            for i, f in enumerate(read_gif(media or b"GIF89a" + bytes(7))):
-                h, w = f.canvas.shape[:2]
-                rows.append({"doc_id": doc_id, "frame": i, "start_ms": start, "delay_ms": 10 * f.delay, "disposal": f.disposal, "width": w, "height": h, "histogram": colour_histogram(f.canvas).tolist()})
-                start += 10 * f.delay
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([
-                    ("doc_id", pa.int64()), ("frame", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int64()),
-                    ("disposal", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("histogram", pa.list_(pa.int64())),
-                ]))
-
-
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def timed_frame(number: int, start: int, f: Frame) -> dict:
+    """A frame's timing, size and colour histogram as shown."""
+    h, w = f.canvas.shape[:2]
+    levels = colour_histogram(f.canvas).reshape(3, -1).tolist()
+    return {
+        "frame": number, "start_ms": start, "delay_ms": 10 * f.delay, "disposal": f.disposal, "transparent": f.transparent,
+        "width": w, "height": h, "red": levels[0], "green": levels[1], "blue": levels[2],
+    }
+
+
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in DECODED.split(", ")]
+    kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(_FRAME_ARROW)]
     for batch in batches:
         rows = []
         for doc_id, n_bytes, media in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            parts, total, lasts, count = [], np.zeros(3 * BINS, np.int64), 0, 0
-            for f in read_gif(media):
-                parts.append(f.indices.tobytes())
-                total += colour_histogram(f.canvas[: len(f.indices)])
-                lasts += 10 * f.delay
-                count += 1
-            payload = b"".join(parts)
-            feature = f"frames={count};ms={lasts};rgb=" + ",".join(map(str, total.tolist()))
-            rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-        kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        names = [c.split()[0] for c in FEATURES.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 8, kinds, strict=True)], names)
+            parts, frames, start, problem = [], [], 0, None
+            try:
+                for i, f in enumerate(read_gif(media or b"")):
+                    parts.append(f.indices.tobytes())
+                    frames.append(timed_frame(i, start, f))
+                    start += 10 * f.delay
+            except (ValueError, IndexError, struct.error) as e:
+                problem = f"{type(e).__name__}: {e}"
+            payload, media = b"".join(parts), media or b""
+            rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), problem, frames))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 9, kinds, strict=True)], names)
 
 
 def store_as_gif(docs: DataFrame) -> DataFrame:
@@ -312,11 +326,28 @@ def store_as_gif(docs: DataFrame) -> DataFrame:
     return stash(documents(docs).mapInArrow(_store, "doc_id long, n_bytes long, media binary"))
 
 
-def timed_frames(media: DataFrame) -> DataFrame:
-    """One row per frame of the GIF files in media (doc_id, media): timing, size and colour histogram as shown."""
-    return media.select("doc_id", "media").mapInArrow(_frames, FRAMES)
+def decode_media(media: DataFrame) -> DataFrame:
+    """Every GIF of media (doc_id, n_bytes, media) decoded once, and the result written: sizes and
+    digests of the bytes read back, and the timed frames with their colour histograms.
+
+    Media that are no GIF, or break off, have a problem and the frames before it; null is no GIF.
+    """
+    return stash(media.select("doc_id", "n_bytes", "media").mapInArrow(_decode, DECODED))
+
+
+def timed_frames(decoded: DataFrame) -> DataFrame:
+    """One row per stored frame: doc_id, frame, start_ms, delay_ms, disposal, transparent, width, height,
+    and counts of red, green and blue levels over the visible pixels."""
+    return decoded.select("doc_id", F.inline("frames"))
 
 
-def gif_features(media: DataFrame) -> DataFrame:
-    """Per stored document: payload and media sizes and digests from the bytes read back, and a feature."""
-    return media.mapInArrow(_features, FEATURES)
+def gif_features(decoded: DataFrame) -> DataFrame:
+    """Per stored document: payload and media sizes and digests, the timed frames, and a feature: frames,
+    duration, and the colour levels summed over all frames as shown."""
+    number = lambda x: x.cast("string")
+    level = lambda c, i: F.aggregate("frames", F.lit(0).cast("long"), lambda a, f: a + f[c][i])
+    levels = F.concat_ws(",", *[number(level(c, i)) for c in ("red", "green", "blue") for i in range(BINS)])
+    lasts = F.aggregate("frames", F.lit(0).cast("long"), lambda a, f: a + f["delay_ms"])
+    feature = F.concat(F.lit("frames="), number(F.size("frames")), F.lit(";ms="), number(lasts), F.lit(";rgb="), levels)
+    kept = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+    return decoded.select(*kept, feature.alias("feature"), "frames")

@@ -9,7 +9,7 @@ from quire.llm.chat import format_chats
 from quire.llm.common import read_table
 from quire.llm.crf_quality import quality_scores
 from quire.llm.exact_dedup import exact_groups
-from quire.llm.gif import gif_features, store_as_gif
+from quire.llm.gif import decode_media, gif_features, store_as_gif
 from quire.llm.packing import pack
 from quire.llm.passage_dedup import passage_dedup
 from quire.llm.sentencepiece_scan import encode_pieces
@@ -31,7 +31,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif_features(store_as_gif(read_table(spark, sf_dir, "documents")))
+    return gif_features(decode_media(store_as_gif(read_table(spark, sf_dir, "documents"))))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
