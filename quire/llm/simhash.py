@@ -19,16 +19,16 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import documents, parts_for, stash, without
+from quire.llm.common import discard, documents, join_groups, parts_for, stash
 
 WORDS = 4
 BITS = 4
 SEED = 42
-TILE = 2048
-_LEAF, _FAN, _SLICE = 16, 8, 1 << 14
+TILE = 1 << 16
+_LEAF, _FAN, _SLICE = 16, 8, 1 << 13
 _BROADCAST_ROOTS = 50_000
 
 
@@ -62,7 +62,9 @@ def fingerprint(text: str) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        more = range(2, batch.num_columns)
+        columns = [batch.column(0), pa.array(found.view(np.int64)), *map(batch.column, more)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", *(batch.schema.names[i] for i in more)])
 
 
 def block_count(n: int, bits: int = BITS) -> int:
@@ -108,59 +110,75 @@ def join_components(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndar
             labels = up
 
 
+def _children(first: np.ndarray, stop: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs (x, y) of a child of a and a child of b, x <= y, and the number of the pair they come from."""
+    wide, high = stop[a] - first[a], stop[b] - first[b]
+    size = wide * high
+    pair = np.repeat(np.arange(len(a)), size)
+    k = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
+    x, y = first[a][pair] + k // high[pair], first[b][pair] + k % high[pair]
+    ok = x <= y
+    return x[ok], y[ok], pair[ok]
+
+
 class GrayIndex:
-    """Nodes of (mask, pattern) over fingerprints in Gray order."""
+    """Nodes of (mask, pattern) over fingerprints in Gray order, for many roots side by side.
+
+    codes: the fingerprints of each root in Gray order, root after root; first: where each root
+    begins.  Level 0 holds runs of up to _LEAF codes and every further level runs of up to _FAN
+    nodes, none of them across roots, until each root is one node.
+    """
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, codes: np.ndarray, first: np.ndarray | None = None):
         self.codes = codes
-        first = np.arange(0, len(codes), _LEAF)
-        pattern = codes[first]
-        differ = np.bitwise_or.reduceat(codes ^ np.repeat(pattern, np.diff(np.append(first, len(codes)))), first)
-        self.levels = [(pattern & ~differ, ~differ)]
-        while len(self.levels[-1][0]) > 1:
-            below, mask = self.levels[-1]
-            first = np.arange(0, len(below), _FAN)
-            lead = np.repeat(below[first], np.diff(np.append(first, len(below))))
-            shared = np.bitwise_and.reduceat(mask & ~(below ^ lead), first)
-            self.levels.append((below[first] & shared, shared))
+        root = np.zeros(1, np.int64) if first is None else first
+        bounds, width = np.append(root, len(codes)), _LEAF
+        pattern, mask = codes, np.full(len(codes), ~np.uint64(0))
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # pattern, mask, first and stop below
+        while True:
+            nodes = -(-np.diff(bounds) // width)
+            below = np.repeat(bounds[:-1] - width * (np.cumsum(nodes) - nodes), nodes) + width * np.arange(int(nodes.sum()))
+            stop = np.minimum(below + width, np.repeat(bounds[1:], nodes))
+            lead = np.repeat(pattern[below], stop - below)
+            shared = np.bitwise_and.reduceat(mask & ~(pattern ^ lead), below)
+            self.levels.append((pattern[below] & shared, shared, below, stop))
+            pattern, mask = self.levels[-1][:2]
+            bounds, width = np.append(0, np.cumsum(nodes)), _FAN
+            if (nodes == 1).all():
+                break
+        # the codes below every node are neighbours: from node_first[level] on
+        self.spans = [self.levels[0][2]]
+        for level in self.levels[1:]:
+            self.spans.append(self.spans[-1][level[2]])
 
     def forest(self, bits: int) -> np.ndarray:
-        """labels of the components under links of at most `bits` differing bits."""
+        """labels of the components under links of at most `bits` differing bits, root by root."""
         n = len(self.codes)
-        labels, zero = np.arange(n), np.zeros(1, np.int64)
-        todo = [(len(self.levels) - 1, zero, zero, np.zeros(1, np.uint64), zero)]
+        labels = np.arange(n)
+        top = np.arange(len(self.levels[-1][0]))
+        todo = [(len(self.levels) - 1, top, top, np.zeros(len(top), np.uint64), np.zeros(len(top), np.int64))]
         while todo:
             level, a, b, known, diff = todo.pop()
             if len(a) > _SLICE:
                 half = len(a) // 2
                 todo.append((level, a[half:], b[half:], known[half:], diff[half:]))
-                a, b, known, diff = a[:half], b[:half], known[:half], diff[:half]
-                if len(a) > _SLICE:
-                    todo.append((level, a, b, known, diff))
-                    continue
-            pattern, mask = self.levels[level]
+                todo.append((level, a[:half], b[:half], known[:half], diff[:half]))
+                continue
+            pattern, mask, first, stop = self.levels[level]
             both = mask[a] & mask[b]
             diff = diff + np.bitwise_count((pattern[a] ^ pattern[b]) & both & ~known)
             keep = diff <= bits
+            # pairs whose members are all in one component already can add nothing
+            low, high = np.minimum.reduceat(labels, self.spans[level]), np.maximum.reduceat(labels, self.spans[level])
+            keep &= ~((low[a] == high[a]) & (low[b] == high[b]) & (low[a] == low[b]))
             a, b, known, diff = a[keep], b[keep], both[keep], diff[keep]
+            if not len(a):
+                continue
+            x, y, pair = _children(first, stop, a, b)
             if level:
-                size, fan = len(self.levels[level - 1][0]), _FAN
-                x = (a[:, None] * fan + np.repeat(np.arange(fan), fan)).ravel()
-                y = (b[:, None] * fan + np.tile(np.arange(fan), fan)).ravel()
-                ok = (x <= y) & (y < size)
-                wide = fan * fan
-                todo.append((level - 1, x[ok], y[ok], np.repeat(known, wide)[ok], np.repeat(diff, wide)[ok]))
+                todo.append((level - 1, x, y, known[pair], diff[pair]))
                 continue
-            # leaves: a pair whose members are already in one component can add nothing
-            first = np.arange(0, n, _LEAF)
-            low, high = np.minimum.reduceat(labels, first), np.maximum.reduceat(labels, first)
-            open_ = ~((low[a] == high[a]) & (low[b] == high[b]) & (low[a] == low[b]))
-            a, b = a[open_], b[open_]
-            x = (a[:, None] * _LEAF + np.repeat(np.arange(_LEAF), _LEAF)).ravel()
-            y = (b[:, None] * _LEAF + np.tile(np.arange(_LEAF), _LEAF)).ravel()
-            ok = (x < y) & (y < n)
-            x, y = x[ok], y[ok]
-            near = np.bitwise_count(self.codes[x] ^ self.codes[y]) <= bits
+            near = (x < y) & (np.bitwise_count(self.codes[x] ^ self.codes[y]) <= bits)
             labels = join_components(labels, x[near], y[near])
         return labels
 
@@ -172,22 +190,10 @@ def _link_roots(bits: int):
             return
         root, part, fp, node = np.concatenate(got, axis=1)
         codes = fp.view(np.uint64)
-        rank = gray_rank(codes)
-        order = np.lexsort((node, rank, part, root))
+        order = np.lexsort((node, gray_rank(codes), part, root))
         root, part, codes, node = root[order], part[order], codes[order], node[order]
-        edge = np.append(True, (root[1:] != root[:-1]) | (part[1:] != part[:-1]))
-        first = np.flatnonzero(edge)
-        size = np.diff(np.append(first, len(codes)))
-        group = np.cumsum(edge) - 1
-        labels = np.arange(len(codes))
-        small = size <= _LEAF
-        for step in range(1, min(_LEAF, int(size.max()))):
-            at = np.flatnonzero(small[group[:-step]] & (group[step:] == group[:-step]))
-            near = at[np.bitwise_count(codes[at] ^ codes[at + step]) <= bits]
-            labels = join_components(labels, near, near + step)
-        for g in np.flatnonzero(~small):
-            lo, hi = first[g], first[g] + size[g]
-            labels[lo:hi] = GrayIndex(codes[lo:hi]).forest(bits) + lo
+        first = np.flatnonzero(np.append(True, (root[1:] != root[:-1]) | (part[1:] != part[:-1])))
+        labels = GrayIndex(codes, first).forest(bits)
         kids = np.flatnonzero(labels != np.arange(len(codes)))
         a, b = node[kids], node[labels[kids]]
         apart = a != b
@@ -220,24 +226,46 @@ def near_links(distinct: DataFrame, n: int, bits: int = BITS, tile: int = TILE)
     return spread.mapInArrow(_link_roots(bits), "u long, v long").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, least_hot: int = 100_000) -> DataFrame:
     """(node, component): alternating large-star and small-star contraction until nothing moves.
 
-    component is the smallest node reachable.  Nodes without an edge are not returned.
+    component is the smallest node reachable.  Nodes without an edge are not returned.  A node of
+    very many edges meets its minimum by a broadcast of bounded size (see join_groups).
     """
-    edges, before = stash(edges), None
-    for _ in range(most_rounds):
+    edges, before = stash(edges.distinct()), None
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stash(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        low = stash(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        star = join_groups(both, low, "u", "n", least_hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stash(star.distinct())
+        least = stash(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = join_groups(large, least, "u", "n", least_hot).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = stash(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        for done in (edges, low, large, least):
+            discard(done)
+        edges = after
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = now
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def _marked(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, fp, more) of every row, written once."""
+    rows = documents(docs)
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*more).schema.fields]
+    return stash(rows.select("doc_id", "text", *more).mapInArrow(_fingerprints, ", ".join(["doc_id long", "fp long", *kinds])))
+
+
+def _named(marks: DataFrame, bits: int, tile: int) -> DataFrame:
+    """(fp, docs, component, component_id) of every fingerprint: component is the smallest fingerprint
+    reachable, component_id the smallest doc_id of the component's rows."""
+    distinct = stash(marks.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("docs")))
+    nodes = distinct.select("fp", F.col("fp").alias("node"))
+    found = components(near_links(nodes, distinct.count(), bits, tile)).withColumnRenamed("node", "fp")
+    placed = stash(distinct.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    lowest = stash(placed.groupBy("component").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    return stash(join_groups(placed, lowest, "component", "n").select("fp", "docs", "component", "component_id"))
 
 
 def near_groups(docs: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
@@ -245,15 +273,26 @@ def near_groups(docs: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFram
 
     component_id is the smallest doc_id reachable over links of at most `bits` differing
     bits, the document itself included.  Texts without a word (null and empty ones too)
-    have fingerprint 0 and link like any other.  Repeated rows are returned each time.
+    have fingerprint 0 and link like any other.  Repeated rows are returned each time; texts
+    that share a doc_id are linked by their fingerprints alone.
     """
-    marks = stash(documents(docs).mapInArrow(_fingerprints, "doc_id long, fp long"))
-    distinct = stash(marks.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    found = components(near_links(distinct, distinct.count(), bits, tile))
-    named = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return marks.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    marks = _marked(docs)
+    found = join_groups(marks, _named(marks, bits, tile), "fp", "docs")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
 
+def drop_near_copies(docs: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
+    """One row of docs, all columns, per group of near copies: one with the smallest doc_id.
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns: of each group the row with the smallest doc_id stays."""
-    return without(docs, near_groups(docs).where("doc_id <> component_id"))
+    Of several rows with that doc_id in a group, the one whose text has the smallest SHA-256
+    digest stays, and one of equal rows.  Rows without doc_id are left out.
+    """
+    marks = _marked(docs, F.sha2("text", 256).alias("digest"))
+    grouped = join_groups(marks, _named(marks, bits, tile), "fp", "docs").where("doc_id = component_id")
+    stay = grouped.groupBy("component", "doc_id").agg(F.min("digest").alias("stay_digest")).select(F.col("doc_id").alias("stay_id"), "stay_digest")
+    # the rows travel once: the join's key is also the key by which equal rows become one
+    id_, digest = docs["doc_id"].cast("long"), F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256)
+    packed = docs.select(id_.alias("row_id"), digest.alias("row_digest"), F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"))
+    kept = packed.join(stay, (F.col("row_id") == F.col("stay_id")) & (F.col("row_digest") == F.col("stay_digest")), "left_semi")
+    one = kept.groupBy("row_id", "row_digest").agg(F.first("row").alias("row"))
+    return one.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

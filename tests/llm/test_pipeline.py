@@ -1,10 +1,43 @@
+import hashlib
+
 import corpus_pipeline
 from quire.llm import crf_quality, exact_dedup, packing, simhash, suffix_dedup
 from quire.llm.common import stash
+from test_near import brute_groups
+from test_passages import brute_bytes
 
 SF = "/root/testdata/sf0.001"
 
 
+def test_stages_on_awkward_rows(spark):
+    """Nulls, empty and long texts, ids that repeat with equal and with other texts, columns whose names clash."""
+    far = [" ".join(f"{w}{i}" for i in range(90)) for w in ("red", "blue", "green", "grey")]
+    long = " ".join(f"long{i % 977}" for i in range(20_000))
+    rows = [
+        (5, far[0], "a"), (9, far[0], "b"), (5, far[1], None), (7, far[2], "c"), (7, far[2], "c"), (None, far[3], "d"), (4, None, "e"), (3, "", None),
+        (8, long, "f"), (8, long + " end", "g"), (10, far[3] + " " + far[0], "h"), (11, far[3][:300], None), (12, far[3], "i"),
+    ]
+    docs = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "doc_id long, text string, row string, fp int, digest string, n_chars long")
+    exact = stash(corpus_pipeline.exact(spark, docs, SF))
+    want = {}
+    for i, t, *_ in rows:
+        if i is not None:
+            want[t or ""] = max(i, want.get(t or "", i))
+    assert sorted((r.text or "", r.doc_id) for r in exact.collect()) == sorted(want.items())
+    near = stash(corpus_pipeline.near(spark, exact, SF))
+    groups = brute_groups(sorted((r.doc_id, r.text or "") for r in exact.collect()))
+    assert sorted(r.doc_id for r in near.collect()) == sorted({c for _, _, c in groups})
+    repeats = stash(corpus_pipeline.repeats(spark, near, SF))
+    source = [(r.doc_id, r.text or "") for r in near.collect()]
+    cut = brute_bytes(source)
+    assert sorted((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in repeats.collect()) == sorted((c[0], c[4]) for c in cut)
+    assert all(df.columns == docs.columns for df in (exact, near, repeats))
+    packed = corpus_pipeline.packing(spark, repeats, SF).groupBy("doc_id").agg({"length": "sum"}).collect()
+    assert len(packed) == len(source)
+    empty = docs.limit(0)
+    assert all(stage(spark, empty, SF).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
 def test_stages_take_effect(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = docs.columns
