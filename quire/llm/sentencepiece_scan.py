@@ -34,6 +34,8 @@ from quire.llm.common import documents, stash
 DEFAULT_MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 CHUNK = 1 << 15
+#: Chunks whose matrices are multiplied in one task.
+RUN = 256
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _NONE = -np.inf
 
@@ -197,15 +199,26 @@ class Chunk:
         return b"".join(out)
 
 
-def scan(matrices: list[np.ndarray]) -> list[int]:
-    """The state at every boundary (one more than matrices) on the best path.
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The max-plus product: best weight over every state between."""
+    return (a[:, :, None] + b[None, :, :]).max(1)
+
+
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """The product of neighbouring matrices, combined pairwise."""
+    while len(matrices) > 1:
+        pairs = [times(a, b) for a, b in zip(matrices[::2], matrices[1::2], strict=False)]
+        matrices = pairs + matrices[len(pairs) * 2 :]
+    return matrices[0]
+
+
+def scan(matrices: list[np.ndarray], entry: int | None = None, exit_: int | None = None) -> list[int]:
+    """The state at every boundary (one more than matrices) on the best path, between the given
+    states at both ends where they are known.
 
     Prefixes and suffixes of the max-plus product are combined by doubling.
     """
 
-    def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (a[:, :, None] + b[None, :, :]).max(1)
-
     def prefixes(ms: list[np.ndarray], flip: bool) -> list[np.ndarray]:
         done, step = list(ms), 1
         while step < len(done):
@@ -215,8 +228,12 @@ def scan(matrices: list[np.ndarray]) -> list[int]:
             step *= 2
         return done
 
-    forward = [np.zeros(1), *(m.max(0) for m in prefixes(matrices, False))]
-    backward = [*(m.max(1) for m in prefixes(matrices[::-1], True))][::-1] + [np.zeros(matrices[-1].shape[1])]
+    def only(size: int, state: int | None) -> np.ndarray:
+        return np.zeros(size) if state is None else np.where(np.arange(size) == state, 0.0, _NONE)
+
+    start, end = only(matrices[0].shape[0], entry), only(matrices[-1].shape[1], exit_)
+    forward = [start, *((start[:, None] + m).max(0) for m in prefixes(matrices, False))]
+    backward = [*((m + end[None, :]).max(1) for m in prefixes(matrices[::-1], True))][::-1] + [end]
     return [int(np.argmax(f + b)) for f, b in zip(forward, backward, strict=True)]
 
 
@@ -263,7 +280,7 @@ class Decoder:
         return self._digest.hexdigest()
 
 
-PARTS = "doc_id long, chunk long, chunks long, begin long, stop long, part string"
+PARTS = "key long, doc_id long, chunk long, chunks long, begin long, stop long, part string"
 COUNTS = "doc_id long, chunk long, chunks long, n_ids long, ids binary"
 TEXTS = "doc_id long, chunk long, chunks long, n_ids long, text string, decoded_sha256 string"
 SUMMARY = "doc_id long, chunk long, chunks long, n_ids long, decoded_bytes long, ids_crc32 long, n_byte_ids long, decoded_sha256 string"
@@ -325,17 +342,17 @@ def _decode(model: str | None, summary: bool):
 
 def _split(size: int, margin: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "chunk", "chunks", "begin", "stop", "part"]
+        names = ["key", "doc_id", "chunk", "chunks", "begin", "stop", "part"]
         for batch in batches:
             rows = []
-            for doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+            for key, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 text = marked(text)
                 n = max(1, -(-len(text) // size))
                 for c in range(n):
                     lo, hi = c * size, min(len(text), (c + 1) * size)
                     left = max(0, lo - margin)
-                    rows.append((doc_id, c, n, lo - left, hi - left, text[left : hi + margin]))
-                    if sum(len(r[5]) for r in rows[-64:]) > 1 << 22:
+                    rows.append((key, doc_id, c, n, lo - left, hi - left, text[left : hi + margin]))
+                    if sum(len(r[6]) for r in rows[-64:]) > 1 << 22:
                         yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names)
                         rows = []
             if rows:
@@ -356,29 +373,73 @@ def _whole(model: str | None, summary: bool):
     return run
 
 
-def _matrices(model: str | None):
+def _flat(m: np.ndarray) -> tuple[int, bytes]:
+    return m.shape[0], m.astype("<f4").tobytes()
+
+
+def _square(rows: int, weights: bytes) -> np.ndarray:
+    return np.frombuffer(weights, "<f4").reshape(rows, -1)
+
+
+WEIGHTS = "key long, run long, chunk long, rows long, weights binary"
+RUNS = "key long, run long, rows long, weights binary"
+ENDS = "key long, run long, entry long, exit long"
+STATES = "key long, chunk long, entry long, exit long"
+
+
+def _matrices(model: str | None, run_length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
         for batch in batches:
             for r in batch.to_pylist():
-                m = Chunk(p, r["part"], r["begin"], r["stop"]).transfer()
-                yield pa.RecordBatch.from_pylist(
-                    [{"doc_id": r["doc_id"], "key": r["key"], "chunk": r["chunk"], "rows": m.shape[0], "weights": m.astype("<f4").tobytes()}],
-                    pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("chunk", pa.int64()), ("rows", pa.int64()), ("weights", pa.binary())]),
-                )
+                rows, weights = _flat(Chunk(p, r["part"], r["begin"], r["stop"]).transfer())
+                row = {"key": r["key"], "run": r["chunk"] // run_length, "chunk": r["chunk"], "rows": rows, "weights": weights}
+                kinds = pa.schema([*((c, pa.int64()) for c in ("key", "run", "chunk", "rows")), ("weights", pa.binary())])
+                yield pa.RecordBatch.from_pylist([row], kinds)
 
     return run
 
 
-def _states(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
-    state = scan([np.frombuffer(r["weights"], "<f4").reshape(r["rows"], -1) for r in rows])
+def _in_order(table: pa.Table, by: str) -> tuple[list[dict], list[np.ndarray]]:
+    rows = sorted(table.to_pylist(), key=lambda r: r[by])
+    return rows, [_square(r["rows"], r["weights"]) for r in rows]
+
+
+def _run_product(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    rows, weights = _flat(product(_in_order(table, "chunk")[1]))
+    return pa.table({"key": pa.array([key[0].as_py()]), "run": pa.array([key[1].as_py()]), "rows": pa.array([rows]), "weights": pa.array([weights], pa.binary())})
+
+
+def _run_ends(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    rows, matrices = _in_order(table, "run")
+    state = scan(matrices)
+    return pa.table({
+        "key": pa.array([key[0].as_py()] * len(rows), pa.int64()), "run": pa.array([r["run"] for r in rows], pa.int64()),
+        "entry": pa.array(state[:-1], pa.int64()), "exit": pa.array(state[1:], pa.int64()),
+    })
+
+
+def _run_states(key: tuple[pa.Scalar, ...], weights: pa.Table, ends: pa.Table) -> pa.Table:
+    rows, matrices = _in_order(weights, "chunk")
+    (end,) = ends.to_pylist()
+    state = scan(matrices, end["entry"], end["exit"])
     return pa.table({
         "key": pa.array([key[0].as_py()] * len(rows), pa.int64()), "chunk": pa.array([r["chunk"] for r in rows], pa.int64()),
         "entry": pa.array(state[:-1], pa.int64()), "exit": pa.array(state[1:], pa.int64()),
     })
 
 
+def boundary_states(weights: DataFrame) -> DataFrame:
+    """(key, chunk, entry, exit): the states on each document's best path, from WEIGHTS rows.
+
+    Runs of chunks are multiplied in tasks of their own; a document's products, one per run, are
+    scanned for the states between runs; then each run is scanned alone between its two states.
+    """
+    runs = weights.groupBy("key", "run").applyInArrow(_run_product, RUNS)
+    ends = runs.groupBy("key").applyInArrow(_run_ends, ENDS)
+    return weights.groupBy("key", "run").cogroup(ends.groupBy("key", "run")).applyInArrow(_run_states, STATES)
+
+
 def _backtrace(model: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
@@ -391,27 +452,24 @@ def _backtrace(model: str | None):
     return run
 
 
-def encode_pieces(docs: DataFrame, model: str | None = None, chunk: int = CHUNK, summary: bool = False) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str | None = None, chunk: int = CHUNK, summary: bool = False, run: int = RUN) -> DataFrame:
     """Ids chunk by chunk: doc_id, chunk, chunks, n_ids, ids (little-endian 32-bit).
 
     A document's ids are those of its chunks in order.  Documents up to one chunk take one
-    pass over their words; longer ones are split, scanned and backtraced.  The empty text
-    has one chunk without ids.  Rows that repeat a doc_id are encoded each for itself.
-    summary: the ids are decoded again (see decode_pieces), and in their place stand decoded_bytes,
-    ids_crc32, n_byte_ids and decoded_sha256.
+    pass over their words; longer ones are split, scanned (in runs of `run` chunks) and
+    backtraced.  The empty text has one chunk without ids.  Rows that repeat a doc_id are encoded
+    each for itself.  summary: the ids are decoded again (see decode_pieces), and in their place
+    stand decoded_bytes, ids_crc32, n_byte_ids and decoded_sha256.
     """
     schema = SUMMARY if summary else COUNTS
     margin = pieces(model).longest
     rows = documents(docs)
     short = rows.where(F.length("text") < chunk).mapInArrow(_whole(model, summary), schema)
     # the key tells repeated rows apart; the table fixes it
-    split = rows.where(F.length("text") >= chunk).withColumn("key", F.monotonically_increasing_id())
-    long_docs = stash(split)
-    parts = long_docs.select("key", "text").mapInArrow(_split(chunk, margin), PARTS).withColumnRenamed("doc_id", "key")
-    parts = stash(parts.join(long_docs.select("key", "doc_id"), "key").repartition("key", "chunk"))
-    weights = parts.mapInArrow(_matrices(model), "doc_id long, key long, chunk long, rows long, weights binary")
-    states = weights.groupBy("key").applyInArrow(_states, "key long, chunk long, entry long, exit long")
-    traced = parts.join(states, ["key", "chunk"]).mapInArrow(_backtrace(model), COUNTS + ", key long")
+    split = rows.where(F.length("text") >= chunk).select(F.monotonically_increasing_id().alias("key"), "doc_id", "text")
+    parts = stash(stash(split).mapInArrow(_split(chunk, margin), PARTS).repartition("key", "chunk"))
+    weights = stash(parts.mapInArrow(_matrices(model, run), WEIGHTS))
+    traced = parts.join(boundary_states(weights), ["key", "chunk"]).mapInArrow(_backtrace(model), COUNTS + ", key long")
     return short.union(decode_pieces(traced, model, "key", True) if summary else traced.drop("key"))
 
 

@@ -31,10 +31,28 @@ def test_scan_equals_library():
             assert by_chunks(text, size) == LIBRARY.encode(text)
 
 
+def test_runs_of_matrices_give_the_states_of_the_whole_scan():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        # one state at a boundary lies on the best path, as in texts
+        wide = [1, *rng.integers(1, 6, 11), 1]
+        path = [int(rng.integers(0, w)) for w in wide]
+        ms = [np.where(rng.random((a, b)) < 0.3, -np.inf, rng.integers(-9, -1, (a, b)).astype(float)) for a, b in zip(wide, wide[1:])]
+        for m, a, b in zip(ms, path, path[1:]):
+            m[a, b] = 0.0
+        assert S.scan(ms) == path
+        runs = [ms[i : i + 4] for i in range(0, 12, 4)]
+        ends = S.scan([S.product(r) for r in runs])
+        states = [path[0]]
+        for r, a, b in zip(runs, ends, ends[1:]):
+            states += S.scan(r, a, b)[1:]
+        assert states == path
+
+
 def test_documents(awkward, rows, nothing):
-    for chunk in (1 << 15, 700):
+    for chunk, run in ((1 << 15, 256), (700, 256), (700, 3)):
         ids = {}
-        for r in sorted(S.encode_pieces(awkward, chunk=chunk).collect(), key=lambda r: r.chunk):
+        for r in sorted(S.encode_pieces(awkward, chunk=chunk, run=run).collect(), key=lambda r: r.chunk):
             ids.setdefault(r.doc_id, []).append(r)
         for doc_id, text in rows:
             mine = ids[doc_id][:: 2 if doc_id == 9 else 1]
