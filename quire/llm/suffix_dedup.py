@@ -13,6 +13,7 @@ that none of them gathers in one bucket.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -96,37 +97,52 @@ class BlindTrie:
         return out
 
 
+def multikey_quicksort(key_at: Callable[[np.ndarray, np.ndarray], np.ndarray], n: int, shallow: int) -> tuple[np.ndarray, np.ndarray]:
+    """Items 0..n-1 in the order of their first `shallow` characters: (order, where runs of equal items begin).
+
+    key_at(items, depths) gives characters.  All segments are split side by side: each chooses the
+    median of three as its pivot and is parted into smaller, equal and larger characters; the equal
+    part goes one character deeper.
+    """
+    order, fresh = np.arange(n), np.ones(n, bool)
+    lo, size, depth = np.zeros(1, np.int64), np.full(1, n, np.int64), np.zeros(1, np.int64)
+    fresh[1:] = False
+    while True:
+        live = (size > 1) & (depth < shallow)
+        lo, size, depth = lo[live], size[live], depth[live]
+        if not len(lo):
+            return order, fresh
+        first = np.cumsum(size) - size
+        items = order[expand(lo, size)]
+        key = key_at(items, np.repeat(depth, size))
+        a, b, c = key[first], key[first + size // 2], key[first + size - 1]
+        pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), size)
+        place, start, parts = np.empty(len(items), np.int64), lo, []
+        for mine, deeper in ((key < pivot, 0), (key == pivot, 1), (key > pivot, 0)):
+            count = np.add.reduceat(mine.astype(np.int64), first)
+            seen = np.cumsum(mine) - mine
+            place[mine] = (np.repeat(start - seen[first], size) + seen)[mine]
+            fresh[start[count > 0]] = True
+            parts.append((start, count, depth + deeper))
+            start = start + count
+        order[place] = items
+        lo, size, depth = (np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def equal_runs(text: bytes, starts: np.ndarray, window: int = WINDOW, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of text at starts in the order of their first `window` bytes.
 
-    Returns (order, run): starts[order] is sorted, run numbers rise where windows differ.
+    Returns (order, run): starts[order] is sorted, run numbers rise where windows differ.  A
+    multikey quicksort on 8-byte characters goes down to `shallow` of them; every group that still
+    agrees there is ordered by a blind trie.
     """
-    padded = text + bytes(8)
-    words = np.ndarray((len(text),), ">u8", padded, strides=(1,))
-    order = np.arange(len(starts))
-    run = np.zeros(len(starts), np.int64)
-    for step in range(shallow):
-        # multikey quicksort, one 8-byte character further down: only groups still together move
-        key = words[starts[order] + 8 * step].astype(np.uint64)
-        move = np.lexsort((key, run))
-        order, run, key = order[move], run[move], key[move]
-        run = np.cumsum(np.append(False, (run[1:] != run[:-1]) | (key[1:] != key[:-1]))) if len(run) else run
+    words = np.ndarray((len(text),), ">u8", text + bytes(8), strides=(1,))
+    order, fresh = multikey_quicksort(lambda items, depth: words[starts[items] + 8 * depth].astype(np.uint64), len(starts), shallow)
     if not len(order):
-        return order, run
-    first = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
-    size = np.diff(np.append(first, len(order)))
-    fresh = np.append(True, run[1:] != run[:-1])
-    done, two = 8 * shallow, first[size == 2]
-    if len(two):
-        a, b = starts[order[two]], starts[order[two + 1]]
-        settled = np.zeros(len(two), np.int8)
-        for at in [*range(done, window - 7, 8), window - 8]:
-            x, y = words[a + at], words[b + at]
-            settled = np.where(settled == 0, (x > y).astype(np.int8) - (x < y), settled)
-        swap = two[settled > 0]
-        order[swap], order[swap + 1] = order[swap + 1], order[swap]
-        fresh[two[settled != 0] + 1] = True
-    for lo, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        return order, np.empty(0, np.int64)
+    first = np.flatnonzero(fresh)
+    size, done = np.diff(np.append(first, len(order))), 8 * shallow
+    for lo, n in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
         trie = BlindTrie()
         for item, s in zip(order[lo : lo + n].tolist(), starts[order[lo : lo + n]].tolist(), strict=True):
             trie.add(text[s + done : s + window], item)

@@ -105,6 +105,29 @@ def test_deep_shallow_order():
     assert all((windows[i] == windows[i + 1]) == (run[i] == run[i + 1]) for i in range(len(windows) - 1))
 
 
+def test_order_uses_no_library_sort_and_tries_settle_every_group(monkeypatch):
+    random.seed(10)
+    text = bytes(random.choice(b"abc") for _ in range(2000)) * 2
+    starts = np.arange(0, len(text) - 50, 4)
+    held = []
+
+    class Watched(suffix_dedup.BlindTrie):
+        def runs(self):
+            found = super().runs()
+            held.append(sum(map(len, found)))
+            return found
+
+    def refuse(*_, **__):
+        raise AssertionError("library sort")
+
+    monkeypatch.setattr(suffix_dedup, "BlindTrie", Watched)
+    for name in ("lexsort", "argsort", "sort", "unique"):
+        monkeypatch.setattr(np, name, refuse)
+    order, run = suffix_dedup.equal_runs(text, starts)
+    windows = [text[s : s + 50] for s in starts[order].tolist()]
+    assert windows == sorted(windows) and 2 in held
+
+
 def test_equal_windows_share_their_anchor():
     random.seed(9)
     core = bytes(random.choice(b"abcd") for _ in range(50))
