@@ -9,10 +9,12 @@ from __future__ import annotations
 # Character classes, markers and word lists of the data contract.
 SPACE = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 NON_SPACE = r"[^\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 ARABIC = r"\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}"
 WORD_CHAR = r"\p{L}\p{N}_'"
 SENTENCE_END = r"[.!?:;\"”’)\]۔؟]\d{0,2}" + SPACE + r"*\z"
 FENCE = r"^\s*(```|~~~)"
+FENCE_LINE = r"(?md)^[^\S\n]*(?:```|~~~)[^\n]*"
 HEADING = r"^(#{1,6})\s+\S"
 LIST_ITEM = r"^\s*([-*+]|\d+[.)])\s+\S"
 QUOTE = r"^\s*>"

@@ -3,6 +3,8 @@ built-in higher-order functions, so filters and projections around it are free t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,9 +27,14 @@ def find_all(c: Column | str, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(_c(c), F.lit(pattern), F.lit(group))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column | str) -> Column:
     """Without white space at either end, Unicode spaces included."""
-    return replace(c, rf"\A{P.SPACE}+|{P.SPACE}+\z")
+    return F.btrim(_c(c), F.lit(P.SPACES))
 
 
 def is_blank(c: Column | str) -> Column:
@@ -81,9 +88,12 @@ def dehyphenate(c: Column | str) -> Column:
 
 def typical_width(lengths: Column | str) -> Column:
     """The nine-tenths longest of the lengths, at least 40; 80 if there are none."""
-    n = F.size(_c(lengths))
-    at = F.least(n - 1, F.floor(n * F.lit(0.9)).cast("int")) + 1
-    return F.when(n > 0, F.greatest(F.lit(40), F.try_element_at(F.array_sort(_c(lengths)), at))).otherwise(80).cast("long")
+
+    def pick(xs: Column) -> Column:
+        at = F.least(F.size(xs) - 1, F.floor(F.size(xs) * F.lit(0.9)).cast("int")) + 1
+        return F.when(F.size(xs) > 0, F.greatest(F.lit(40), F.try_element_at(xs, at))).otherwise(80).cast("long")
+
+    return let(F.array_sort(_c(lengths)), pick)
 
 
 def is_arabic_line(c: Column | str) -> Column:
@@ -93,15 +103,21 @@ def is_arabic_line(c: Column | str) -> Column:
 
 
 def is_heading_candidate(c: Column | str) -> Column:
-    s = strip(c)
-    words = F.filter(F.split(s, f"{P.SPACE}+", -1), lambda w: w != "")
-    n = F.size(words)
-    capital = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
-    shape = F.length(s).between(3, 80) & ~s.rlike(P.SENTENCE_END) & ~s.endswith(",") & (n <= 12)
-    lone_number = s.rlike(r"^\p{Nd}") & (n == 1)
-    shouted = s.rlike(r"\p{Lu}") & ~s.rlike(r"\p{Ll}")
-    titled = (capital >= F.greatest(F.lit(1), F.floor(n * F.lit(0.8)))) & (n >= 2)
-    return shape & ~lone_number & (shouted | titled)
+    def titled(words: Column) -> Column:
+        n, capital = F.size(words), F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
+        return (n <= 12) & (n >= 2) & (capital >= F.greatest(F.lit(1), F.floor(n * F.lit(0.8))))
+
+    def shouted(words: Column) -> Column:
+        return F.size(words) <= 12
+
+    def judge(s: Column) -> Column:
+        words = F.filter(F.split(s, f"{P.SPACE}+", -1), lambda w: w != "")
+        shape = F.length(s).between(3, 80) & ~s.endswith(",") & s.rlike(r"\p{Lu}") & ~s.rlike(P.SENTENCE_END)
+        alone = s.rlike(r"^\p{Nd}") & ~s.rlike(P.SPACE)
+        kind = F.when(~s.rlike(r"\p{Ll}"), let(words, shouted)).otherwise(let(words, titled))
+        return F.when(shape & ~alone, kind).otherwise(False)
+
+    return let(strip(c), judge)
 
 
 def is_word_heading(c: Column | str) -> Column:
@@ -120,25 +136,25 @@ def line_kind(c: Column | str) -> Column:
 
 def is_skippable(c: Column | str) -> Column:
     """Lines that say nothing about the language of the prose around them."""
-    s = strip(c)
-    return is_blank(c) | s.rlike(P.URL) | s.rlike(f"[{P.ARABIC}]") | s.rlike(rf"\A{P.CITATION}\z") | s.rlike(r"\A(!\[|\|)")
+    return is_blank(c) | _c(c).rlike(P.URL) | _c(c).rlike(f"[{P.ARABIC}]") | let(strip(c), lambda s: s.rlike(rf"\A{P.CITATION}\z") | s.rlike(r"\A(!\[|\|)"))
 
 
 def is_arabic_only(c: Column | str) -> Column:
     return _c(c).rlike(rf"""^[\s{P.ARABIC}()\[\]{{}}«»"'.,;:!?\-–—*]+\z""")
 
 
-def english_share(c: Column | str) -> tuple[Column, Column]:
-    """(tokens, of them English function words) of a line, code and link targets left out."""
+def line_words(c: Column | str) -> Column:
+    """Lower-case words of a line, code and link targets left out, without outer apostrophes."""
     plain = replace(replace(c, P.INLINE_CODE, " "), r"\]\([^)]*\)", "]")
-    words = F.filter(F.transform(find_all(F.lower(plain), r"[a-z']+"), lambda w: F.trim(w, F.lit("'"))), lambda w: w != "")
-    stop = F.array(*[F.lit(w) for w in P.ENGLISH])
-    return F.size(words).cast("long"), F.size(F.filter(words, lambda w: F.array_contains(stop, w))).cast("long")
+    return F.filter(F.transform(find_all(F.lower(plain), r"[a-z']+"), lambda w: F.btrim(w, F.lit("'"))), lambda w: w != "")
 
 
 def looks_untranslated(c: Column | str) -> Column:
-    n, english = english_share(c)
-    return ~is_skippable(c) & (n >= 8) & (english * 10 >= n * 3)
+    """Eight words or more, three tenths of them English function words, in a line of prose."""
+    english = lambda words: F.size(F.filter(words, lambda w: w.isin(*P.ENGLISH))) * 10 >= F.size(words) * 3
+    # short lines, the common case, need no closer look
+    wordy = _c(c).rlike(r"(?:[A-Za-z']+[^A-Za-z']+){7}[A-Za-z']")
+    return F.when(wordy & let(line_words(c), lambda words: (F.size(words) >= 8) & english(words)), ~is_skippable(c)).otherwise(False)
 
 
 def match_case(found: Column | str, canonical: Column | str) -> Column:

@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator, Sequence
+import warnings
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column
@@ -49,28 +52,27 @@ class Rule:
     safe: bool
 
 
+def _whole_words(variants: Iterable[str]) -> str:
+    """Any of the variants as whole words, in any case; a longer one before one it begins with."""
+    return "(?i)(?<![\\w'])(?:" + "|".join(re.escape(v) for v in sorted(variants, key=lambda v: -len(v))) + ")(?![\\w'])"
+
+
 def compile_rules(rules: Sequence[dict] | None = None) -> list[Rule]:
-    """A rule's own expression as it stands, else its rejected variants as whole words in any case, longest first."""
-    out = []
-    for r in DEFAULT_RULES if rules is None else rules:
-        variants = sorted(filter(None, r.get("reject") or []), key=len, reverse=True)
-        if not r.get("canonical") or not (r.get("regex") or variants):
-            continue
-        own = r.get("regex")
-        pattern = re.compile(own) if own else re.compile(rf"(?<![\w'])(?:{'|'.join(map(re.escape, variants))})(?![\w'])", re.I)
-        out.append(Rule(r["canonical"], pattern, bool(r.get("safe_fix"))))
-    return out
+    """The rules that have something to look for: an expression of their own, or rejected variants."""
+    named = [(r, [v for v in r.get("reject", ()) or () if v]) for r in (DEFAULT_RULES if rules is None else rules) if r.get("canonical")]
+    return [Rule(r["canonical"], re.compile(r.get("regex") or _whole_words(words)), bool(r.get("safe_fix"))) for r, words in named if r.get("regex") or words]
 
 
 def load_rules(path: str | None = None) -> list[Rule]:
-    """Rules of a JSON file, the shipped ones without a path; the default ones if the file is missing or unreadable."""
+    """Rules of a JSON file, the shipped ones without a path; with a warning the default ones if the file
+    is missing or unreadable."""
     if path is None:
         return compile_rules(SHIPPED_RULES)
     try:
-        with open(path, encoding="utf-8") as f:
-            data = json.load(f)
-        return compile_rules(data["rules"] if isinstance(data, dict) else data)
-    except (OSError, ValueError, KeyError, TypeError):
+        found = json.loads(Path(path).read_text(encoding="utf-8"))
+        return compile_rules(found if isinstance(found, list) else found["rules"])
+    except (OSError, ValueError, KeyError, TypeError, AttributeError) as e:
+        warnings.warn(f"spelling rules of {path} are unreadable ({e}); the default rules hold", stacklevel=2)
         return compile_rules()
 
 
@@ -89,10 +91,12 @@ def _matches(text: str, rules: Sequence[Rule]) -> Iterator[tuple[int, int, int]]
                 yield m.start(), m.end(), k
 
 
+#: How a replacement is written, by the shape of what it replaces; other shapes take the canonical form.
+_SHAPES = ((re.compile(r"[^\W\d_]{2,}"), str.isupper, str.upper), (re.compile(r".+", re.S), lambda w: w[0].isupper(), lambda w: w[0].upper() + w[1:]))
+
+
 def _as_found(found: str, canonical: str) -> str:
-    if len(found) > 1 and found.isalpha() and found.isupper():
-        return canonical.upper()
-    return canonical[:1].upper() + canonical[1:] if found[:1].isupper() else canonical
+    return next((write(canonical) for shape, holds, write in _SHAPES if shape.fullmatch(found) and holds(found)), canonical)
 
 
 def fix_text(text: str, rules: Sequence[Rule]) -> tuple[str, dict[str, int]]:
@@ -116,10 +120,7 @@ def fix_text(text: str, rules: Sequence[Rule]) -> tuple[str, dict[str, int]]:
 
 def spelling_hits(text: str, rules: Sequence[Rule]) -> list[tuple[str, str, int]]:
     """(canonical, variant as found, times)."""
-    seen: dict[tuple[str, str], int] = {}
-    for s, e, k in _matches(text, rules):
-        key = (rules[k].canonical, text[s:e])
-        seen[key] = seen.get(key, 0) + 1
+    seen = Counter((rules[k].canonical, text[s:e]) for s, e, k in _matches(text, rules))
     return [(c, v, n) for (c, v), n in seen.items()]
 
 
@@ -134,17 +135,14 @@ def apply_fixes(c: Column | str, rules: Sequence[Rule]) -> Column:
     return F.pandas_udf(run, "text string, fixes map<string,int>")(F.col(c) if isinstance(c, str) else c)
 
 
-def spelling_findings(c: Column | str, rules: Sequence[Rule]) -> Column:
-    """An array of W_SPELLING findings, for lint."""
+def spelling_matches(c: Column | str, rules: Sequence[Rule]) -> Column:
+    """array<struct<canonical, variant, n>> of the spellings that the rules reject, for lint."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([
-                [{"severity": "warning", "code": "W_SPELLING", "test": "spelling", "item": f"{c} <- {v}", "n": n} for c, v, n in spelling_hits(t or "", rules)] for t in batch
-            ])
+            yield pd.Series([[{"canonical": k, "variant": v, "n": n} for k, v, n in spelling_hits(t or "", rules)] for t in batch])
 
-    kind = "array<struct<severity:string,code:string,test:string,item:string,n:bigint>>"
-    return F.pandas_udf(run, kind)(F.col(c) if isinstance(c, str) else c)
+    return F.pandas_udf(run, "array<struct<canonical:string,variant:string,n:bigint>>")(F.col(c) if isinstance(c, str) else c)
 
 
 # --- right-to-left markup ---
