@@ -1,14 +1,16 @@
 """Dictionary matching, term statistics, domain decision and glossary maintenance.
 
 A dictionary is a relation (term_id, source, aliases, target, category, honorific, ...).
-Matching never joins documents with terms: a small dictionary becomes one expression per
-surface, whose patterns are compiled once; a large one goes through a single automaton
-pass per document.  Either way a document yields its hits in place, without a shuffle.
+Matching never joins documents with terms.  A text is read once: surfaces that are one word
+are counted by its words, whatever their number, and the others by one automaton.  So a
+document yields its hits in place, without a shuffle and at a cost that does not grow with
+the dictionary.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -18,8 +20,6 @@ from pyspark.sql import functions as F
 from quire.functions import patterns as P
 from quire.functions import text as T
 
-#: Surfaces up to which every surface is an expression of its own.
-EXPRESSIONS = 64
 TERM_SCHEMA = (
     "term_id int, source string, aliases array<string>, target string, category string, honorific string, "
     "gender string, plural boolean, note string, frequency long"
@@ -43,47 +43,77 @@ def count_surface(text: Column | str, surface: str) -> Column:
     return T.count(text, P.whole_word(surface)) if surface.strip() else F.lit(0).cast("long")
 
 
+class _Fold(dict):
+    """Characters to the ones that stand for them in any case: the rule of whole_word's expressions,
+    character by character, so that lengths stay and no place in a word matters."""
+
+    def __missing__(self, code: int) -> int:
+        up = chr(code).upper()
+        low = (up if len(up) == 1 else chr(code)).lower()
+        self[code] = out = ord(low[0])
+        return out
+
+
+_FOLD = _Fold()
+
+
+def fold(text: str) -> str:
+    return text.lower() if text.isascii() else text.translate(_FOLD)
+
+
+class Matcher:
+    """Counts of the surfaces of a dictionary in a text: whole words, any case, matches of one surface not overlapping."""
+
+    def __init__(self, wanted: Sequence[Surface]):
+        import ahocorasick
+
+        self.wanted, self.words, self.others = wanted, {}, {}
+        for i, (_, s) in enumerate(wanted):
+            key = fold(s)
+            # a surface of word characters alone is a whole run of them or nothing
+            kind = self.words if re.fullmatch(r"[\w']+", key) else self.others
+            if s.strip():
+                kind.setdefault(key, []).append(i)
+        self.find = ahocorasick.Automaton()
+        for key in self.others:
+            self.find.add_word(key, key)
+        if self.others:
+            self.find.make_automaton()
+
+    def counts(self, text: str) -> list[tuple[int, int]]:
+        """(place in the dictionary, times) of the surfaces that occur, in dictionary order."""
+        low = fold(text)
+        seen = Counter(re.findall(r"[\w']+", low)) if self.words else Counter()
+        found = [(i, seen[key]) for key in (self.words if len(self.words) < len(seen) else seen) if key in self.words and seen[key] for i in self.words[key]]
+        if self.others:
+            edge, last, times = re.compile(r"[\w']").match, {}, Counter()
+            for end, key in self.find.iter(low):
+                start = end - len(key) + 1
+                if start >= last.get(key, 0) and not (start and edge(low[start - 1])) and not edge(low[end + 1 : end + 2]):
+                    last[key] = end + 1
+                    times[key] += 1
+            found += [(i, n) for key, n in times.items() for i in self.others[key]]
+        return sorted(found)
+
+
 def surface_hits(docs: DataFrame, wanted: Sequence[Surface], text: str = "text") -> DataFrame:
     """docs with hits: array of (term_id, surface, n) for the surfaces that occur, in dictionary order."""
     kind = "array<struct<term_id:int,surface:string,n:bigint>>"
     if not wanted:
         return docs.withColumn("hits", F.array().cast(kind))
-    if len(wanted) <= EXPRESSIONS:
-        each = [
-            F.struct(F.lit(t).cast("int").alias("term_id"), F.lit(s).alias("surface"), count_surface(text, s).alias("n")) for t, s in wanted
-        ]
-        return docs.withColumn("hits", F.filter(F.array(*each), lambda h: h["n"] > 0).cast(kind))
-
-    def automaton(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
 
-        find = ahocorasick.Automaton()
-        by_key: dict[str, list[int]] = {}
-        for i, (_, s) in enumerate(wanted):
-            by_key.setdefault(s.lower(), []).append(i)
-        for key, places in by_key.items():
-            find.add_word(key, (key, places))
-        find.make_automaton()
-        word = re.compile(r"[\w']")
+    def match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(wanted)
         for batch in batches:
-            out = []
-            for value in batch:
-                low, seen, last = (value or "").lower(), {}, {}
-                for end, (key, _) in find.iter(low):
-                    start = end - len(key) + 1
-                    if start < last.get(key, 0) or (start and word.match(low[start - 1])) or word.match(low[end + 1 : end + 2]):
-                        continue
-                    last[key], seen[key] = end + 1, seen.get(key, 0) + 1
-                places = sorted((i, n) for key, n in seen.items() for i in by_key[key])
-                out.append([{"term_id": wanted[i][0], "surface": wanted[i][1], "n": n} for i, n in places])
-            yield pd.Series(out)
+            yield pd.Series([[{"term_id": wanted[i][0], "surface": wanted[i][1], "n": n} for i, n in matcher.counts(t or "")] for t in batch], dtype=object)
 
-    return docs.withColumn("hits", F.pandas_udf(automaton, kind)(F.col(text)))
+    return docs.withColumn("hits", F.pandas_udf(match, kind)(F.col(text)))
 
 
 def term_hits(docs: DataFrame, wanted: Sequence[Surface], key: str = "doc_id") -> DataFrame:
     """(key, term_id, surface, n): one row per surface that occurs in a document."""
-    return surface_hits(docs.select(key, "text"), wanted).select(key, F.inline("hits"))
+    # an outer generator has no filter to push below it, so the texts are matched once
+    return surface_hits(docs.select(key, "text"), wanted).select(key, F.inline_outer("hits")).where("n is not null")
 
 
 def documents_with_terms(docs: DataFrame, wanted: Sequence[Surface]) -> DataFrame:
@@ -144,7 +174,7 @@ def top_terms(docs: DataFrame, wanted: Sequence[Surface], k: int = 15) -> DataFr
     """(doc_id, rank, surface, n): the k most frequent surfaces of each document, ties in dictionary order."""
     hits = surface_hits(docs.select("doc_id", "text"), wanted)
     order = F.array_sort(F.transform("hits", lambda h, i: F.struct((-h["n"]).alias("neg"), i.alias("i"), h["surface"].alias("surface"))))
-    return hits.select("doc_id", F.posexplode(F.slice(order, 1, k)).alias("pos", "top")).select(
+    return hits.select("doc_id", F.posexplode_outer(F.slice(order, 1, k)).alias("pos", "top")).where("pos is not null").select(
         "doc_id", (F.col("pos") + 1).cast("long").alias("rank"), "top.surface", (-F.col("top.neg")).alias("n")
     )
 
@@ -162,11 +192,14 @@ def select_terms(chunks: DataFrame, terms: DataFrame, top_n: int = 25, most: int
         return spark.createDataFrame([], "doc_id long, chunk_no int, position long, term_id int")
     local = F.array_distinct(F.transform("hits", lambda h: h["term_id"]))
     every = F.concat(local, F.array(*[F.lit(t) for t in overall]).cast("array<int>"))
-    keyed = F.transform(every, lambda t: F.struct(key[t].alias("k"), t.alias("t")))
-    first = F.filter(keyed, lambda x, i: F.array_position(F.transform(keyed, lambda y: y["k"]), x["k"]) == i + 1)
+    # the first of equal sources, in linear time: the smallest (source, place) of each run of the sorted array
+    placed = F.array_sort(F.transform(every, lambda t, i: F.struct(key[t].alias("k"), i.alias("i"), t.alias("t"))))
+    leads = lambda xs: F.filter(xs, lambda x, i: (i == 0) | (x["k"] != F.get(xs, i - 1)["k"]))
+    in_turn = lambda xs: F.array_sort(F.transform(xs, lambda x: F.struct(x["i"].alias("i"), x["t"].alias("t"))))
+    first = T.let(T.let(placed, leads), in_turn)
     found = surface_hits(chunks.select("doc_id", "chunk_no", "text"), wanted).select(
-        "doc_id", "chunk_no", F.posexplode(F.slice(first, 1, most)).alias("pos", "x")
-    )
+        "doc_id", "chunk_no", F.posexplode_outer(F.slice(first, 1, most)).alias("pos", "x")
+    ).where("pos is not null")
     return found.select("doc_id", "chunk_no", (F.col("pos") + 1).cast("long").alias("position"), F.col("x.t").alias("term_id"))
 
 
@@ -177,7 +210,7 @@ def seed(docs: DataFrame, terms: DataFrame, domain: str | None = None) -> DataFr
     """Terms that occur in the documents, with their frequency; the general domain takes places, books and phrases only."""
     usable = terms.where(F.col("category").isin(*P.GENERAL_CATEGORIES)) if domain == "general" else terms
     found = term_frequency(docs, surface_list(usable)).withColumnRenamed("frequency", "found")
-    return usable.drop("frequency").join(F.broadcast(found), "term_id").withColumnRenamed("found", "frequency")
+    return usable.drop("frequency").join(found, "term_id").withColumnRenamed("found", "frequency")
 
 
 def recount(chunks: DataFrame, terms: DataFrame) -> DataFrame:
@@ -202,7 +235,7 @@ def validate(terms: DataFrame, honorifics: DataFrame, strict: bool = True) -> Da
         F.when(F.coalesce(T.is_blank(c), F.lit(True)), F.lit(f"empty {c}")) for c in ("source", "target")
     ], *[F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in ("category", "honorific")]))).alias("problem"))
     named = terms.where(F.coalesce("honorific", F.lit("")) != "").join(
-        F.broadcast(honorifics.select(F.col("id").alias("honorific"))), "honorific", "left_anti"
+        honorifics.select(F.col("id").alias("honorific")), "honorific", "left_anti"
     )
     out = missing.union(named.select("term_id", F.concat(F.lit("unknown honorific "), "honorific")))
     if strict:
@@ -242,10 +275,17 @@ def by_category(terms: DataFrame, category: str | None = None) -> DataFrame:
 
 def resolve_honorifics(terms: DataFrame, honorifics: DataFrame) -> DataFrame:
     """terms with honorific_text: the plural form before the female before the plain one, '' for none."""
-    h = F.broadcast(honorifics.select(F.col("id").alias("honorific"), F.col("target").alias("h_plain"), F.col("female_target").alias("h_female"), F.col("plural_target").alias("h_plural")))
+    h = honorifics.select(F.col("id").alias("honorific"), F.col("target").alias("h_plain"), F.col("female_target").alias("h_female"), F.col("plural_target").alias("h_plural"))
     text = F.coalesce(F.when(F.col("plural"), F.col("h_plural")), F.when(F.col("gender") == "f", F.col("h_female")), F.col("h_plain"), F.lit(""))
     return terms.join(h, "honorific", "left").withColumn("honorific_text", text).drop("h_plain", "h_female", "h_plural")
 
 
+def row_of(term, term_id: int) -> tuple:
+    """A term as a row of TERM_SCHEMA, trimmed, with the defaults of a new one."""
+    trim = lambda v: v.strip() if isinstance(v, str) else v
+    aliases = [x for x in map(trim, term.aliases or []) if x]
+    return (term_id, trim(term.source), aliases, trim(term.target), term.category or "other", term.honorific or "", term.gender, term.plural, term.note, term.frequency or 0)
+
+
 def load_terms(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, TERM_SCHEMA)
