@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator, Mapping
 from html.parser import HTMLParser
@@ -42,16 +43,20 @@ class _Images(HTMLParser):
     handle_startendtag = handle_starttag
 
 
+def image_tags(text: str) -> tuple[list[str], list[str]]:
+    """(sources, names of malformed attributes) of the img tags of a text."""
+    parser = _Images()
+    parser.feed(text)
+    parser.close()
+    return parser.sources, parser.bad
+
+
 def html_images(c: Column | str) -> Column:
     """struct<sources, bad attribute names> of the img tags of a text."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = []
-            for text in batch:
-                parser = _Images()
-                parser.feed(text or "")
-                found.append((parser.sources, parser.bad))
+            found = [image_tags(text or "") for text in batch]
             yield pd.DataFrame({"sources": [s for s, _ in found], "bad": [b for _, b in found]})
 
     return F.pandas_udf(run, "sources array<string>, bad array<string>")(F.col(c) if isinstance(c, str) else c)
@@ -130,7 +135,9 @@ def unresolved(c: Column | str) -> Column:
 
 def format_findings(found: Column) -> Column:
     """A findings array as bullet lines; '' without any."""
-    one = lambda f: F.concat(F.lit("- "), F.when(f["severity"] == "error", "ERROR").otherwise("warning"), F.lit(" "), f["code"], F.lit(": "), f["item"])
+    word = lambda f: F.when(f["severity"] == "error", "ERROR").otherwise("warning")
+    shown = lambda f: F.when(F.size(f["detail"]) > 0, F.concat(F.lit(" ["), F.array_join(f["detail"], "; "), F.lit("]"))).otherwise("")
+    one = lambda f: F.concat(F.lit("- "), word(f), F.lit(" "), f["code"], F.lit(": "), f["test"], F.lit(" ("), f["n"].cast("string"), F.lit(")"), shown(f))
     lines = F.array_join(F.transform(F.array_sort(found), one), "\n")
     return F.when(F.size(found) > 0, F.concat(F.lit("Linter findings:\n"), lines)).otherwise("")
 
@@ -152,14 +159,36 @@ def term_table(chosen: DataFrame) -> DataFrame:
     return rows.select("doc_id", "chunk_no", F.concat(head, F.array_join(F.col("r.line"), "\n")).alias("term_table"))
 
 
+def candidate_list(candidates: DataFrame, most: int = 400) -> str:
+    """The first `most` candidates (source, frequency, contexts) as JSON: a bounded report for a prompt."""
+    rows = candidates.orderBy(F.desc("frequency"), "source").limit(most).collect()
+    return json.dumps([r.asDict() for r in rows], ensure_ascii=False, indent=1)
+
+
+#: Templates of the prompts; a run may bring its own.
+TEMPLATES = {
+    "translate": (
+        "Translate chunk {CHUNK_ID} ({DOMAIN}) into Roman Urdu by the style guide {STYLE_GUIDE_PATH}.\n"
+        "<!-- IF:TERM_TABLE -->\nUse these terms:\n\n{TERM_TABLE}\n<!-- ENDIF:TERM_TABLE -->\n"
+        "<!-- IF:NEIGHBOR_CONTEXT -->\n{NEIGHBOR_CONTEXT}\n<!-- ENDIF:NEIGHBOR_CONTEXT -->\n"
+        "<!-- IF:CUSTOM_INSTRUCTIONS -->\n{CUSTOM_INSTRUCTIONS}\n<!-- ENDIF:CUSTOM_INSTRUCTIONS -->\n"
+        "<!-- IF:RETRY_FEEDBACK -->\nThe last attempt was refused:\n{RETRY_FEEDBACK}\n<!-- ENDIF:RETRY_FEEDBACK -->\n"
+        "Write only the translation to {OUTPUT_PATH}.\n"
+    ),
+    "review": "Review {OUTPUT_PATH} against chunk {CHUNK_ID} ({DOMAIN}, {STYLE_GUIDE_PATH}).\n<!-- IF:TERM_TABLE -->\n{TERM_TABLE}\n<!-- ENDIF:TERM_TABLE -->\nWrite score, summary and issues as JSON to {REVIEW_PATH}.\n",
+    "glossary": "Choose glossary terms of the book in {OUT_DIR} ({DOMAIN}) from these candidates:\n<!-- IF:CANDIDATES -->\n{CANDIDATES}\n<!-- ENDIF:CANDIDATES -->\nAnswer with a JSON array of terms.\n",
+}
+TEMPLATES["retry"] = TEMPLATES["translate"]
 RETRY = "The previous output failed validation. Re-translate the whole chunk carefully."
 
 
 def prompts(
     chunks: DataFrame, template: str, kind: str = "translate", tables: DataFrame | None = None, context: DataFrame | None = None,
     feedback: DataFrame | None = None, domain: str = "islamic", instructions: str = "", run_dir: str = ".", style_guide: str = "style-guide.md",
+    candidates: str = "",
 ) -> DataFrame:
-    """(doc_id, chunk_no, prompt) from chunks and what is known about them: term_table, neighbour prompt, feedback."""
+    """(doc_id, chunk_no, prompt) from chunks and what is known about them: term_table, neighbour prompt, feedback.
+    candidates: for the glossary prompt (see candidate_list)."""
     key = ["doc_id", "chunk_no"]
     if kind not in ("translate", "retry", "review", "glossary"):
         raise ValueError(f"unknown prompt kind {kind!r}")
@@ -173,7 +202,7 @@ def prompts(
     values = {
         "OUT_DIR": F.lit(run_dir), "CHUNK_ID": name, "DOMAIN": F.lit("islamic" if domain in ("", "auto") else domain),
         "STYLE_GUIDE_PATH": F.lit(style_guide), "TERM_TABLE": text("term_table"), "NEIGHBOR_CONTEXT": text("prompt"),
-        "CUSTOM_INSTRUCTIONS": F.lit(instructions), "RETRY_FEEDBACK": retry, "CANDIDATES": F.lit(""),
+        "CUSTOM_INSTRUCTIONS": F.lit(instructions), "RETRY_FEEDBACK": retry, "CANDIDATES": F.lit(candidates),
         "OUTPUT_PATH": F.concat(F.lit(f"{run_dir}/work/output_"), name, F.lit(".md")),
         "REVIEW_PATH": F.concat(F.lit(f"{run_dir}/work/review_"), name, F.lit(".json")),
     }

@@ -1,10 +1,11 @@
 """Checks of (source, output) pairs: structure, citations, commentary, language, spelling,
 honorifics, script and length.
 
-Input: pairs (doc_id, chunk_no, src, out).  Every check is a projection that yields an array
-of findings (severity, code, test, item, n); they are concatenated and exploded once, so linting
-is one pass over the pairs without a shuffle.  Roll-ups come after.  A check that fails for
-several items gives a finding for each of them, all with the same test; roll-ups count tests.
+Input: pairs (doc_id, chunk_no, src, out).  A check that fails is one finding (severity, code,
+test, n, detail): n is the whole number of items, detail shows them, in some checks only the
+first ones.  The prose of both sides and its features are columns of their own, worked out
+once; the checks are projections over them, and their findings one array per pair.  So
+linting is one pass over the pairs without a shuffle.  Roll-ups come after.
 """
 
 from __future__ import annotations
@@ -17,58 +18,74 @@ from pyspark.sql import functions as F
 from quire.functions import patterns as P
 from quire.functions import text as T
 
-FINDING = "struct<severity:string,code:string,test:string,item:string,n:bigint>"
+FINDING = "struct<severity:string,code:string,test:string,n:bigint,detail:array<string>>"
 KEY = ["doc_id", "chunk_no"]
+#: The checks that lint can be asked for.
+CHECKS = ("commentary", "structure", "citations", "untranslated", "spelling", "honorifics", "script", "length")
 
 
-def finding(severity: str, code: str, test: str, item: Column, n: Column) -> Column:
-    return F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.lit(test).alias("test"), item.cast("string").alias("item"), n.cast("long").alias("n")).cast(FINDING)
-
-
-def _items(severity: str, code: str, test: str, word: str, items: Column) -> Column:
-    """A finding per (item, n) struct."""
-    return F.transform(items, lambda m: finding(severity, code, test, F.concat(F.lit(word), m["item"]), m["n"]))
+def finding(severity: str, code: str, test: str, n: Column, detail: Column) -> Column:
+    return F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.lit(test).alias("test"), n.cast("long").alias("n"), detail.alias("detail")).cast(FINDING)
 
 
 def _if(condition: Column, found: Column) -> Column:
     return F.when(F.coalesce(condition, F.lit(False)), F.array(found)).otherwise(F.array().cast(f"array<{FINDING}>"))
 
 
+def _items(severity: str, code: str, test: str, items: Column, most: int | None = None) -> Column:
+    """One finding for all items, if there are any; detail has the first `most`."""
+    return T.let(items, lambda xs: _if(F.size(xs) > 0, finding(severity, code, test, F.size(xs), F.slice(xs, 1, most) if most else xs)))
+
+
+def _text(*parts: Column) -> Column:
+    return F.concat(*[p.cast("string") for p in parts])
+
+
+def prose(text: Column) -> Column:
+    """struct<kept, fences>: lines outside fenced code, and the number of fence lines.
+
+    A text cut at its fence lines is outside and inside code in turn; of the outside parts
+    the line ends next to a fence go.
+    """
+
+    def outside(parts: Column) -> Column:
+        def own(part: Column, i: Column) -> Column:
+            ls = T.lines(part)
+            return T.let(ls, lambda x: F.slice(x, F.when(i == 0, 1).otherwise(2), F.greatest(F.lit(0), F.size(x) - F.when(i == 0, 0).otherwise(1) - F.when(i == F.size(parts) - 1, 0).otherwise(1))))
+
+        kept = F.flatten(F.filter(F.transform(parts, lambda p, i: F.when(i % 2 == 0, own(p, i))), lambda x: x.isNotNull()))
+        return F.struct(kept.alias("kept"), (F.size(parts) - 1).cast("long").alias("fences"))
+
+    return T.let(F.split(text, P.FENCE_LINE, -1), outside)
+
+
 def prose_lines(text: Column) -> tuple[Column, Column]:
-    """(lines outside fenced code, number of fence lines): a fold that flips at every fence."""
-    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(False).alias("inside"), F.lit(0).cast("long").alias("fences"))
+    found = prose(text)
+    return found["kept"], found["fences"]
+
 
-    def step(a: Column, line: Column) -> Column:
-        fence = line.rlike(P.FENCE)
+def features(text: Column, lines: Column | None = None) -> Column:
+    """The structure of a text: heading levels, line counts, links, images, footnotes, Arabic characters.
+    lines: its prose, if that is at hand."""
+
+    def of(found: Column) -> Column:
+        kept = found["kept"]
+        joined = F.array_join(kept, "\n")
+        number = lambda pattern: F.size(F.filter(kept, lambda x: x.rlike(pattern))).cast("long")
+        heads = F.filter(kept, lambda x: x.rlike(P.HEADING))
         return F.struct(
-            F.when(~fence & ~a["inside"], F.concat(a["kept"], F.array(line))).otherwise(a["kept"]).alias("kept"),
-            F.when(fence, ~a["inside"]).otherwise(a["inside"]).alias("inside"),
-            F.when(fence, a["fences"] + 1).otherwise(a["fences"]).alias("fences"),
+            F.transform(heads, lambda x: F.length(F.regexp_extract(x, r"^(#{1,6})", 1))).alias("headings"),
+            number(P.LIST_ITEM).alias("list_items"),
+            number(P.QUOTE).alias("blockquotes"),
+            number(P.TABLE).alias("table_rows"),
+            found["fences"].alias("fences"),
+            T.find_all(joined, P.IMAGE, 1).alias("images"),
+            T.find_all(joined, P.LINK, 1).alias("links"),
+            F.array_distinct(T.find_all(joined, P.FOOTNOTE)).alias("footnotes"),
+            T.count(text, f"[{P.ARABIC}]").alias("arabic_chars"),
         )
 
-    # texts without a fence, nearly all of them, take no fold
-    plain = F.struct(T.lines(text).alias("kept"), F.lit(False).alias("inside"), F.lit(0).cast("long").alias("fences"))
-    state = F.when(~text.rlike(r"(?m)" + P.FENCE), plain).otherwise(F.aggregate(T.lines(text), start, step))
-    return state["kept"], state["fences"]
-
-
-def features(text: Column) -> Column:
-    """The structure of a text: heading levels, line counts, links, images, footnotes, Arabic characters."""
-    prose, fences = prose_lines(text)
-    joined = F.array_join(prose, "\n")
-    number = lambda pattern: F.size(F.filter(prose, lambda x: x.rlike(pattern))).cast("long")
-    heads = F.filter(prose, lambda x: x.rlike(P.HEADING))
-    return F.struct(
-        F.transform(heads, lambda x: F.length(F.regexp_extract(x, r"^(#{1,6})", 1))).alias("headings"),
-        number(P.LIST_ITEM).alias("list_items"),
-        number(P.QUOTE).alias("blockquotes"),
-        number(P.TABLE).alias("table_rows"),
-        fences.alias("fences"),
-        T.find_all(joined, P.IMAGE, 1).alias("images"),
-        T.find_all(joined, P.LINK, 1).alias("links"),
-        F.array_distinct(T.find_all(joined, P.FOOTNOTE)).alias("footnotes"),
-        T.count(text, f"[{P.ARABIC}]").alias("arabic_chars"),
-    )
+    return T.let(prose(text), of) if lines is None else of(lines)
 
 
 def bag_minus(a: Column, b: Column) -> Column:
@@ -91,20 +108,23 @@ def bag_difference(left: DataFrame, right: DataFrame, key: Sequence[str], item:
     return both.where("d <> 0").select(*on, F.greatest("d", F.lit(0)).alias("missing"), F.greatest(-F.col("d"), F.lit(0)).alias("extra"))
 
 
-def check_structure(src: Column, out: Column) -> Column:
-    a, b = features(src), features(out)
-    show = lambda f: F.array_join(f["headings"].cast("array<string>"), ",")
-    found = [_if(a["headings"] != b["headings"], finding("error", "E_STRUCTURE", "headings", F.concat(F.lit("headings "), show(a), F.lit(" / "), show(b)), F.size(b["headings"]) - F.size(a["headings"])))]
+def check_structure(a: Column, b: Column) -> Column:
+    """At most nine findings from the features of both sides."""
+    sides = lambda x, y: F.array(_text(F.lit("source "), x), _text(F.lit("output "), y))
+    levels = lambda f: F.array_join(f["headings"].cast("array<string>"), ",")
+    found = [_if(a["headings"] != b["headings"], finding("error", "E_STRUCTURE", "headings", F.lit(1), sides(levels(a), levels(b))))]
     for name in ("list_items", "blockquotes", "table_rows", "fences"):
-        found.append(_if(a[name] != b[name], finding("error", "E_STRUCTURE", name, F.lit(name), b[name] - a[name])))
+        found.append(_if(a[name] != b[name], finding("error", "E_STRUCTURE", name, F.abs(b[name] - a[name]), sides(a[name], b[name]))))
     for name in ("images", "links"):
-        for word, more in (("missing", bag_minus(a[name], b[name])), ("extra", bag_minus(b[name], a[name]))):
-            found.append(_items("error", "E_STRUCTURE", name, f"{name} {word} ", more))
-    for word, more in (("missing", set_minus(a["footnotes"], b["footnotes"])), ("extra", set_minus(b["footnotes"], a["footnotes"]))):
-        counted = F.transform(more, lambda m: F.struct(m.alias("item"), F.lit(1).alias("n")))
-        found.append(_items("error", "E_STRUCTURE", "footnotes", f"footnotes {word} ", counted))
+        each = lambda word, bag: F.flatten(F.transform(bag, lambda m: F.array_repeat(_text(F.lit(f"{word} "), m["item"]), m["n"].cast("int"))))
+        differ = F.array_sort(a[name]) != F.array_sort(b[name])
+        items = F.concat(each("missing", bag_minus(a[name], b[name])), each("extra", bag_minus(b[name], a[name])))
+        found.append(F.when(F.coalesce(differ, F.lit(False)), _items("error", "E_STRUCTURE", name, items)).otherwise(F.array().cast(f"array<{FINDING}>")))
+    tagged = lambda word, xs: F.transform(xs, lambda x: _text(F.lit(f"{word} "), x))
+    notes = F.concat(tagged("missing", set_minus(a["footnotes"], b["footnotes"])), tagged("extra", set_minus(b["footnotes"], a["footnotes"])))
+    found.append(_items("error", "E_STRUCTURE", "footnotes", notes))
     n, m = a["arabic_chars"], b["arabic_chars"]
-    found.append(_if((n > 0) & ~((m * 10 >= n * 9) & (m * 10 <= n * 11)), finding("error", "E_STRUCTURE", "arabic_chars", F.lit("arabic_chars"), m - n)))
+    found.append(_if((n > 0) & ~((m * 10 >= n * 9) & (m * 10 <= n * 11)), finding("error", "E_STRUCTURE", "arabic_chars", F.abs(m - n), sides(n, m))))
     return F.concat(*found)
 
 
@@ -117,75 +137,83 @@ def missing_numbers(src: Column, out: Column, whole: bool = False) -> Column:
 
 def missing_references(src: Column, out: Column) -> Column:
     """Named references "(Name: 1, 2)" that the output has neither as they are nor by last name and numbers."""
-    low = F.lower(T.squash(out))
 
-    def lacks(ref: Column) -> Column:
-        full = F.lower(T.squash(ref))
+    def lacks(low: Column, ref: Column) -> Column:
         names = F.filter(T.find_all(F.regexp_extract(ref, r"^\(([^:]*):", 1), "[A-Za-z']+"), lambda w: F.length(w) > 2)
         name = F.lower(F.try_element_at(names, F.lit(-1)))
         numbers = T.find_all(F.regexp_extract(ref, r":(.*)\)$", 1), r"\d+")
         near = F.forall(numbers, lambda n: F.regexp_like(low, F.concat(F.lit(r"\Q"), name, F.lit(r"\E[^()\n]{0,40}?(?<!\d)"), n, F.lit(r"(?!\d)"))))
-        return ~(low.contains(full) | F.coalesce(near, F.lit(False)))
+        return ~(low.contains(F.lower(T.squash(ref))) | F.coalesce(near, F.lit(False)))
 
-    return F.array_sort(F.array_distinct(F.transform(F.filter(T.find_all(src, P.NAMED_REF), lacks), T.squash)))
+    refs = T.find_all(src, P.NAMED_REF)
+    missing = T.let(F.lower(T.squash(out)), lambda low: F.filter(refs, lambda r: lacks(low, r)))
+    # most texts name none, and then the output needs no look
+    return F.when(src.rlike(P.NAMED_REF), F.array_sort(F.array_distinct(F.transform(missing, T.squash)))).otherwise(F.array().cast("array<string>"))
 
 
 def check_citations(src: Column, out: Column) -> Column:
     return F.concat(
-        F.transform(missing_numbers(src, out), lambda r: finding("error", "E_CITATION", "numbers", r, F.lit(1))),
-        F.transform(missing_references(src, out), lambda r: finding("error", "E_CITATION", "references", r, F.lit(1))),
+        _items("error", "E_CITATION", "numbers", missing_numbers(src, out)),
+        _items("error", "E_CITATION", "references", missing_references(src, out)),
     )
 
 
 def check_commentary(src: Column, out: Column) -> Column:
-    s, o = T.replace(src, rf"\A{P.SPACE}+"), T.replace(out, rf"\A{P.SPACE}+")
-    first = F.regexp_extract(o, r"\A([^\n]*)", 1)
+    s, o = F.ltrim(src, F.lit(P.SPACES)), F.ltrim(out, F.lit(P.SPACES))
     note = "[translator's note"
+    opening = lambda first: _if(first.rlike(P.COMMENTARY), finding("error", "E_COMMENTARY", "opening", F.lit(1), F.array(F.substring(first, 1, 120))))
+    nothing = F.array().cast("array<string>")
     return F.concat(
-        _if(first.rlike(P.COMMENTARY), finding("error", "E_COMMENTARY", "opening", F.substring(first, 1, 120), F.lit(1))),
-        _if(o.startswith("```") & ~s.startswith("```"), finding("error", "E_COMMENTARY", "code fence", F.lit("code fence"), F.lit(1))),
-        _if(F.lower(out).contains(note) & ~F.lower(src).contains(note), finding("error", "E_COMMENTARY", "note", F.lit("translator's note"), F.lit(1))),
+        T.let(F.regexp_extract(o, r"\A([^\n]*)", 1), opening),
+        _if(o.startswith("```") & ~s.startswith("```"), finding("error", "E_COMMENTARY", "code fence", F.lit(1), nothing)),
+        _if(F.lower(out).contains(note) & ~F.lower(src).contains(note), finding("error", "E_COMMENTARY", "note", F.lit(1), nothing)),
     )
 
 
-def check_untranslated(out: Column) -> Column:
-    prose, _ = prose_lines(out)
-    english = F.filter(prose, T.looks_untranslated)
-    return F.transform(english, lambda x: finding("error", "E_UNTRANSLATED", "untranslated", F.substring(T.strip(x), 1, 160), F.lit(1)))
+def check_untranslated(lines: Column) -> Column:
+    """lines: the output's prose.  detail has the first ten."""
+    english = F.transform(F.filter(lines, T.looks_untranslated), lambda x: F.substring(T.strip(x), 1, 160))
+    return _items("error", "E_UNTRANSLATED", "untranslated", english, 10)
+
+
+def latin_text(lines: Column) -> Column:
+    """The lines without Arabic letters, joined."""
+    return F.array_join(F.filter(lines, lambda x: ~x.rlike(f"[{P.ARABIC}]")), "\n")
 
 
-def missing_prophet_honorifics(out: Column) -> Column:
-    """Mentions of the Prophet without the phrase in the 40 characters after them; "Muhammad bin ..." is another man."""
-    prose, _ = prose_lines(out)
-    text = F.array_join(F.filter(prose, lambda x: ~x.rlike(f"[{P.ARABIC}]")), "\n")
+def missing_prophet_honorifics(lines: Column) -> Column:
+    """Mentions of the Prophet without the phrase in the 40 characters after them, which are what is
+    returned; "Muhammad bin ..." is another man.  lines: the output's prose."""
     son = r"(?i:bin|ibne|ibn-e|ibn|b\.)"
     mention = rf"\b(?:Rasoolullah|Nabi|Huzoor|(?<!\b{son}\s{{0,9}})Muhammad(?!\s+{son}(?!\w)))\b(?=([\s\S]{{0,40}}))"
-    after = T.find_all(text, mention, 1)
+    after = T.find_all(latin_text(lines), mention, 1)
     return F.filter(after, lambda a: ~a.rlike(f"(?i){P.PROPHET_HONORIFIC}"))
 
 
-def check_prophet(out: Column) -> Column:
-    return F.transform(missing_prophet_honorifics(out), lambda a: finding("warning", "W_HONORIFIC", "prophet", a, F.lit(1)))
+def missing_term_honorifics(lines: Column, target: str, forms: Sequence[str]) -> Column:
+    """The 30 characters after each mention of a target, outside citations, that have no form of its honorific."""
+    wanted = "|".join(rf"\Q{f.strip('() ').lower()}\E" for f in forms)
+    # citations are matched too, so that nothing inside one is; the line end keeps what follows from being empty
+    either = rf"{P.CITATION}|{P.whole_word(target.lower(), '')}(?=([\s\S]{{1,30}}))"
+    after = T.find_all(F.concat(F.lower(latin_text(lines)), F.lit("\n")), either, 1)
+    return F.filter(after, lambda a: (a != "") & ~a.rlike(wanted))
 
 
-def _lacking(pattern: str):
-    return lambda a: ~a.rlike(pattern)
+def check_honorifics(lines: Column, expected: Sequence[tuple[str, Sequence[str]]]) -> Column:
+    """The Prophet's names, then each target of expected (target, forms of its honorific); detail has the
+    first five and three."""
+    found = [_items("warning", "W_HONORIFIC", "prophet", missing_prophet_honorifics(lines), 5)]
+    for target, forms in expected:
+        if target and any(f.strip("() ") for f in forms):
+            found.append(_items("warning", "W_HONORIFIC", f"term {target}", missing_term_honorifics(lines, target, forms), 3))
+    return F.concat(*found)
 
 
-def check_term_honorifics(out: Column, expected: Sequence[tuple[str, Sequence[str]]]) -> Column:
-    """expected: (target, forms of its honorific); each target must have a form within 30 characters, citations aside."""
-    prose, _ = prose_lines(out)
-    text = F.array_join(F.filter(prose, lambda x: ~x.rlike(f"[{P.ARABIC}]")), "\n")
-    low = F.lower(T.replace(text, P.CITATION, " "))
-    found = []
-    for k, (target, forms) in enumerate(expected):
-        if not target or not forms:
-            continue
-        after = T.find_all(low, P.whole_word(target.lower(), "") + r"(?=([\s\S]{0,30}))", 1)
-        wanted = "|".join(rf"\Q{f.strip('() ').lower()}\E" for f in forms)
-        misses = F.size(F.filter(after, _lacking(wanted)))
-        found.append(_if(misses > 0, finding("warning", "W_HONORIFIC", f"term {k}", F.lit(target), misses)))
-    return F.concat(*found) if found else F.array().cast(f"array<{FINDING}>")
+def check_spelling(matches: Column) -> Column:
+    """matches: (canonical, variant, n) of spellings that rules reject (see rewrite.spelling_matches)."""
+    total = F.aggregate(matches, F.lit(0).cast("long"), lambda a, m: a + m["n"])
+    shown = F.transform(F.array_sort(matches), lambda m: _text(m["canonical"], F.lit(" <- "), m["variant"], F.lit(" x "), m["n"]))
+    return _if(F.size(matches) > 0, finding("warning", "W_SPELLING", "spelling", total, shown))
 
 
 def arabic_words(text: Column) -> Column:
@@ -193,7 +221,8 @@ def arabic_words(text: Column) -> Column:
 
 
 def check_script(src: Column, out: Column) -> Column:
-    return F.transform(set_minus(arabic_words(out), arabic_words(src)), lambda w: finding("warning", "W_URDU_SCRIPT", "script", w, F.lit(1)))
+    """detail has the first ten words."""
+    return _items("warning", "W_URDU_SCRIPT", "script", set_minus(arabic_words(out), arabic_words(src)), 10)
 
 
 def length_ratio(src: Column, out: Column) -> Column:
@@ -207,42 +236,63 @@ def length_outside(src: Column, out: Column) -> Column:
 
 
 def check_length(src: Column, out: Column) -> Column:
-    return _if(length_outside(src, out), finding("warning", "W_LENGTH", "length", F.format_string("%.2f", length_ratio(src, out)), F.lit(1)))
+    shown = F.array(F.round(length_ratio(src, out), 3).cast("string"))
+    return _if(length_outside(src, out), finding("warning", "W_LENGTH", "length", F.lit(1), shown))
 
 
-def lint(pairs: DataFrame, expected: Sequence[tuple[str, Sequence[str]]] = (), spelling: Column | None = None) -> DataFrame:
-    """Per pair: ratio and findings.  An empty or missing output has only that finding.
+def lint(pairs: DataFrame, expected: Sequence[tuple[str, Sequence[str]]] = (), spelling: Column | None = None, checks: Sequence[str] = CHECKS) -> DataFrame:
+    """Per pair: ratio and findings; an empty or missing output has only that finding.
 
-    spelling: an array of findings for W_SPELLING (see rewrite.spelling_findings).
+    spelling: the matches for W_SPELLING (see rewrite.spelling_matches).  checks: which ones to run.
+    A column fixes of pairs (canonical form, times) is kept for the roll-up.
     """
     src, out = F.coalesce("src", F.lit("")), F.coalesce("out", F.lit(""))
-    empty = F.col("src").isNull() | T.is_blank(out)
-    parts = [
-        check_commentary(src, out), check_structure(src, out), check_citations(src, out), check_untranslated(out),
-        *([spelling] if spelling is not None else []),
-        check_prophet(out), check_term_honorifics(out, expected), check_script(src, out), check_length(src, out),
-    ]
-    nothing = F.array(finding("error", "E_EMPTY", "empty", F.lit("output is empty or missing"), F.lit(1)))
-    return pairs.select(
-        *KEY, F.when(empty, 0.0).otherwise(F.round(length_ratio(src, out), 3)).alias("ratio"),
-        F.when(empty, nothing).otherwise(F.concat(*parts)).alias("findings"),
+    kept = ["fixes"] if "fixes" in pairs.columns else []
+    # each step names what the next ones use more than once
+    both = pairs.select(*KEY, *kept, src.alias("src"), out.alias("out"), (F.col("src").isNull() | T.is_blank(out)).alias("empty"), *([spelling.alias("spelled")] if spelling is not None else []))
+    both = both.select("*", prose(F.col("src")).alias("src_prose"), prose(F.col("out")).alias("out_prose"))
+    both = both.select("*", features(F.col("src"), F.col("src_prose")).alias("a"), features(F.col("out"), F.col("out_prose")).alias("b"))
+    s, o, lines = F.col("src"), F.col("out"), F.col("out_prose.kept")
+    parts = {
+        "commentary": lambda: check_commentary(s, o), "structure": lambda: check_structure(F.col("a"), F.col("b")), "citations": lambda: check_citations(s, o),
+        "untranslated": lambda: check_untranslated(lines), "spelling": lambda: check_spelling(F.col("spelled")),
+        "honorifics": lambda: check_honorifics(lines, expected), "script": lambda: check_script(s, o), "length": lambda: check_length(s, o),
+    }
+    wanted = [parts[c]() for c in CHECKS if c in checks and (c != "spelling" or spelling is not None)]
+    nothing = F.array(finding("error", "E_EMPTY", "empty", F.lit(1), F.array(F.lit("output is empty or missing"))))
+    return both.select(
+        *KEY, *kept, F.when(F.col("empty"), 0.0).otherwise(F.round(length_ratio(s, o), 3)).alias("ratio"),
+        F.when(F.col("empty"), nothing).otherwise(F.concat(*wanted)).alias("findings"),
     )
 
 
 def findings(linted: DataFrame) -> DataFrame:
-    """(doc_id, chunk_no, severity, code, item, n)."""
-    return linted.select(*KEY, F.inline("findings")).drop("test")
+    """(doc_id, chunk_no, severity, code, test, n, detail)."""
+    # an outer generator has no filter to push below it, so nothing is linted twice
+    return linted.select(*KEY, F.inline_outer("findings")).where("code is not null")
 
 
-def summary(linted: DataFrame, strict: bool = False) -> DataFrame:
-    """Per document: chunks, errors, warnings, chunks_with_errors, failed (warnings too if strict).
+def _number(severity: str) -> Column:
+    return F.size(F.filter("findings", lambda f: f["severity"] == severity)).cast("long")
 
-    errors and warnings are failed checks, each once a pair, however many items it names.
-    """
-    number = lambda s: F.size(F.array_distinct(F.transform(F.filter("findings", lambda f: f["severity"] == s), lambda f: f["test"]))).cast("long")
-    counted = linted.select("*", number("error").alias("e"), number("warning").alias("w"))
-    per = counted.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("chunks"), F.sum("e").alias("errors"), F.sum("w").alias("warnings"),
-        F.array_sort(F.collect_list(F.when(F.col("e") > 0, F.col("chunk_no")))).alias("chunks_with_errors"),
+
+def per_chunk(linted: DataFrame) -> DataFrame:
+    """(doc_id, chunk_no, errors, warnings, ratio)."""
+    return linted.select(*KEY, _number("error").alias("errors"), _number("warning").alias("warnings"), "ratio")
+
+
+def fix_totals(linted: DataFrame) -> DataFrame:
+    """(doc_id, fixes): how often each canonical form was put in; a row per rule at most meets in a map."""
+    each = linted.select("doc_id", F.explode("fixes").alias("k", "n")).groupBy("doc_id", "k").agg(F.sum("n").alias("n"))
+    return each.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias("fixes"))
+
+
+def summary(linted: DataFrame, strict: bool = False) -> DataFrame:
+    """Per document: chunks, errors, warnings, chunks_with_errors, failed (warnings too if strict), and the
+    totals of fixes where linted has them."""
+    per = per_chunk(linted).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("chunks"), F.sum("errors").alias("errors"), F.sum("warnings").alias("warnings"),
+        F.array_sort(F.collect_list(F.when(F.col("errors") > 0, F.col("chunk_no")))).alias("chunks_with_errors"),
     )
-    return per.withColumn("failed", (F.col("errors") > 0) | (F.lit(strict) & (F.col("warnings") > 0)))
+    per = per.withColumn("failed", (F.col("errors") > 0) | (F.lit(strict) & (F.col("warnings") > 0)))
+    return per.join(fix_totals(linted), "doc_id", "left") if "fixes" in linted.columns else per

@@ -24,12 +24,26 @@ PAIRS = [
     (3, 1, "متن here قلم", "متن yahan کتاب"),
     (3, 2, "some words", "Here is the translation of some words"),
     (3, 3, "~~~\n# x\n~~~\n# Real", "~~~\n# x\n~~~\n# Asli"),
+    (4, 1, "The Prophet said so to the people", "Nabi ne kaha. Nabi Sallallahu Alaihi Wasallam ne kaha, aur Muhammad bin Qasim aaye. Muhammad ne [Nabi: 3] Huzoor"),
+    (4, 2, "a line", "this is one of the many things that they have made with their people\n| these are the ones that have been made by them all\nsee http://x.y this is one of the many that they have made"),
+    (4, 3, "See (Sahih Bukhari: 12, 13) and (Muslim: 4) [^a] [^b]", "Dekho (Sahih Bukhari, Hadees 12 aur 13) [^a] [^c]"),
+    (4, 4, "قل هو الله احد text", "قل text"),
+    (4, 5, "![a](p.png)![b](p.png) \\![c](q.png) [x](u)[y](u) \\[z](w)", "![a](p.png) [x](u) [y](v)\n```\n[k](hidden)\n"),
+    (4, 6, "```\nlet x\n```", "```\nlet x\n```\n[Translator's Note: done]"),
+    (4, 7, "Sure of it", "```\nHere is all of it, said in some other words than those of the text itself\n```"),
+    (4, 8, "two words", " \n\t"),
+    (4, 9, "قل هو (قل) ١٢", "قل هو (قل) ١٢"),
 ]
 MESSY = [
     (1, "﻿# Title {#id .cls}\r\n\r\n\r\n\r\nA b\\\n:::: {.box}\ntext↩︎ [**bold**] [](#x)\n<div class=\"x\">\nend (#calibre_link-12)\n"),
     (2, "\n\nplain\ntext {.k}\n\n\n\n\nlast\n\n"),
     (3, ""),
 ]
+MARKDOWN = [
+    (1, "# H\n\npara\nmore\n\n- a\n\n  b\n- c\n\n> q\n> r\n| t |\n![i](x)\n```\ncode\n\n# no\n```\n1. x"),
+    (2, "~~~\n# a\n```\n- b\n~~~\ntext\n## Two\n- x\n\n\n- y\n  z\nend\n```\nopen"),
+    (3, ""), (4, "\n\n"), (5, "1) one\n2) two\n\npara - x\n* star\n| a |\n| b |\n> c"),
+]
 NAMES = [(1, "chunk0001.md"), (2, "chunk12345.md"), (3, "output_chunk0001.md"), (4, "chunk.md"), (5, "chunk7.md")]
 REVIEWS = [
     (1, 1, 5, None), (1, 2, 3, "style"), (1, 3, 2, "style"), (1, 3, 2, "terms"), (1, 4, 4, "terms"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
 from quire.functions import text as T
-from quire.operators import assemble, context, dictionary, integrity, lint, phrases, rewrite, segment
+from quire.operators import assemble, context, dictionary, integrity, lint, phrases, segment
 from quire.plans import fixtures as X
 from quire.sources import readers
 
@@ -35,16 +35,16 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "documents").select("doc_id", "text")
 
 
-def _turns(spark: SparkSession, d: str) -> DataFrame:
+def turns(spark: SparkSession, d: str) -> DataFrame:
     """Conversation turns as the chunks of a document."""
     c = _table(spark, d, "conversations")
     return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_no"), "role", "text")
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
+def pairs(spark: SparkSession, d: str) -> DataFrame:
     """A user's turn and the assistant's next one as source and output."""
     w = Window.partitionBy("doc_id").orderBy("chunk_no")
-    c = _turns(spark, d).withColumns({"no2": F.lead("chunk_no").over(w), "role2": F.lead("role").over(w), "out": F.lead("text").over(w)})
+    c = turns(spark, d).withColumns({"no2": F.lead("chunk_no").over(w), "role2": F.lead("role").over(w), "out": F.lead("text").over(w)})
     return c.where("role = 'user' AND role2 = 'assistant' AND no2 = chunk_no + 1").select("doc_id", "chunk_no", F.col("text").alias("src"), "out")
 
 
@@ -52,6 +52,28 @@ def _terms(spark: SparkSession) -> DataFrame:
     return dictionary.load_terms(spark, X.TERMS)
 
 
+def _all_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The inline terms, and one for each nation that also answers to the name of its region."""
+    named = _table(spark, d, "nation").join(_table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("n_nationkey")
+    nations = named.select(
+        (k + 1000).cast("int").alias("term_id"), F.col("n_name").alias("source"), F.array("r_name").alias("aliases"), F.col("n_name").alias("target"),
+        F.lit("place").alias("category"), F.when(k % 2 == 0, "h1").otherwise("none").alias("honorific"), F.when(k % 3 == 0, "f").alias("gender"),
+        (k % 5 == 0).alias("plural"), F.lit(None).cast("string").alias("note"), F.lit(0).cast("long").alias("frequency"),
+    )
+    return _terms(spark).unionByName(nations)
+
+
+_ALL_TERMS_SQL = f"""(
+    SELECT CAST(term_id AS INT) AS term_id, source, aliases, category, honorific, gender, CAST(plural AS BOOLEAN) AS plural
+    FROM {X.sql_values([(t[0], t[1], t[2], t[4], t[5], t[6], t[7]) for t in X.TERMS], "term_id, source, aliases, category, honorific, gender, plural")}
+    UNION ALL
+    SELECT CAST(n_nationkey + 1000 AS INT), n_name, [r_name], 'place', CASE WHEN n_nationkey % 2 = 0 THEN 'h1' ELSE 'none' END,
+           CASE WHEN n_nationkey % 3 = 0 THEN 'f' END, n_nationkey % 5 = 0
+    FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+_ALL_SURFACES_SQL = f"(SELECT DISTINCT term_id, surface FROM (SELECT term_id, unnest(list_prepend(source, aliases)) AS surface FROM {_ALL_TERMS_SQL}))"
+
+
 def _honorifics(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(X.HONORIFICS, "id string, target string, female_target string, plural_target string")
 
@@ -59,19 +81,19 @@ def _honorifics(spark: SparkSession) -> DataFrame:
 SURFACES = [(t[0], s) for t in X.TERMS for s in dict.fromkeys([t[1], *t[2]])]
 _W = r"[^\p{L}\p{N}_'']"
 _LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents"
-_PAIRS_SQL = """
+PAIRS_SQL = """
     SELECT a.conv_id AS doc_id, a.turn AS chunk_no, a.text AS src, b.text AS out
     FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
     WHERE a.role = 'user' AND b.role = 'assistant'"""
-_S = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SPACE = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
-def _strip(x: str) -> str:
-    return f"regexp_replace({x}, '^{_S}+|{_S}+$', '', 'g')"
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g')"
 
 
-def _squash(x: str) -> str:
-    return _strip(f"regexp_replace({x}, '{_S}+', ' ', 'g')")
+def squash(x: str) -> str:
+    return strip(f"regexp_replace({x}, '{SPACE}+', ' ', 'g')")
 
 
 def _double(x: str) -> str:
@@ -172,72 +194,108 @@ def glossary_seed(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
     SELECT key, CAST(count(DISTINCT term_id) AS BIGINT) AS n_terms
-    FROM (SELECT term_id, lower(surface) AS key FROM {_SURFACE_ROWS}) GROUP BY key HAVING count(DISTINCT term_id) > 1""")
+    FROM (SELECT term_id, lower(surface) AS key FROM {_ALL_SURFACES_SQL}) GROUP BY key HAVING count(DISTINCT term_id) > 1""")
 def surface_collisions(spark: SparkSession, d: str) -> DataFrame:
-    return dictionary.surface_collisions(_terms(spark))
+    return dictionary.surface_collisions(_all_terms(spark, d))
 
 
 @query(f"""
-    WITH t AS (SELECT * FROM {X.sql_values([(t[0], t[4], t[5]) for t in X.TERMS], "term_id, category, honorific")})
+    WITH t AS (SELECT * FROM {_ALL_TERMS_SQL})
     SELECT term_id, 'unknown honorific ' || honorific AS problem FROM t WHERE honorific NOT IN ('', 'h1', 'h2', 'h3')
     UNION ALL SELECT term_id, 'unknown category ' || category FROM t WHERE category = 'odd'
     UNION ALL SELECT DISTINCT term_id, 'surface already used: ' || key
-    FROM (SELECT term_id, lower(surface) AS key, min(term_id) OVER (PARTITION BY lower(surface)) AS owner FROM {_SURFACE_ROWS}) WHERE owner <> term_id""")
+    FROM (SELECT term_id, lower(surface) AS key, min(term_id) OVER (PARTITION BY lower(surface)) AS owner FROM {_ALL_SURFACES_SQL}) WHERE owner <> term_id""")
 def glossary_validate(spark: SparkSession, d: str) -> DataFrame:
-    return dictionary.validate(_terms(spark), _honorifics(spark))
+    return dictionary.validate(_all_terms(spark, d), _honorifics(spark))
+
+
+@query(f"SELECT key, max(term_id) AS term_id FROM (SELECT term_id, lower(surface) AS key FROM {_ALL_SURFACES_SQL}) GROUP BY key")
+def surface_index(spark: SparkSession, d: str) -> DataFrame:
+    return dictionary.surface_index(_all_terms(spark, d))
 
 
 @query(f"""
     SELECT term_id, coalesce(CASE WHEN plural THEN plural_target END, CASE WHEN gender = 'f' THEN female_target END, h.target, '') AS honorific_text
-    FROM {X.sql_values([(t[0], t[5], t[6], t[7]) for t in X.TERMS], "term_id, honorific, gender, plural")}
+    FROM {_ALL_TERMS_SQL} t
     LEFT JOIN (SELECT * FROM {X.sql_values(X.HONORIFICS, "id, target, female_target, plural_target")}) h ON h.id = t.honorific""")
 def honorific_resolve(spark: SparkSession, d: str) -> DataFrame:
-    return dictionary.resolve_honorifics(_terms(spark), _honorifics(spark)).select("term_id", "honorific_text")
+    return dictionary.resolve_honorifics(_all_terms(spark, d), _honorifics(spark)).select("term_id", "honorific_text")
 
 
-@query()
+@query(f"SELECT term_id, source FROM {_ALL_TERMS_SQL} WHERE category = 'place'")
+def glossary_list(spark: SparkSession, d: str) -> DataFrame:
+    return dictionary.by_category(_all_terms(spark, d), "place").select("term_id", "source")
+
+
+@query(f"""
+    SELECT t.term_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS frequency
+    FROM (SELECT DISTINCT term_id FROM {_SURFACE_ROWS}) t LEFT JOIN ({_HITS_SQL}) h USING (term_id) GROUP BY t.term_id""")
+def glossary_recount(spark: SparkSession, d: str) -> DataFrame:
+    return dictionary.recount(_documents(spark, d), _terms(spark)).select("term_id", "frequency")
+
+
+def _cell(c: str) -> str:
+    return f"replace(replace(coalesce({c}, ''), '|', '\\|'), chr(10), ' ')"
+
+
+_TERM_ROWS = X.sql_values([(t[0], t[1], ", ".join(t[2]), *t[3:]) for t in X.TERMS], "term_id, source, aliases, target, category, honorific, gender, plural, note, frequency")
+
+
+@query(f"""
+    WITH found AS (SELECT doc_id, term_id, min(pos) AS pos FROM ({_HITS_SQL}) WHERE n > 0 GROUP BY doc_id, term_id),
+    terms AS (SELECT * FROM {_TERM_ROWS}),
+    most AS (SELECT term_id, row_number() OVER (ORDER BY frequency DESC, term_id) + 1000 AS pos FROM terms WHERE frequency > 0),
+    every AS (SELECT doc_id, term_id, pos FROM found UNION ALL SELECT doc_id, term_id, pos FROM documents, most),
+    firsts AS (SELECT doc_id, term_id, pos FROM every JOIN terms USING (term_id) QUALIFY row_number() OVER (PARTITION BY doc_id, lower(source) ORDER BY pos) = 1),
+    named AS (SELECT t.term_id, source, aliases, t.target, note, category,
+                     coalesce(CASE WHEN plural THEN plural_target END, CASE WHEN gender = 'f' THEN female_target END, h.target, '') AS honorific_text
+              FROM terms t LEFT JOIN (SELECT * FROM {X.sql_values(X.HONORIFICS, "id, target, female_target, plural_target")}) h ON h.id = t.honorific)
+    SELECT doc_id, CAST(1 AS INT) AS chunk_no, '| English | Aliases | Roman Urdu | Honorific | Note |' || chr(10) || '|---|---|---|---|---|' || chr(10) ||
+           string_agg('| ' || {_cell("source")} || ' | ' || {_cell("aliases")} || ' | ' || {_cell("target")} || ' | ' || {_cell("honorific_text")} || ' | '
+                      || {_cell("coalesce(nullif(note, ''), category)")} || ' |', chr(10) ORDER BY pos) AS term_table
+    FROM firsts JOIN named USING (term_id) GROUP BY doc_id""")
 def term_tables(spark: SparkSession, d: str) -> DataFrame:
     chunks = _documents(spark, d).withColumn("chunk_no", F.lit(1))
     named = dictionary.resolve_honorifics(_terms(spark), _honorifics(spark))
-    return assemble.term_table(dictionary.select_terms(chunks, _terms(spark)).join(F.broadcast(named), "term_id"))
+    return assemble.term_table(dictionary.select_terms(chunks, _terms(spark)).join(named, "term_id"))
 
 
 # --- lines and sentences ---
 
 
 @query(rf"""
-    WITH l AS (SELECT doc_id, {_strip("line")} AS s FROM ({_LINES})),
-    w AS (SELECT *, list_filter(regexp_split_to_array(s, '{_S}+'), lambda x: x <> '') AS words FROM l),
+    WITH l AS (SELECT doc_id, {strip("line")} AS s FROM ({_LINES})),
+    w AS (SELECT *, list_filter(regexp_split_to_array(s, '{SPACE}+'), lambda x: x <> '') AS words FROM l),
     c AS (SELECT *, len(words) AS n, len(list_filter(words, lambda x: regexp_matches(x, '^\p{{Lu}}'))) AS caps FROM w)
-    SELECT doc_id, count(*) AS headings FROM c
-    WHERE length(s) BETWEEN 3 AND 80 AND NOT regexp_matches(s, '[.!?:;"”’)\]۔؟]\d{{0,2}}{_S}*$') AND NOT s LIKE '%,' AND n <= 12
+    SELECT doc_id, count(*) FILTER (length(s) BETWEEN 3 AND 80 AND NOT regexp_matches(s, '[.!?:;"”’)\]۔؟]\d{{0,2}}{SPACE}*$') AND NOT s LIKE '%,' AND n <= 12
       AND NOT (regexp_matches(s, '^\p{{Nd}}') AND n = 1)
-      AND ((regexp_matches(s, '\p{{Lu}}') AND NOT regexp_matches(s, '\p{{Ll}}')) OR (caps >= greatest(1, floor(n * 0.8)) AND n >= 2))
-    GROUP BY doc_id""")
+      AND ((regexp_matches(s, '\p{{Lu}}') AND NOT regexp_matches(s, '\p{{Ll}}')) OR (caps >= greatest(1, floor(n * 0.8)) AND n >= 2))) AS headings
+    FROM c GROUP BY doc_id""")
 def heading_candidates(spark: SparkSession, d: str) -> DataFrame:
     n = F.size(F.filter(T.lines("text"), T.is_heading_candidate)).cast("long")
-    return _documents(spark, d).select("doc_id", n.alias("headings")).where("headings > 0")
+    return _documents(spark, d).select("doc_id", n.alias("headings"))
 
 
 _STOP_SQL = "[" + ", ".join(f"'{w}'" for w in P.ENGLISH) + "]"
+ARABIC = r"\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}"
+CITED = r"[(\[][^()\[\]\n]*?:\s*[^()\[\]\n]*?\d[^()\[\]\n]*[)\]]"
+ENGLISH_WORDS = r"""list_filter(list_transform(regexp_extract_all(lower(regexp_replace(regexp_replace(line, '`[^`\n]+`', ' ', 'g'), '\]\([^)]*\)', ']', 'g')),
+    '[a-z'']+'), lambda x: trim(x, '''')), lambda x: x <> '')"""
+UNTRANSLATED = rf"""len(words) >= 8 AND len(list_filter(words, lambda x: list_contains({_STOP_SQL}, x))) * 10 >= len(words) * 3
+    AND NOT regexp_matches(line, '(https?://|www\.)\S+') AND NOT regexp_matches({strip("line")}, '^(!\[|\|)')
+    AND NOT regexp_matches(line, '[{ARABIC}]') AND NOT regexp_full_match({strip("line")}, '{CITED}')"""
 
 
-@query(rf"""
-    WITH l AS (SELECT doc_id, line, regexp_replace(regexp_replace(line, '`[^`\n]+`', ' ', 'g'), '\]\([^)]*\)', ']', 'g') AS p FROM ({_LINES})),
-    w AS (SELECT doc_id, line, list_filter(list_transform(regexp_extract_all(lower(p), '[a-z'']+'), lambda x: trim(x, '''')), lambda x: x <> '') AS words FROM l),
-    c AS (SELECT *, len(words) AS n, len(list_filter(words, lambda x: list_contains({_STOP_SQL}, x))) AS e FROM w)
-    SELECT doc_id, count(*) AS lines FROM c WHERE n >= 8 AND e * 10 >= n * 3
-      AND NOT regexp_matches(line, '(https?://|www\.)\S+') AND NOT regexp_matches(line, '^\s*(!\[|\|)')
-      AND NOT regexp_matches(line, '[\x{{0600}}-\x{{06FF}}\x{{0750}}-\x{{077F}}\x{{08A0}}-\x{{08FF}}\x{{FB50}}-\x{{FDFF}}\x{{FE70}}-\x{{FEFF}}]')
-      AND NOT regexp_full_match({_strip("line")}, '[(\[][^()\[\]\n]*?:\s*[^()\[\]\n]*?\d[^()\[\]\n]*[)\]]')
-    GROUP BY doc_id""")
+@query(f"""
+    SELECT doc_id, count(*) FILTER ({UNTRANSLATED}) AS lines
+    FROM (SELECT doc_id, line, {ENGLISH_WORDS} AS words FROM ({_LINES})) GROUP BY doc_id""")
 def untranslated_lines(spark: SparkSession, d: str) -> DataFrame:
     n = F.size(F.filter(T.lines("text"), T.looks_untranslated)).cast("long")
-    return _documents(spark, d).select("doc_id", n.alias("lines")).where("lines > 0")
+    return _documents(spark, d).select("doc_id", n.alias("lines"))
 
 
 @query(rf"""
-    SELECT line, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, {_squash("line")} AS line FROM ({_LINES}))
+    SELECT line, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, {squash("line")} AS line FROM ({_LINES}))
     WHERE line <> '' AND length(line) < 120 AND NOT regexp_full_match(line, '\p{{Nd}}+') GROUP BY line HAVING count(DISTINCT doc_id) >= 2""")
 def repeated_lines(spark: SparkSession, d: str) -> DataFrame:
     return segment.repeated_lines(_documents(spark, d))
@@ -245,7 +303,7 @@ def repeated_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query(rf"""
     SELECT doc_id, CAST(CASE WHEN len(s) = 0 THEN 80 ELSE greatest(40, s[least(len(s) - 1, CAST(floor(len(s) * 0.9) AS INT)) + 1]) END AS BIGINT) AS width
-    FROM (SELECT doc_id, list_sort(list_filter(list_transform(string_split(text, chr(10)), lambda x: length({_strip("x")})), lambda n: n > 0)) AS s FROM documents)""")
+    FROM (SELECT doc_id, list_sort(list_filter(list_transform(string_split(text, chr(10)), lambda x: length({strip("x")})), lambda n: n > 0)) AS s FROM documents)""")
 def line_width_p90(spark: SparkSession, d: str) -> DataFrame:
     sizes = F.filter(F.transform(T.lines("text"), lambda x: F.length(T.strip(x))), lambda n: n > 0)
     return _documents(spark, d).select("doc_id", T.typical_width(sizes).alias("width"))
@@ -280,14 +338,39 @@ def greedy_chunks(spark: SparkSession, d: str) -> DataFrame:
     return segment.pack_lines(_documents(spark, d), 1000)
 
 
+_MARKDOWN = f"(SELECT doc_id, text FROM documents UNION ALL SELECT -doc_id, text FROM {X.sql_values(X.MARKDOWN, 'doc_id, text')})"
+
+
 @query()
 def structured_chunks(spark: SparkSession, d: str) -> DataFrame:
     return segment.chunk_table(_documents(spark, d)).select("doc_id", "chunk_no", "chunk_id", F.sha2("text", 256).alias("source_hash"))
 
 
-@query()
+# a scan line by line: the block a line belongs to, from the state that the line before leaves behind
+@query(rf"""
+    WITH RECURSIVE l AS MATERIALIZED (
+        SELECT doc_id, i, lines[i] AS line, NOT regexp_matches(lines[i], '\S') AS blank,
+               CASE WHEN regexp_matches(lines[i], '^\s*(```|~~~)') THEN 'code_block' WHEN regexp_matches(lines[i], '^#{{1,6}}\s') THEN 'heading' WHEN lines[i] LIKE '>%' THEN 'blockquote'
+                    WHEN lines[i] LIKE '|%' THEN 'table' WHEN regexp_matches(lines[i], '^([-*+]|\d+[.)])\s') THEN 'list' WHEN lines[i] LIKE '![%' THEN 'image' ELSE '' END AS kind
+        FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM {_MARKDOWN}))),
+    n AS MATERIALIZED (SELECT *, kind = 'list' OR (line LIKE '  %' AND NOT blank) AS inside,
+               coalesce(lead(kind = 'list' OR (line LIKE '  %' AND NOT blank)) OVER (PARTITION BY doc_id ORDER BY i), false) AS next_inside FROM l),
+    f(doc_id, i, block_no, state, type) AS (
+        SELECT doc_id, 0, -1, '', '' FROM {_MARKDOWN}
+        UNION ALL
+        SELECT n.doc_id, n.i, CASE WHEN goes_on THEN block_no ELSE block_no + 1 END,
+               CASE WHEN goes_on AND f.type = 'code_block' AND starts_with(ltrim(line), f.state) THEN 'closed' WHEN goes_on THEN f.state
+                    WHEN kind = 'code_block' THEN left(ltrim(line), 3) WHEN blank OR kind IN ('heading', 'image') THEN 'closed' ELSE 'open' END,
+               CASE WHEN goes_on THEN f.type WHEN kind <> '' THEN kind ELSE 'paragraph' END
+        FROM f JOIN n ON n.doc_id = f.doc_id AND n.i = f.i + 1,
+        LATERAL (SELECT f.state NOT IN ('', 'closed') AND CASE f.type WHEN 'code_block' THEN true WHEN 'list' THEN inside OR (blank AND next_inside)
+                        WHEN 'paragraph' THEN kind = '' AND NOT blank ELSE kind = f.type END AS goes_on))
+    SELECT doc_id, type, count(*) AS blocks, CAST(sum(chars) AS BIGINT) AS chars FROM (
+        SELECT f.doc_id, block_no, any_value(f.type) AS type, CASE WHEN bool_and(blank AND f.type = 'paragraph') THEN 0 ELSE length(string_agg(line, chr(10) ORDER BY f.i)) END AS chars
+        FROM f JOIN n ON n.doc_id = f.doc_id AND n.i = f.i GROUP BY f.doc_id, block_no) GROUP BY doc_id, type""")
 def blocks(spark: SparkSession, d: str) -> DataFrame:
-    return segment.block_table(_documents(spark, d)).groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length("text")).alias("chars"))
+    inline = spark.createDataFrame([(-i, t) for i, t in X.MARKDOWN], "doc_id long, text string")
+    return segment.block_table(_documents(spark, d).unionByName(inline)).groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length("text")).alias("chars"))
 
 
 @query()
@@ -297,7 +380,7 @@ def reflowed(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def page_spine(spark: SparkSession, d: str) -> DataFrame:
-    return _documents(spark, d).select("doc_id", F.length(segment.strip_page_numbers("text")).alias("chars"))
+    return _documents(spark, d).select("doc_id", F.sha2(segment.strip_page_numbers("text"), 256).alias("sha256"))
 
 
 @query()
@@ -305,13 +388,41 @@ def html_to_markdown(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "pages").select("page_id", readers.html_to_markdown("html").alias("p")).select("page_id", "p.title", "p.text")
 
 
-@query()
+_STOPS = "[" + ", ".join(f"'{w}'" for w in sorted(P.STOP)) + "]"
+_CONNECT = "[" + ", ".join(f"'{w}'" for w in sorted(P.CONNECTORS)) + "]"
+_SUBJECTS = "[" + ", ".join(f"'{w}'" for w in [*P.SUBJECT_WORDS, "pbuh"]) + "]"
+_CAP = r"regexp_full_match({}, '[A-Z][A-Za-z''’\-]*')"
+
+
+# tokens are spelled with a letter of their kind before them, so that one pattern finds phrases over words;
+# the first word of a longer phrase is a row of its own
+@query(rf"""
+    WITH plain AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?s)```.*?```|https?://\S+', ' ', 'g'), '(?m)^#{{1,6}}\s+', '', 'g') AS x FROM documents),
+    said AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(x, '([.!?])\s+', '\1' || chr(1), 'g'), '\x01|\n+')) AS s,
+                    generate_subscripts(regexp_split_to_array(regexp_replace(x, '([.!?])\s+', '\1' || chr(1), 'g'), '\x01|\n+'), 1) AS no FROM plain),
+    words AS (SELECT doc_id, no, s, regexp_extract_all(s, '[A-Za-z][A-Za-z''’\-]*|[.!?,;:()\[\]"“”]') AS w FROM said),
+    kinds AS (SELECT doc_id, no, s, array_to_string(list_transform(w, lambda t, i: CASE
+        WHEN {_CAP.format("t")} AND NOT list_contains({_STOPS}, lower(t)) THEN 'N:'
+        WHEN list_contains({_CONNECT}, lower(t)) AND i < len(w) AND {_CAP.format("w[i + 1]")} THEN 'j:' ELSE '.:' END || t), ' ') AS k FROM words),
+    found AS (SELECT doc_id, no, s, k, regexp_extract_all(k, 'N:[^ ]+(?:(?: [Nj]:[^ ]+){{0,4}} N:[^ ]+)?') AS runs FROM kinds),
+    each AS (SELECT doc_id, no, s, i, regexp_replace(runs[i], '(^| )[Nj]:', '\1', 'g') AS phrase, i = 1 AND starts_with(k, runs[1]) AS initial
+             FROM (SELECT *, unnest(range(1, len(runs) + 1)) AS i FROM found)),
+    every AS (SELECT doc_id, no, 2 * i AS nth, trim(s, ' ' || chr(9) || chr(10) || chr(13)) AS s, phrase, initial FROM each
+              UNION ALL SELECT doc_id, no, 2 * i + 1, trim(s, ' ' || chr(9) || chr(10) || chr(13)), split_part(phrase, ' ', 1), initial FROM each WHERE contains(phrase, ' ')),
+    placed AS (SELECT *, left(regexp_replace(CASE WHEN instr(s, phrase) = 0 THEN s ELSE substr(s, greatest(1, instr(s, phrase) - 60), length(phrase) + 60 + least(60, instr(s, phrase) - 1)) END, '\s+', ' ', 'g'), 160) AS context FROM every),
+    per AS (SELECT phrase AS source, count(*) AS frequency, count(*) FILTER (NOT initial) AS inner_uses, list(context ORDER BY doc_id, no, nth)[1:2] AS contexts FROM placed GROUP BY phrase)
+    SELECT source, frequency, array_to_string(contexts, ' | ') AS contexts FROM per
+    WHERE frequency >= 2 AND NOT (NOT contains(source, ' ') AND inner_uses = 0) AND NOT list_contains({_SUBJECTS}, lower(source))
+      AND len(list_filter(string_split(lower(source), ' '), lambda t: NOT list_contains({_STOPS}, t) AND NOT list_contains({_CONNECT}, t))) > 0
+      AND lower(source) NOT IN (SELECT lower(surface) FROM {_SURFACE_ROWS})
+    ORDER BY frequency DESC, source LIMIT 400""")
 def phrase_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The report of the 400 most frequent candidates."""
     known = dictionary.surface_index(_terms(spark))
-    return phrases.candidates(_documents(spark, d), known)
+    return phrases.candidates(_documents(spark, d), known, triggers=("PBUH",)).withColumn("contexts", F.array_join("contexts", " | "))
 
 
-_MESSY = X.sql_values(X.MESSY, "doc_id, text")
+_MESSY = f"(SELECT doc_id, text FROM documents UNION ALL SELECT -doc_id, text FROM {X.sql_values(X.MESSY, 'doc_id, text')})"
 
 
 @query(rf"""
@@ -323,14 +434,17 @@ _MESSY = X.sql_values(X.MESSY, "doc_id, text")
     f AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(x, '(?m)[ \t]*\\$', '', 'g'), '\[\]\([^)]*\)', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS x FROM e)
     SELECT doc_id, trim(x, chr(10)) || chr(10) AS text FROM f""")
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(X.MESSY, "doc_id int, text string").select("doc_id", T.clean_markdown("text").alias("text"))
+    messy = spark.createDataFrame([(-i, t) for i, t in X.MESSY], "doc_id long, text string")
+    return _documents(spark, d).unionByName(messy).select("doc_id", T.clean_markdown("text").alias("text"))
 
 
 @query(f"""
     SELECT id, CAST(nullif(regexp_extract(name, '^chunk(\\d+)\\.md$', 1), '') AS BIGINT) AS chunk_no
-    FROM {X.sql_values(X.NAMES, "id, name")}""")
+    FROM (SELECT id, name FROM {X.sql_values([(-i, n) for i, n in X.NAMES], "id, name")} UNION ALL SELECT page_id, 'chunk' || page_id || '.md' FROM pages)""")
 def chunk_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(X.NAMES, "id int, name string").select("id", T.chunk_number("name").alias("chunk_no"))
+    named = spark.createDataFrame([(-i, n) for i, n in X.NAMES], "id long, name string")
+    pages = _table(spark, d, "pages").select(F.col("page_id").cast("long").alias("id"), F.concat(F.lit("chunk"), "page_id", F.lit(".md")).alias("name"))
+    return named.unionByName(pages).select("id", T.chunk_number("name").alias("chunk_no"))
 
 
 # --- neighbours, queues, samples ---
@@ -338,11 +452,11 @@ def chunk_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 @query(rf"""
     SELECT conv_id AS doc_id, turn AS chunk_no,
-        coalesce(CASE WHEN lag(turn) OVER w = turn - 1 THEN {_strip("right(lag(text) OVER w, 300)")} END, '') AS prev_excerpt,
-        coalesce(CASE WHEN lead(turn) OVER w = turn + 1 THEN {_strip("left(lead(text) OVER w, 300)")} END, '') AS next_excerpt
+        coalesce(CASE WHEN lag(turn) OVER w = turn - 1 THEN {strip("right(lag(text) OVER w, 300)")} END, '') AS prev_excerpt,
+        coalesce(CASE WHEN lead(turn) OVER w = turn + 1 THEN {strip("left(lead(text) OVER w, 300)")} END, '') AS next_excerpt
     FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
 def neighbour_context(spark: SparkSession, d: str) -> DataFrame:
-    return context.neighbour_context(_turns(spark, d)).select("doc_id", "chunk_no", "prev_excerpt", "next_excerpt")
+    return context.neighbour_context(turns(spark, d)).select("doc_id", "chunk_no", "prev_excerpt", "next_excerpt")
 
 
 @query("""
@@ -352,183 +466,83 @@ def neighbour_context(spark: SparkSession, d: str) -> DataFrame:
     SELECT DISTINCT doc_id, chunk_no FROM k, unnest(range(k)) AS u(i)
     WHERE p = CASE WHEN k = 1 THEN 0 ELSE floor(i * (n - 1) / (k - 1) + 0.5) END""")
 def review_sample(spark: SparkSession, d: str) -> DataFrame:
-    return context.review_sample(_turns(spark, d)).select("doc_id", "chunk_no")
+    return context.review_sample(turns(spark, d)).select("doc_id", "chunk_no")
 
 
 @query("SELECT conv_id AS doc_id, turn AS chunk_no, CAST(floor((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) / 6) AS BIGINT) AS batch FROM conversations")
 def batches(spark: SparkSession, d: str) -> DataFrame:
-    return context.batches(_turns(spark, d)).select("doc_id", "chunk_no", "batch")
+    return context.batches(turns(spark, d)).select("doc_id", "chunk_no", "batch")
 
 
 @query("""
     SELECT conv_id AS doc_id, turn AS chunk_no FROM conversations c
     WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM conversations o WHERE o.conv_id = c.conv_id AND o.turn = c.turn + 1 AND o.role = 'assistant' AND regexp_matches(o.text, '\\S'))""")
 def work_queue(spark: SparkSession, d: str) -> DataFrame:
-    turns = _turns(spark, d)
-    done = turns.where("role = 'assistant'").select("doc_id", (F.col("chunk_no") - 1).alias("chunk_no"), F.col("text").alias("out_text"))
-    return context.work_queue(turns.where("role = 'user'"), done).select("doc_id", "chunk_no")
+    both = turns(spark, d)
+    done = both.where("role = 'assistant'").select("doc_id", (F.col("chunk_no") - 1).alias("chunk_no"), F.col("text").alias("out_text"))
+    return context.work_queue(both.where("role = 'user'"), done).select("doc_id", "chunk_no")
 
 
-_REVIEWS = f"(SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, score, type FROM {X.sql_values(X.REVIEWS, 'doc_id, chunk_no, score, type')}) f"
+_REVIEWS = f"""(
+    SELECT CAST(-doc_id AS BIGINT) AS doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, score, type FROM {X.sql_values(X.REVIEWS, "doc_id, chunk_no, score, type")}
+    UNION ALL SELECT conv_id, turn, 1 + length(text) % 5, CASE length(text) % 4 WHEN 0 THEN 'style' WHEN 1 THEN 'terms' WHEN 2 THEN 'missing' END FROM conversations)"""
 
 
-def _reviews(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(X.REVIEWS, "doc_id long, chunk_no long, score int, type string")
+def _reviews(spark: SparkSession, d: str) -> DataFrame:
+    """Inline reviews, and one for each turn that goes by the turn's length."""
+    inline = spark.createDataFrame([(-r[0], *r[1:]) for r in X.REVIEWS], "doc_id long, chunk_no long, score int, type string")
+    n = F.length("text")
+    kind = F.when(n % 4 == 0, "style").when(n % 4 == 1, "terms").when(n % 4 == 2, "missing")
+    each = turns(spark, d).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("chunk_no").cast("long").alias("chunk_no"), (1 + n % 5).cast("int").alias("score"), kind.alias("type"))
+    return inline.unionByName(each)
 
 
 @query(f"""
     SELECT doc_id, type, count(DISTINCT chunk_no) AS chunks, any_value(sampled) AS sampled
-    FROM {_REVIEWS} JOIN (SELECT doc_id, count(DISTINCT chunk_no) AS sampled FROM {_REVIEWS} GROUP BY doc_id) s USING (doc_id)
+    FROM {_REVIEWS} f JOIN (SELECT doc_id, count(DISTINCT chunk_no) AS sampled FROM {_REVIEWS} GROUP BY doc_id) s USING (doc_id)
     WHERE type IS NOT NULL GROUP BY doc_id, type HAVING count(DISTINCT chunk_no) >= any_value(sampled) * 0.5""")
 def systematic_issues(spark: SparkSession, d: str) -> DataFrame:
-    return context.systematic_issues(_reviews(spark))
+    return context.systematic_issues(_reviews(spark, d))
 
 
 @query(f"""
     SELECT DISTINCT doc_id, chunk_no FROM {_REVIEWS} WHERE score <= 3
-    UNION SELECT doc_id, chunk_no FROM ({_PAIRS_SQL}) WHERE length(src) > 4 * length(out)""")
+    UNION SELECT doc_id, chunk_no FROM ({PAIRS_SQL}) WHERE length(src) > 2 * length(out) AND chunk_no % 4 < 2""")
 def retry_selection(spark: SparkSession, d: str) -> DataFrame:
-    short = _pairs(spark, d).where("length(src) > 4 * length(out)").select("doc_id", "chunk_no", F.lit("error").alias("severity"))
-    tried = short.limit(0).select("doc_id", "chunk_no", F.lit(0).alias("attempts"))
-    return context.retry_selection(short, tried, _reviews(spark))
+    short = pairs(spark, d).where("length(src) > 2 * length(out)").select("doc_id", "chunk_no", F.lit("error").alias("severity"))
+    tried = short.where("chunk_no % 4 > 0").select("doc_id", "chunk_no", (F.col("chunk_no") % 4).alias("attempts"))
+    return context.retry_selection(short, tried, _reviews(spark, d))
 
 
 # --- paired checks ---
 
-_FIX = f"(SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, src, out FROM {X.sql_values(X.PAIRS, 'doc_id, chunk_no, src, out')}) f"
-
-
-def _fixture_pairs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(X.PAIRS, "doc_id long, chunk_no long, src string, out string")
-
-
 @query(f"""
     SELECT doc_id, chunk_no, round(CASE WHEN s > 0 THEN o / s ELSE 0 END, 3) AS ratio,
            s > 0 AND CASE WHEN s < 200 THEN o / s < 0.5 OR o / s > 4.0 ELSE o / s < 0.9 OR o / s > 2.3 END AS outside
-    FROM (SELECT doc_id, chunk_no, CAST(length({_strip("src")}) AS DOUBLE) AS s, length({_strip("out")}) AS o FROM ({_PAIRS_SQL}))""")
+    FROM (SELECT doc_id, chunk_no, CAST(length({strip("src")}) AS DOUBLE) AS s, length({strip("out")}) AS o FROM ({PAIRS_SQL}))""")
 def length_check(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select(
+    return pairs(spark, d).select(
         "doc_id", "chunk_no", F.round(lint.length_ratio(F.col("src"), F.col("out")), 3).alias("ratio"), lint.length_outside(F.col("src"), F.col("out")).alias("outside")
     )
 
 
-@query(rf"""
-    WITH p AS (SELECT doc_id, chunk_no, regexp_replace(out, '^{_S}+', '') AS o, regexp_replace(src, '^{_S}+', '') AS s FROM (
-        {_PAIRS_SQL} UNION ALL SELECT doc_id + 1000000, chunk_no, src, out FROM {_FIX}))
-    SELECT doc_id, chunk_no FROM p
-    WHERE regexp_matches(regexp_extract(o, '^([^\n]*)', 1), '(?i)^(Here\b|Sure\b|Translation\b|Below\b|Note:|Okay\b|Certainly\b|Of course\b)')
-       OR (o LIKE '```%' AND s NOT LIKE '```%') OR (contains(lower(o), '[translator''s note') AND NOT contains(lower(s), '[translator''s note'))""")
-def commentary(spark: SparkSession, d: str) -> DataFrame:
-    every = _pairs(spark, d).unionByName(_fixture_pairs(spark).withColumn("doc_id", F.col("doc_id") + 1000000))
-    return every.where(F.size(lint.check_commentary(F.col("src"), F.col("out"))) > 0).select("doc_id", "chunk_no")
-
-
-def _prose_sql(side: str) -> str:
-    """Lines outside fences of one side of the fixture pairs."""
-    return rf"""
-        SELECT doc_id, chunk_no, line, fences FROM (
-            SELECT *, count(*) FILTER (fence) OVER (PARTITION BY doc_id, chunk_no ORDER BY i) AS seen,
-                   count(*) FILTER (fence) OVER (PARTITION BY doc_id, chunk_no) AS fences
-            FROM (SELECT doc_id, chunk_no, i, lines[i] AS line, regexp_matches(lines[i], '^\s*(```|~~~)') AS fence
-                  FROM (SELECT doc_id, chunk_no, lines, unnest(range(1, len(lines) + 1)) AS i
-                        FROM (SELECT doc_id, chunk_no, string_split({side}, chr(10)) AS lines FROM {_FIX})))
-        ) WHERE NOT fence AND seen % 2 = 0"""
-
-
-@query(rf"""
-    SELECT doc_id, chunk_no,
-           coalesce(string_agg(length(regexp_extract(line, '^(#{{1,6}})', 1)), ',') FILTER (regexp_matches(line, '^(#{{1,6}})\s+\S')), '') AS headings,
-           count(*) FILTER (regexp_matches(line, '^\s*([-*+]|\d+[.)])\s+\S')) AS list_items,
-           count(*) FILTER (regexp_matches(line, '^\s*>')) AS blockquotes,
-           count(*) FILTER (regexp_matches(line, '^\s*\|')) AS table_rows, any_value(fences) AS fences
-    FROM ({_prose_sql("src")}) GROUP BY doc_id, chunk_no""")
-def structure_features(spark: SparkSession, d: str) -> DataFrame:
-    f = _fixture_pairs(spark).select("doc_id", "chunk_no", lint.features(F.col("src")).alias("f"))
-    return f.select("doc_id", "chunk_no", F.array_join(F.col("f.headings").cast("array<string>"), ",").alias("headings"), "f.list_items", "f.blockquotes", "f.table_rows", "f.fences")
-
-
-@query(rf"""
-    WITH a AS (SELECT doc_id, chunk_no, unnest(regexp_extract_all(src, '\[[^\]]*\]\(\s*([^)\s]+)[^)]*\)', 1)) AS item FROM {_FIX}),
-    b AS (SELECT doc_id, chunk_no, unnest(regexp_extract_all(out, '\[[^\]]*\]\(\s*([^)\s]+)[^)]*\)', 1)) AS item FROM {_FIX}),
-    x AS (SELECT doc_id, chunk_no, item, count(*) AS n FROM a GROUP BY ALL), y AS (SELECT doc_id, chunk_no, item, count(*) AS n FROM b GROUP BY ALL)
-    SELECT doc_id, chunk_no, item, greatest(coalesce(x.n, 0) - coalesce(y.n, 0), 0) AS missing, greatest(coalesce(y.n, 0) - coalesce(x.n, 0), 0) AS extra
-    FROM x FULL JOIN y USING (doc_id, chunk_no, item) WHERE coalesce(x.n, 0) <> coalesce(y.n, 0)""")
-def multiset_diff(spark: SparkSession, d: str) -> DataFrame:
-    p, link = _fixture_pairs(spark), r"\[[^\]]*\]\(\s*([^)\s]+)[^)]*\)"
-    side = lambda c: p.select("doc_id", "chunk_no", F.explode(T.find_all(c, link, 1)).alias("item"))
-    return lint.bag_difference(side("src"), side("out"), ["doc_id", "chunk_no"], "item")
-
-
-@query(rf"""
-    SELECT doc_id, chunk_no, ref FROM (SELECT doc_id, chunk_no, out, unnest(list_distinct(regexp_extract_all(src, '\b\d+[:/]\d+\b'))) AS ref
-    FROM {_FIX}) WHERE NOT contains(out, ref)""")
-def citation_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return _fixture_pairs(spark).select("doc_id", "chunk_no", F.explode(lint.missing_numbers(F.col("src"), F.col("out"))).alias("ref"))
-
-
-@query(rf"""
-    SELECT doc_id, chunk_no, word FROM (SELECT doc_id, chunk_no, src, unnest(list_distinct(regexp_extract_all(out, '[\x{{0600}}-\x{{06FF}}]+'))) AS word
-    FROM {_FIX}) WHERE NOT list_contains(regexp_extract_all(src, '[\x{{0600}}-\x{{06FF}}]+'), word)""")
-def script_words_new(spark: SparkSession, d: str) -> DataFrame:
-    return _fixture_pairs(spark).select("doc_id", "chunk_no", F.explode(lint.set_minus(lint.arabic_words(F.col("out")), lint.arabic_words(F.col("src")))).alias("word"))
-
-
-@query(f"SELECT doc_id, chunk_no, line FROM ({_prose_sql('src')})")
-def fence_mask(spark: SparkSession, d: str) -> DataFrame:
-    prose, _ = lint.prose_lines(F.col("src"))
-    return _fixture_pairs(spark).select("doc_id", "chunk_no", F.explode(prose).alias("line"))
-
-
-def _linted(pairs: DataFrame) -> DataFrame:
-    """Pairs linted in full: the shipped spelling rules, and an expected honorific."""
-    spelling = rewrite.spelling_findings(F.coalesce("out", F.lit("")), rewrite.load_rules())
-    return lint.lint(pairs, [("Nabi", ["Sallallahu Alaihi Wasallam"])], spelling)
-
-
-@query()
-def lint_findings(spark: SparkSession, d: str) -> DataFrame:
-    every = _pairs(spark, d).unionByName(_fixture_pairs(spark).withColumn("doc_id", F.col("doc_id") + 1000000))
-    return lint.findings(_linted(every))
-
-
-@query()
-def lint_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return lint.summary(_linted(_pairs(spark, d)))
-
-
-@query()
-def spelling_fixes(spark: SparkSession, d: str) -> DataFrame:
-    fixed = _turns(spark, d).select("doc_id", "chunk_no", rewrite.apply_fixes("text", rewrite.load_rules()).alias("f"))
-    return fixed.select("doc_id", "chunk_no", F.sha2("f.text", 256).alias("sha256"), F.size("f.fixes").alias("rules_used"))
-
-
-@query()
-def arabic_wrap(spark: SparkSession, d: str) -> DataFrame:
-    return _fixture_pairs(spark).select("doc_id", "chunk_no", rewrite.wrap_arabic("src").alias("text"))
-
-
-@query()
-def prophet_honorifics(spark: SparkSession, d: str) -> DataFrame:
-    return _turns(spark, d).select("doc_id", "chunk_no", F.explode(lint.missing_prophet_honorifics(F.col("text"))).alias("after"))
-
-
 # --- integrity, merge, prompts ---
 
 
 @query("SELECT conv_id AS doc_id, turn AS chunk_no, 'chunk' || lpad(CAST(turn AS VARCHAR), 4, '0') AS chunk_id, sha256(text) AS source_hash FROM conversations")
 def sha_manifest(spark: SparkSession, d: str) -> DataFrame:
-    return integrity.manifest(_turns(spark, d)).select("doc_id", "chunk_no", "chunk_id", "source_hash")
+    return integrity.manifest(turns(spark, d)).select("doc_id", "chunk_no", "chunk_id", "source_hash")
 
 
 @query(f"""
     WITH u AS (SELECT conv_id AS doc_id, turn AS chunk_no, text FROM conversations WHERE role = 'user'),
-    o AS (SELECT doc_id, chunk_no, out FROM ({_PAIRS_SQL}))
+    o AS (SELECT doc_id, chunk_no, out FROM ({PAIRS_SQL}))
     SELECT doc_id, chunk_no, CASE WHEN out IS NULL THEN 'output missing' WHEN strlen(out) = 0 THEN 'output empty'
            WHEN NOT regexp_matches(out, '\\S') THEN 'output blank' ELSE 'output suspiciously short' END AS reason
     FROM u LEFT JOIN o USING (doc_id, chunk_no) WHERE out IS NULL OR strlen(out) = 0 OR NOT regexp_matches(out, '\\S') OR strlen(out) * 10 < strlen(text)""")
 def merge_validation(spark: SparkSession, d: str) -> DataFrame:
-    users = _turns(spark, d).where("role = 'user'")
-    outputs = _pairs(spark, d).select("doc_id", "chunk_no", F.col("out").cast("binary").alias("content"))
+    users = turns(spark, d).where("role = 'user'")
+    outputs = pairs(spark, d).select("doc_id", "chunk_no", F.col("out").cast("binary").alias("content"))
     return integrity.validate_for_merge(integrity.manifest(users), users, outputs).select("doc_id", "chunk_no", "reason")
 
 
@@ -536,7 +550,7 @@ def merge_validation(spark: SparkSession, d: str) -> DataFrame:
     SELECT conv_id AS doc_id, string_agg(trim(text, chr(10)), chr(10) || chr(10) ORDER BY turn) || chr(10) AS text
     FROM conversations WHERE regexp_matches(text, '\\S') GROUP BY conv_id""")
 def ordered_merge(spark: SparkSession, d: str) -> DataFrame:
-    return assemble.merge(_turns(spark, d))
+    return assemble.merge(turns(spark, d))
 
 
 @query("SELECT doc_id, sha256(text) AS sha256, strlen(text) AS size FROM documents")
@@ -557,7 +571,20 @@ def to_rebuild(spark: SparkSession, d: str) -> DataFrame:
 _TEMPLATE = "Chunk {CHUNK_ID} ({DOMAIN})\n<!-- IF:NEIGHBOR_CONTEXT -->\nContext:\n{NEIGHBOR_CONTEXT}\n<!-- ENDIF:NEIGHBOR_CONTEXT -->\nWrite {OUTPUT_PATH}\n"
 
 
-@query()
+@query(rf"""
+    WITH near AS (
+        SELECT conv_id AS doc_id, turn AS chunk_no,
+            coalesce(CASE WHEN lag(turn) OVER w = turn - 1 THEN {strip("right(lag(text) OVER w, 300)")} END, '') AS prev,
+            coalesce(CASE WHEN lead(turn) OVER w = turn + 1 THEN {strip("left(lead(text) OVER w, 300)")} END, '') AS next
+        FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    shown AS (SELECT *, concat_ws(chr(10) || chr(10),
+        CASE WHEN prev <> '' THEN 'Previous chunk excerpt (chunk' || lpad(CAST(chunk_no - 1 AS VARCHAR), CAST(greatest(4, length(CAST(chunk_no - 1 AS VARCHAR))) AS INT), '0') || ', read-only):' || chr(10) || '```text' || chr(10) || prev || chr(10) || '```' END,
+        CASE WHEN next <> '' THEN 'Next chunk excerpt (chunk' || lpad(CAST(chunk_no + 1 AS VARCHAR), CAST(greatest(4, length(CAST(chunk_no + 1 AS VARCHAR))) AS INT), '0') || ', read-only):' || chr(10) || '```text' || chr(10) || next || chr(10) || '```' END) AS near,
+        'chunk' || lpad(CAST(chunk_no AS VARCHAR), CAST(greatest(4, length(CAST(chunk_no AS VARCHAR))) AS INT), '0') AS id FROM near)
+    SELECT doc_id, chunk_no, trim(regexp_replace('Chunk ' || id || ' (islamic)' || chr(10)
+        || CASE WHEN regexp_matches(near, '\S') THEN 'Context:' || chr(10) || near || chr(10) ELSE '' END
+        || 'Write ./work/output_' || id || '.md' || chr(10), '\n{{3,}}', chr(10) || chr(10), 'g'), chr(10)) || chr(10) AS prompt
+    FROM shown""")
 def prompts(spark: SparkSession, d: str) -> DataFrame:
-    near = context.neighbour_prompt(context.neighbour_context(_turns(spark, d)))
-    return assemble.prompts(_turns(spark, d), _TEMPLATE, context=near)
+    near = context.neighbour_prompt(context.neighbour_context(turns(spark, d)))
+    return assemble.prompts(turns(spark, d), _TEMPLATE, context=near)
