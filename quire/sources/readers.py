@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import segment
+from quire.sources import extract
 
 MARKDOWN, TEXT, HTML = ("md", "markdown"), ("txt",), ("html", "htm")
-EXTERNAL = ("pdf", "docx", "epub", "odt", "rtf", "fb2")
 
 _HEADINGS = {f"h{i}": "#" * i + " " for i in range(1, 7)}
 _BLOCKS = {"p", "div", "section", "article", "table", "tr", "ul", "ol", "body", "header", "footer", "main", *_HEADINGS, "li", "blockquote", "pre", "br", "hr"}
@@ -141,32 +141,42 @@ def first_non_blank(*extracted: Column | str) -> Column:
     return F.coalesce(*[F.when(~T.is_blank(c), F.col(c) if isinstance(c, str) else c) for c in extracted])
 
 
-def documents(spark: SparkSession, path: str, extractors: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
-    """(path, format, method, title, author, text, problem) of Markdown, text, HTML and, through
-    extractors by format, of other files.  A file without a reader, or whose text comes out
-    blank, has a problem and no text."""
-    extractors = extractors or {}
-    raw = files(spark, path).withColumn("raw", decoded("content"))
-    parts = []
-    for formats, method, convert in (
-        (MARKDOWN, "markdown", lambda d: d.withColumns({"md": F.col("raw"), "title": F.lit(None).cast("string"), "author": F.lit(None).cast("string")})),
-        (TEXT, "text", lambda d: d.withColumns({"md": segment.txt_to_markdown("raw"), "title": F.lit(None).cast("string"), "author": F.lit(None).cast("string")})),
-        (HTML, "html", lambda d: d.withColumn("h", html_to_markdown("raw")).withColumns({"md": F.col("h.text"), "title": F.col("h.title"), "author": F.col("h.author")})),
-    ):
-        parts.append(convert(raw.where(F.col("format").isin(*formats))).withColumn("method", F.lit(method)))
-    for name, extract in extractors.items():
-        pages = extract(F.col("content"))
-        text = segment.reflow(pages) if name == "pdf" else pages
-        parts.append(raw.where(F.col("format") == name).withColumns({"md": text, "title": F.lit(None).cast("string"), "author": F.lit(None).cast("string"), "method": F.lit(f"{name} extractor")}))
-    known = [*MARKDOWN, *TEXT, *HTML, *extractors]
-    rest = raw.where(~F.col("format").isin(*known)).withColumns({c: F.lit(None).cast("string") for c in ("md", "title", "author", "method")})
-    every = [p.select("path", "stem", "format", "method", "title", "author", "md") for p in [*parts, rest]]
-    df = every[0]
-    for p in every[1:]:
-        df = df.union(p)
-    text = T.clean_markdown("md")
-    df = df.withColumn("text", F.when(~T.is_blank(text), text))
-    problem = F.when(F.col("method").isNull(), F.concat(F.lit("no reader for "), "format")).when(F.col("text").isNull(), "no text")
+def documents(
+    spark: SparkSession, path: str, extractors: dict[str, Callable[[Column], Column]] | None = None, pdf_method: str = "auto",
+    keep_page_numbers: bool = False, media: str | None = None,
+) -> DataFrame:
+    """(path, format, method, title, author, text, problem) of the files of a folder.
+
+    Markdown, text and HTML are read here, PDF and office formats through the tools of the machine,
+    or through extractors by format.  A file without a reader, whose tool fails, or whose text
+    comes out blank, has a problem and no text.  The files are listed and read once; every format
+    is a branch of one projection, and a branch sees only its own files' bytes.
+    """
+    form, content = F.col("format"), F.col("content")
+    mine = {**dict.fromkeys(MARKDOWN, "markdown"), **dict.fromkeys(TEXT, "text"), **dict.fromkeys(HTML, "html"), "pdf": "pdf", **dict.fromkeys(extract.PANDOC_FORMATS, "office")}
+    mine |= {name: f"{name} extractor" for name in extractors or {}}
+    kind = F.lit(None).cast("string")
+    for name, k in mine.items():
+        kind = F.when(form == name, k).otherwise(kind)
+    only = lambda k, c: F.when(F.col("kind") == k, c)
+    raw = files(spark, path).withColumn("kind", kind)
+    raw = raw.withColumn("raw", F.when(F.col("kind").isin("markdown", "text", "html"), decoded("content")))
+    read = raw.withColumns({
+        "html": html_to_markdown(only("html", F.col("raw"))), "pdf": extract.pdf_column(only("pdf", content), form, pdf_method),
+        "office": extract.pandoc_column(only("office", content), form, media),
+        **{f"by_{name}": extractor(only(f"{name} extractor", content)) for name, extractor in (extractors or {}).items()},
+    })
+    own = {name: segment.reflow(f"by_{name}", keep_page_numbers) if name == "pdf" else F.col(f"by_{name}") for name in extractors or {}}
+    md = F.when(F.col("kind") == "markdown", F.col("raw")).when(F.col("kind") == "text", segment.txt_to_markdown("raw")).when(F.col("kind") == "html", F.col("html.text"))
+    md = md.when(F.col("kind") == "pdf", segment.reflow("pdf.text", keep_page_numbers)).when(F.col("kind") == "office", F.col("office.text"))
+    for name, text in own.items():
+        md = md.when(F.col("kind") == f"{name} extractor", text)
+    read = read.select(
+        "path", "stem", "format", F.coalesce("pdf.method", "office.method", "kind").alias("method"), md.alias("md"), F.coalesce("html.title", "office.title").alias("title"),
+        F.coalesce("html.author", "office.author").alias("author"), F.coalesce("pdf.problem", "office.problem").alias("problem"),
+    )
+    df = read.withColumn("clean", T.clean_markdown("md")).withColumn("text", F.when(~T.is_blank("clean"), F.col("clean")))
+    problem = F.when(F.col("method").isNull(), F.concat(F.lit("no reader for "), "format")).when(F.col("problem").isNotNull(), F.col("problem")).when(F.col("text").isNull(), "no text")
     return df.select("path", "format", "method", F.coalesce("title", T.first_title("text", "stem")).alias("title"), "author", "text", problem.alias("problem"))
 
 
@@ -182,6 +192,7 @@ def json_relation(spark: SparkSession, path: str, schema: str, default: DataFram
         return empty
 
 
+TERM_FIELDS = "source string, aliases array<string>, target string, category string, honorific string, gender string, plural boolean, note string, frequency bigint"
 GLOSSARY_SCHEMA = (
     "version int, domain string, top_n int, honorifics array<struct<id:string,target:string,female_target:string,plural_target:string,"
     "dual_target:string,triggers:array<string>>>, terms array<struct<source:string,aliases:array<string>,target:string,category:string,"

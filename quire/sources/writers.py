@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import html
-import shutil
-import subprocess
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -15,24 +13,25 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import lint
 
-FORMATS = ("md", "html", "docx", "epub", "pdf")
-
-
 def write_table(df: DataFrame, path: str, by: str | None = None) -> None:
     """Replaces a table; readers see the old one or the new one."""
     writer = df.write.mode("overwrite")
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
-def write_reports(linted: DataFrame, path: str) -> None:
-    """One JSON report per chunk and the roll-up."""
-    linted.select("doc_id", "chunk_no", "ratio", "findings").write.mode("overwrite").json(f"{path}/lint")
-    lint.summary(linted).write.mode("overwrite").json(f"{path}/lint_summary")
+def write_reports(linted: DataFrame, path: str, strict: bool = False) -> None:
+    """Reports of linted pairs: every chunk's findings, and per document the roll-up with the totals of fixes.
+    The pairs are linted once; the roll-up reads what was written."""
+    linted.write.mode("overwrite").parquet(f"{path}/findings")
+    done = linted.sparkSession.read.schema(linted.schema).parquet(f"{path}/findings")
+    done.write.mode("overwrite").json(f"{path}/lint")
+    lint.per_chunk(done).write.mode("overwrite").json(f"{path}/lint_chunks")
+    lint.summary(done, strict).write.mode("overwrite").json(f"{path}/lint_summary")
 
 
 def write_books(books: DataFrame, path: str) -> None:
-    """(doc_id, text) as text files by document."""
-    books.select("doc_id", "text").write.mode("overwrite").partitionBy("doc_id").option("lineSep", "\n").text(path)
+    """(doc_id, title, text) as a table, many books a file; see export.export_books for files."""
+    write_table(books.select("doc_id", "title", "text"), path)
 
 
 def html_page(title: Column | str, body: Column | str, css: str = "") -> Column:
@@ -65,42 +64,6 @@ def alias_name(title: Column | str, extension: str) -> Column:
     return F.concat(T.slug(title), F.lit(f".{extension}"))
 
 
-def capabilities() -> dict:
-    """What this machine can convert and render; never fails."""
-    tools = {name: shutil.which(name) for name in ("pandoc", "pdftotext", "ebook-convert", "wkhtmltopdf", "weasyprint", "chromium", "google-chrome")}
-    inputs = ["md", "markdown", "txt", "html", "htm"] + (["docx", "epub", "odt", "rtf", "fb2"] if tools["pandoc"] else []) + (["pdf"] if tools["pdftotext"] or tools["ebook-convert"] else [])
-    outputs = ["md", "html"] + (["docx", "epub"] if tools["pandoc"] else []) + (["pdf"] if any(tools[t] for t in ("chromium", "google-chrome", "wkhtmltopdf", "weasyprint", "ebook-convert")) else [])
-    hints = {name: f"install {name}" for name, at in tools.items() if not at}
-    return {"tools": tools, "inputs": inputs, "outputs": outputs, "hints": hints}
-
-
-def export(text: str, folder: str, title: str, formats: tuple[str, ...] = FORMATS) -> dict:
-    """One book into a local folder: {"produced": {format: path}, "skipped": {format: reason}}.
-
-    Markdown always; the others through pandoc, or skipped with the reason.
-    """
-    out = Path(folder)
-    out.mkdir(parents=True, exist_ok=True)
-    source = out / "book.md"
-    source.write_text(text, encoding="utf-8")
-    produced, skipped = {"md": str(source)}, {}
-    pandoc = shutil.which("pandoc")
-    for name in formats:
-        target = out / f"book.{name}"
-        if name == "md":
-            continue
-        target.unlink(missing_ok=True)
-        if not pandoc:
-            skipped[name] = "pandoc is not installed"
-            continue
-        done = subprocess.run([pandoc, str(source), "-s", "--toc", "-M", f"title={title}", "-o", str(target)], capture_output=True, text=True, timeout=600, check=False)
-        if done.returncode == 0 and target.exists():
-            produced[name] = str(target)
-        else:
-            skipped[name] = done.stderr.strip()[:200] or "pandoc failed"
-    return {"produced": produced, "skipped": skipped}
-
-
 def cleanup(folder: str) -> list[str]:
     """Removes lint reports and the merged text of a run folder; the names removed."""
     gone = [p for pattern in ("lint_*.json", "merged.md") for p in Path(folder).glob(pattern)]
