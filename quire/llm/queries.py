@@ -100,11 +100,11 @@ ORACLE_SQL = {
             JOIN best ON best.k = logged.n AND best.head = logged.said
             WHERE best_n = logged.n AND best_neg = -logged.conv_id
         )
-        SELECT t.conv_id, CAST(floor(t.turn / 4096.0) AS BIGINT) AS part,
+        SELECT t.conv_id, CAST((place - 1) // 4096 AS BIGINT) AS part,
                any_value(kept.n) AS n_turns, count(*) AS part_turns,
                string_agg('<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |')
                           || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
-        FROM turns t JOIN kept USING (conv_id)
+        FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place FROM turns) t JOIN kept USING (conv_id)
         GROUP BY t.conv_id, part
     """,
     "op5_suffix_dedup": """

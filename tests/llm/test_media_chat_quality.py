@@ -183,8 +183,9 @@ def test_chats(spark):
         rows += [(c, k, *b[k]) for k in range(n)]
     rows += [(100, None, None, None), (101, None, None, None), (None, 1, "user", "x"), (102, 0, "user", "has <|x marker"), (103, 0, "user", "t"), (103, 0, "user", "t")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    for block in (4096, 2):
-        parts = chat.format_chats(df, block).collect()
+    for block, each in ((4096, 200_000), (2, 200_000), (2, 7), (4096, 3)):
+        parts = chat.format_chats(df, block, each).collect()
+        assert all(r.part_turns <= block for r in parts)
         got = {}
         for r in sorted(parts, key=lambda r: r.part):
             n, text = got.get(r.conv_id, (r.n_turns, ""))
@@ -193,6 +194,18 @@ def test_chats(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_long_and_tied_conversations_are_cut_by_place(spark):
+    rows = [(1, None, "user", f"t{i % 50:03}") for i in range(900)] + [(2, 7, "user", "same")] * 300 + [(3, 7, "user", "same")] * 301 + [(4, i, None, None) for i in range(400)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, run string, k int")
+    parts = chat.format_chats(df, 64, 100).collect()
+    assert max(r.part_turns for r in parts) == 64
+    got = {}
+    for r in sorted(parts, key=lambda r: r.part):
+        n, text = got.get(r.conv_id, (r.n_turns, ""))
+        got[r.conv_id] = (n, text + r.rendered)
+    assert sorted((c, n, t) for c, (n, t) in got.items()) == brute_chats(rows)
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(0)
     emission, step = rng.normal(size=9), rng.normal(size=(2, 2))
