@@ -10,9 +10,11 @@ bucket fits into one task whatever the size of the whole.
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,9 @@ from pyspark.sql import functions as F
 from quire.llm.common import documents, parts_for, text_bytes
 
 _HELD = 32 << 20
+#: Buckets up to which every chunk sends to every bucket.
+FAN = 256
+_GROUPS = 1 << 31
 BLOBS = "chunk long, bucket long, kind int, blob binary"
 _BLOB = [("chunk", pa.int64()), ("bucket", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())]
 
@@ -115,24 +120,99 @@ def ask(chunks: DataFrame, question: Callable[[Texts], list[tuple[int, bytes]]])
     return chunks.groupBy("chunk").applyInArrow(run, BLOBS)
 
 
-def answer(asked: DataFrame, parts: int, reply: Callable[[list[bytes]], list[bytes]], kind: int) -> DataFrame:
-    """reply: one blob for each blob that reached a bucket, in the order given."""
+# Blobs of many chunks for one bucket, or of one chunk for many buckets, travel in frames.
+
+
+def frame(items: list[tuple[int, bytes]]) -> bytes:
+    ids, blobs = [i for i, _ in items], [b for _, b in items]
+    head = np.array([len(items), *ids, *map(len, blobs)], "<i8").tobytes()
+    return b"".join([head, *blobs])
+
+
+def unframe(data: bytes) -> Iterator[tuple[int, bytes]]:
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    ids, sizes = np.frombuffer(data, "<i8", 2 * n, 8).reshape(2, n).tolist()
+    at = 8 * (2 * n + 1)
+    for i, size in zip(ids, sizes, strict=True):
+        yield i, data[at : at + size]
+        at += size
+
+
+def fan_out(buckets: int, fan: int = FAN) -> int:
+    """To how many places a chunk sends at most: all buckets while they are few, else the square root of
+    their number, if that is more."""
+    return min(buckets, max(fan, math.isqrt(buckets - 1) + 1))
+
+
+def _by_range(width: int):
+    """Frames a chunk's blobs by ranges of `width` buckets; a chunk's rows are neighbours."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
+            framed = [
+                (chunk, place, kind, frame([(bucket, blob) for _, bucket, _, blob in mine]))
+                for (chunk, place, kind), mine in groupby(rows, lambda r: (r[0], r[1] // width, r[2]))
+            ]
+            yield from blob_table(framed).to_batches()
+
+    return run
+
+
+def _relay(outer: str, inner: str):
+    """Turns the frames of one relay inside out: from frames by `outer`, items by the other, to the reverse."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by("chunk")
-        blobs = reply(table.column("blob").to_pylist())
-        return blob_table([(c, key[0].as_py(), kind, b) for c, b in zip(table.column("chunk").to_pylist(), blobs, strict=True)])
+        relay, turned = key[0].as_py() * _GROUPS + key[1].as_py() if len(key) > 1 else key[0].as_py(), {}
+        for place, kind, data in zip(*(table.column(c).to_pylist() for c in (outer, "kind", "blob")), strict=True):
+            for other, blob in unframe(data):
+                turned.setdefault((other, kind), []).append((place, blob))
+        if inner == "bucket":
+            return blob_table([(relay, other, kind, frame(items)) for (other, kind), items in turned.items()])
+        return blob_table([(other, relay // _GROUPS, kind, frame(items)) for (other, kind), items in turned.items()])
+
+    return run
 
-    return asked.repartition(parts, "bucket").groupBy("bucket").applyInArrow(run, BLOBS)
 
+def answer(asked: DataFrame, buckets: int, reply: Callable[[list[bytes]], list[bytes]], kind: int, fan: int = FAN) -> DataFrame:
+    """reply: one blob for each blob that reached a bucket, in the order given.
 
-def hear(chunks: DataFrame, replies: DataFrame, then: Callable[[int, Texts, dict[int, dict[int, bytes]]], pa.Table], schema: str) -> DataFrame:
-    """then: chunk, its texts and its replies by kind and bucket."""
+    While there are no more buckets than a chunk may send to, its blobs go there and back
+    directly.  With more, a chunk sends a frame to each range of buckets; relays, each of a range
+    and a group of chunks, turn frames by chunk into frames by bucket, and back.  So there are
+    about twice (chunks x square root of buckets) rows instead of chunks x buckets.
+    """
+    places = fan_out(buckets, fan)
+    relayed = places < buckets
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        senders, blobs = table.column("chunk").to_pylist(), table.column("blob").to_pylist()
+        items = [(s, c, b) for s, data in zip(senders, blobs, strict=True) for c, b in (unframe(data) if relayed else [(s, data)])]
+        items.sort(key=lambda i: i[1])
+        replies = zip([s for s, _, _ in items], [c for _, c, _ in items], reply([b for _, _, b in items]), strict=True)
+        bucket = key[0].as_py()
+        if not relayed:
+            return blob_table([(c, bucket, kind, b) for _, c, b in replies])
+        back: dict[int, list[tuple[int, bytes]]] = {}
+        for s, c, b in replies:
+            back.setdefault(s, []).append((c, b))
+        return blob_table([(s, bucket, kind, frame(got)) for s, got in back.items()])
+
+    if not relayed:
+        return asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, BLOBS)
+    ranged = asked.mapInArrow(_by_range(-(-buckets // places)), BLOBS).withColumn("part", F.floor(F.col("chunk") / F.lit(places)).cast("long"))
+    out = ranged.groupBy("bucket", "part").applyInArrow(_relay("chunk", "bucket"), BLOBS)
+    answered = out.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, BLOBS)
+    return answered.groupBy("chunk").applyInArrow(_relay("bucket", "chunk"), BLOBS)
+
+
+def hear(chunks: DataFrame, replies: DataFrame, then: Callable[[int, Texts, dict[int, dict[int, bytes]]], pa.Table], schema: str, framed: bool = False) -> DataFrame:
+    """then: chunk, its texts and its replies by kind and bucket; framed: replies came by relays."""
 
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, got: pa.Table) -> pa.Table:
         by: dict[int, dict[int, bytes]] = {1: {}, 2: {}}
         for kind, bucket, blob in zip(*(got.column(c).to_pylist() for c in ("kind", "bucket", "blob")), strict=True):
-            by[kind][bucket] = blob
+            by[kind].update(unframe(blob) if framed else [(bucket, blob)])
         return then(key[0].as_py(), Texts(texts), by)
 
     return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)

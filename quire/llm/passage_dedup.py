@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from quire.llm.anchors import _TABLE, mix64
 from quire.llm.chunks import (
-    BLOBS, Texts, answer, ask, blob_table, chunk_size, chunked, entry_blobs, hear, heard_bits,
+    BLOBS, FAN, Texts, answer, ask, blob_table, chunk_size, chunked, entry_blobs, fan_out, hear, heard_bits,
     parts_for, reply_shared, split_by_bucket,
 )
 
@@ -163,7 +163,7 @@ def _cut(buckets: int, window: int, period: int, cover: tuple[int, ...], with_te
 
 def passage_dedup(
     docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER,
-    chunk_bytes: int | None = None, with_text: bool = False,
+    chunk_bytes: int | None = None, with_text: bool = False, fan: int = FAN,
 ) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256 (and kept_text).
 
@@ -179,8 +179,9 @@ def passage_dedup(
         c = _Chunk(texts, buckets, window, period, cover)
         return entry_blobs(c.entries, c.bounds, c.held)
 
-    one = answer(ask(chunks, first), buckets, reply_shared(1 << 60), 1)
-    asked = hear(chunks, one, _second_question(buckets, window, period, cover), BLOBS)
-    two = answer(asked, buckets, _reply_digests, 2)
-    done = hear(chunks, one.union(two), _cut(buckets, window, period, cover, with_text), RESULT)
+    framed = fan_out(buckets, fan) < buckets
+    one = answer(ask(chunks, first), buckets, reply_shared(1 << 60), 1, fan)
+    asked = hear(chunks, one, _second_question(buckets, window, period, cover), BLOBS, framed)
+    two = answer(asked, buckets, _reply_digests, 2, fan)
+    done = hear(chunks, one.union(two), _cut(buckets, window, period, cover, with_text), RESULT, framed)
     return done if with_text else done.drop("kept_text")

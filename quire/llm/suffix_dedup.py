@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.anchors import anchor_runs, mix64
 from quire.llm.chunks import (
-    BLOBS, Texts, answer, ask, blob_table, chunk_size, chunked, entry_blobs, expand, hear, heard_bits,
+    BLOBS, FAN, Texts, answer, ask, blob_table, chunk_size, chunked, entry_blobs, expand, fan_out, hear, heard_bits,
     parts_for, reply_shared, split_by_bucket, squeeze, unsqueeze,
 )
 
@@ -63,14 +63,9 @@ class BlindTrie:
         if other == string:
             items.append(item)
             return
-        # binary search for the first difference
-        lo, hi = 0, len(string)
-        while hi - lo > 1:
-            mid = (lo + hi) // 2
-            if string[:mid] == other[:mid]:
-                lo = mid
-            else:
-                hi = mid
+        # the first difference is where the exclusive or of the strings, as numbers, begins
+        apart = int.from_bytes(string) ^ int.from_bytes(other)
+        lo = len(string) - (apart.bit_length() + 7) // 8
         depth, parent, node = lo, None, self.root
         while not isinstance(node, int) and node[0] < depth:
             parent, node = node, node[1][string[node[0]]]
@@ -345,7 +340,8 @@ def _cut(buckets: int, window: int, gram: int, with_text: bool):
 
 
 def suffix_dedup(
-    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, chunk_bytes: int | None = None, with_text: bool = False
+    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, chunk_bytes: int | None = None, with_text: bool = False,
+    fan: int = FAN,
 ) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text).
 
@@ -355,6 +351,8 @@ def suffix_dedup(
     share.  kept_text drops the bytes of characters that a cut has split; null and empty
     texts give zeros.
     """
+    if not gram <= window <= gram + 254:
+        raise ValueError("a window is at least a gram and at most 254 bytes longer")
     chunk_bytes = chunk_bytes or chunk_size(docs.sparkSession)
     chunks, total = chunked(docs, chunk_bytes)
     buckets = parts_for(total, chunk_bytes * 3 // 2, 6)
@@ -363,10 +361,11 @@ def suffix_dedup(
         c = _Chunk(texts, buckets, window, gram)
         return entry_blobs(c.entries, c.bounds, c.docs_here)
 
-    one = answer(ask(chunks, first), buckets, reply_shared(hot), 1)
-    asked = hear(chunks, one, _second_question(buckets, window, gram), BLOBS)
-    two = answer(asked, buckets, _reply_windows(window, gram), 2)
-    done = hear(chunks, one.union(two), _cut(buckets, window, gram, with_text), RESULT)
+    framed = fan_out(buckets, fan) < buckets
+    one = answer(ask(chunks, first), buckets, reply_shared(hot), 1, fan)
+    asked = hear(chunks, one, _second_question(buckets, window, gram), BLOBS, framed)
+    two = answer(asked, buckets, _reply_windows(window, gram), 2, fan)
+    done = hear(chunks, one.union(two), _cut(buckets, window, gram, with_text), RESULT, framed)
     return done if with_text else done.drop("source_sha256", "kept_text")
 
 

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quire.llm import passage_dedup, suffix_dedup
+from quire.llm import chunks, passage_dedup, suffix_dedup
 from quire.llm.anchors import anchor_runs
 
 
@@ -71,6 +71,25 @@ def test_suffix_dedup_awkward(awkward, rows, nothing):
     assert suffix_dedup.suffix_dedup(nothing).count() == 0
 
 
+def test_relays_change_no_result(spark):
+    rows = tangled(60)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert byte_rows(suffix_dedup.suffix_dedup(df, chunk_bytes=500, fan=3)) == brute_bytes(rows)
+    assert word_rows(passage_dedup.passage_dedup(df, chunk_bytes=500, fan=3)) == brute_words(rows)
+
+
+def test_a_chunk_sends_to_few_places():
+    assert [chunks.fan_out(n, 256) for n in (1, 6, 256, 257, 65_536, 65_537, 10**6)] == [1, 6, 256, 256, 256, 257, 1000]
+    items = [(5, b"ab"), (-1, b""), (7, b"c" * 9)]
+    assert list(chunks.unframe(chunks.frame(items))) == items and list(chunks.unframe(chunks.frame([]))) == []
+
+
+def test_windows_out_of_range_are_refused(nothing):
+    for window, gram in ((300, 16), (10, 16)):
+        with pytest.raises(ValueError):
+            suffix_dedup.suffix_dedup(nothing, window, gram)
+
+
 def test_cut_repeats(awkward):
     got = suffix_dedup.cut_repeats(awkward)
     assert got.columns == awkward.columns
