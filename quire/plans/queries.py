@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -96,16 +97,17 @@ def squash(x: str) -> str:
     return strip(f"regexp_replace({x}, '{SPACE}+', ' ', 'g')")
 
 
-def _double(x: str) -> str:
-    """Every character that ends a word is doubled, so that one between two words can end both."""
-    return rf"regexp_replace({x}, '({_W})', '\1\1', 'g')"
+def _hits_of(pos: int, term: int, surface: str) -> str:
+    """Matches of one surface; every character that ends a word is doubled, in the text and here, so that one
+    between two words can end both.  The pattern is constant, so it is compiled once."""
+    twice = re.sub(r"([^\w'])", r"\1\1", surface).replace("'", "''")
+    return f"SELECT doc_id, {pos} AS pos, {term} AS term_id, '{surface.replace(chr(39), chr(39) * 2)}' AS surface, len(regexp_extract_all(twice, '(?i)(?:^|{_W}){twice}(?:$|{_W})')) AS n FROM d"
 
 
 _SURFACE_ROWS = X.sql_values([(i, t, s) for i, (t, s) in enumerate(SURFACES)], "pos, term_id, surface")
 _HITS_SQL = rf"""
-    SELECT doc_id, pos, term_id, surface,
-           len(regexp_extract_all(twice, '(?i)(?:^|{_W})' || {_double("surface")} || '(?:$|{_W})')) AS n
-    FROM (SELECT doc_id, {_double("text")} AS twice FROM documents) d, {_SURFACE_ROWS}"""
+    WITH d AS MATERIALIZED (SELECT doc_id, regexp_replace(text, '({_W})', '\1\1', 'g') AS twice FROM documents)
+    {" UNION ALL ".join(_hits_of(i, t, s) for i, (t, s) in enumerate(SURFACES))}"""
 
 
 @query(r"SELECT doc_id, greatest(1, len(regexp_extract_all(text, '[A-Za-z\x{0600}-\x{06FF}'']+'))) AS words FROM documents")
