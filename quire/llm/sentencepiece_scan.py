@@ -50,6 +50,8 @@ class Pieces:
         model = model_pb2.ModelProto()
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
+        if model.trainer_spec.model_type != 2:
+            raise ValueError(f"{path} is no model of the BPE kind")
         model.normalizer_spec.add_dummy_prefix = False  # marks are put in here, once per document
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         self.id = {p.piece: i for i, p in enumerate(model.pieces) if p.type in (1, 4)}

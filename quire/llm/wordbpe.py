@@ -29,6 +29,9 @@ _WORD = re.compile("[^\t-\r\x20]+")
 _OWN = re.compile("[!-~]*")
 
 
+_PROBES = ("Don't stop, it's 3rd-rate: x=2;  y!?", "A b\n\tc d's 42 (see é ü ſ)", "we'll've I'M 3½ a\x7fb «q»")
+
+
 def _byte_alphabet() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     seen, spare = [], 256
@@ -60,6 +63,10 @@ class WordBpe:
                 return out
 
         self._ids = Cache().__getitem__
+        # the shortcut holds for vocabularies with this pattern and case rule only
+        for probe in _PROBES:
+            if self.encode(probe) != np.array(self._whole.encode(probe, add_special_tokens=False).ids, "<u4").tobytes():
+                raise ValueError(f"{path} does not cut words as this encoder does: {probe!r}")
 
     def encode(self, text: str) -> bytes:
         if "<|" not in text and _PLAIN.fullmatch(text):

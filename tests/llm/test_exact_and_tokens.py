@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -70,6 +71,11 @@ def test_word_bpe_equals_library_on_control_characters():
             assert np.frombuffer(word_bpe().encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError, match="does not cut words"):
+        word_bpe(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_token_files(awkward, rows):
     for shard_tokens in (500, 1):
         shards = token_codes.write_token_files(awkward, shard_tokens=shard_tokens, part_bytes=20_000)
