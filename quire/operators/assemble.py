@@ -138,8 +138,8 @@ def format_findings(found: Column) -> Column:
     word = lambda f: F.when(f["severity"] == "error", "ERROR").otherwise("warning")
     shown = lambda f: F.when(F.size(f["detail"]) > 0, F.concat(F.lit(" ["), F.array_join(f["detail"], "; "), F.lit("]"))).otherwise("")
     one = lambda f: F.concat(F.lit("- "), word(f), F.lit(" "), f["code"], F.lit(": "), f["test"], F.lit(" ("), f["n"].cast("string"), F.lit(")"), shown(f))
-    lines = F.array_join(F.transform(F.array_sort(found), one), "\n")
-    return F.when(F.size(found) > 0, F.concat(F.lit("Linter findings:\n"), lines)).otherwise("")
+    listed = lambda fs: F.concat(F.lit("Linter findings:\n"), F.array_join(F.transform(fs, one), "\n"))
+    return T.let(F.array_sort(found), lambda fs: F.when(F.size(fs) > 0, listed(fs)).otherwise(""))
 
 
 def format_review(score: Column, summary: Column, issues: Column) -> Column:
