@@ -25,7 +25,7 @@ CHUNKS = "doc_id long, chunk_no int, chunk_id string, text string"
 DOCUMENTS = "path string, format string, method string, title string, author string, text string, problem string, doc_id long"
 BOOK = "struct<title:string,subtitle:string,author:string,translator:string,publisher:string>"
 BUILT = (
-    "version long, doc_id long, input_file string, format string, method string, title string, author string, sha256 string, size long, chunk_size int, "
+    "version long, tables long, doc_id long, input_file string, format string, method string, title string, author string, sha256 string, size long, chunk_size int, "
     f"chunk_count long, domain string, domain_detection string, book {BOOK}, created string"
 )
 OUTPUTS = "doc_id long, chunk_no int, out_text string"
@@ -52,9 +52,13 @@ def _current(spark: SparkSession, run: str) -> tuple[int, DataFrame]:
     return version, built.where(F.col("version") == version)
 
 
+def _tables(spark: SparkSession, run: str) -> int:
+    """The version of the chunks and the manifest that the current settings go with."""
+    return _current(spark, run)[1].agg(F.max("tables")).first()[0] or 0
+
+
 def chunks_of(spark: SparkSession, run: str) -> DataFrame:
-    version, _ = _current(spark, run)
-    return _read(spark, f"{run}/chunks/version={version}", CHUNKS)
+    return _read(spark, f"{run}/chunks/version={_tables(spark, run)}", CHUNKS)
 
 
 def settings(spark: SparkSession, run: str) -> DataFrame:
@@ -75,10 +79,6 @@ def configure(spark: SparkSession, run: str, decided: DataFrame) -> None:
     named = [c for c in ("domain", "domain_detection", "book") if c in decided.columns]
     new = decided.select("doc_id", *[F.col(c).alias(f"new_{c}") for c in named])
     merged = built.join(new, "doc_id", "left").withColumns({c: F.coalesce(f"new_{c}", c) for c in named}).withColumn("version", F.lit(version + 1).cast("long"))
-    # the chunks and the manifest of a version go by its number
-    for name, schema in (("chunks", CHUNKS), ("manifest", None)):
-        df = _read(spark, f"{run}/{name}/version={version}", schema) if schema else spark.read.parquet(f"{run}/{name}/version={version}")
-        df.write.parquet(f"{run}/{name}/version={version + 1}")
     merged.select(*built.columns).write.mode("append").parquet(f"{run}/built")
 
 
@@ -105,7 +105,7 @@ def convert(
     chunks = _read(spark, f"{run}/chunks/version={version + 1}", CHUNKS)
     counts = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count"))
     new = docs.join(counts, "doc_id").select(
-        F.lit(version + 1).cast("long").alias("version"), "doc_id", F.col("path").alias("input_file"), "format", "method", "title", "author", F.sha2("text", 256).alias("sha256"),
+        F.lit(version + 1).cast("long").alias("version"), F.lit(version + 1).cast("long").alias("tables"), "doc_id", F.col("path").alias("input_file"), "format", "method", "title", "author", F.sha2("text", 256).alias("sha256"),
         F.octet_length("text").cast("long").alias("size"), F.lit(target).alias("chunk_size"), "chunk_count", F.lit("auto").alias("domain"),
         F.lit(None).cast("string").alias("domain_detection"), F.lit(None).cast(BOOK).alias("book"), F.lit(datetime.now(UTC).isoformat(timespec="seconds")).alias("created"),
     )
@@ -151,14 +151,14 @@ def outputs_of(spark: SparkSession, run: str) -> DataFrame:
 def save_outputs(spark: SparkSession, run: str, outputs: DataFrame) -> int:
     """Adds outputs (doc_id, chunk_no, out_text) of the current chunks as a new version; its number."""
     version = _next(_read(spark, f"{run}/outputs", STORED))
-    sources = _read(spark, f"{run}/manifest/version={_current(spark, run)[0]}", "doc_id long, chunk_no int, source_hash string")
+    sources = _read(spark, f"{run}/manifest/version={_tables(spark, run)}", "doc_id long, chunk_no int, source_hash string")
     outputs.select("doc_id", "chunk_no", "out_text").join(sources, ["doc_id", "chunk_no"]).write.parquet(f"{run}/outputs/version={version}")
     return version
 
 
 def _fresh_outputs(spark: SparkSession, run: str) -> DataFrame:
     """The newest outputs of chunks that have not changed since."""
-    sources = _read(spark, f"{run}/manifest/version={_current(spark, run)[0]}", "doc_id long, chunk_no int, source_hash string")
+    sources = _read(spark, f"{run}/manifest/version={_tables(spark, run)}", "doc_id long, chunk_no int, source_hash string")
     return outputs_of(spark, run).join(sources, ["doc_id", "chunk_no", "source_hash"], "left_semi")
 
 
@@ -225,11 +225,11 @@ def prompts(spark: SparkSession, run: str, kind: str = "translate", glossary: st
 def build(spark: SparkSession, run: str, folder: str | None = None, options: export.Options | None = None) -> dict:
     """Books of all documents whose outputs pass the merge checks and show the source's images; the others
     with their first problem.  folder: where to export files, which executors share."""
-    version, built = _current(spark, run)
+    _, built = _current(spark, run)
     outputs = outputs_of(spark, run)
     recorded = outputs.select("doc_id", "chunk_no", F.col("source_hash").alias("then"))
     # what an output was made from is the recorded hash of its chunk
-    listed = spark.read.parquet(f"{run}/manifest/version={version}").join(recorded, ["doc_id", "chunk_no"], "left")
+    listed = spark.read.parquet(f"{run}/manifest/version={_tables(spark, run)}").join(recorded, ["doc_id", "chunk_no"], "left")
     listed = listed.withColumn("source_hash", F.coalesce("then", "source_hash")).drop("then")
     found = integrity.validate_for_merge(listed, chunks_of(spark, run), outputs.select("doc_id", "chunk_no", F.col("out_text").cast("binary").alias("content")))
     parity = assemble.image_parity(pairs(spark, run).where("out is not null")).select(

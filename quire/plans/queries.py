@@ -340,16 +340,15 @@ def greedy_chunks(spark: SparkSession, d: str) -> DataFrame:
     return segment.pack_lines(_documents(spark, d), 1000)
 
 
-_MARKDOWN = f"(SELECT doc_id, text FROM documents UNION ALL SELECT -doc_id, text FROM {X.sql_values(X.MARKDOWN, 'doc_id, text')})"
+def _with_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).unionByName(spark.createDataFrame([(-i, t) for i, t in X.MARKDOWN], "doc_id long, text string"))
 
 
-@query()
-def structured_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return segment.chunk_table(_documents(spark, d)).select("doc_id", "chunk_no", "chunk_id", F.sha2("text", 256).alias("source_hash"))
+_MARKDOWN = f"(SELECT doc_id, text FROM documents UNION ALL SELECT -doc_id, text FROM {X.sql_values(X.MARKDOWN, 'doc_id, text')})"
 
 
 # a scan line by line: the block a line belongs to, from the state that the line before leaves behind
-@query(rf"""
+_BLOCK_CTES = rf"""
     WITH RECURSIVE l AS MATERIALIZED (
         SELECT doc_id, i, lines[i] AS line, NOT regexp_matches(lines[i], '\S') AS blank,
                CASE WHEN regexp_matches(lines[i], '^\s*(```|~~~)') THEN 'code_block' WHEN regexp_matches(lines[i], '^#{{1,6}}\s') THEN 'heading' WHEN lines[i] LIKE '>%' THEN 'blockquote'
@@ -366,13 +365,51 @@ def structured_chunks(spark: SparkSession, d: str) -> DataFrame:
                CASE WHEN goes_on THEN f.type WHEN kind <> '' THEN kind ELSE 'paragraph' END
         FROM f JOIN n ON n.doc_id = f.doc_id AND n.i = f.i + 1,
         LATERAL (SELECT f.state NOT IN ('', 'closed') AND CASE f.type WHEN 'code_block' THEN true WHEN 'list' THEN inside OR (blank AND next_inside)
-                        WHEN 'paragraph' THEN kind = '' AND NOT blank ELSE kind = f.type END AS goes_on))
-    SELECT doc_id, type, count(*) AS blocks, CAST(sum(chars) AS BIGINT) AS chars FROM (
-        SELECT f.doc_id, block_no, any_value(f.type) AS type, CASE WHEN bool_and(blank AND f.type = 'paragraph') THEN 0 ELSE length(string_agg(line, chr(10) ORDER BY f.i)) END AS chars
-        FROM f JOIN n ON n.doc_id = f.doc_id AND n.i = f.i GROUP BY f.doc_id, block_no) GROUP BY doc_id, type""")
+                        WHEN 'paragraph' THEN kind = '' AND NOT blank ELSE kind = f.type END AS goes_on)),
+    b AS MATERIALIZED (
+        SELECT f.doc_id, block_no, any_value(f.type) AS type, CASE WHEN bool_and(blank AND f.type = 'paragraph') THEN '' ELSE string_agg(line, chr(10) ORDER BY f.i) END AS text
+        FROM f JOIN n ON n.doc_id = f.doc_id AND n.i = f.i GROUP BY f.doc_id, block_no)"""
+
+
+@query(f"{_BLOCK_CTES} SELECT doc_id, type, count(*) AS blocks, CAST(sum(length(text)) AS BIGINT) AS chars FROM b GROUP BY doc_id, type")
 def blocks(spark: SparkSession, d: str) -> DataFrame:
-    inline = spark.createDataFrame([(-i, t) for i, t in X.MARKDOWN], "doc_id long, text string")
-    return segment.block_table(_documents(spark, d).unionByName(inline)).groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length("text")).alias("chars"))
+    return segment.block_table(_with_markdown(spark, d)).groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length("text")).alias("chars"))
+
+
+# three more scans: where chunks begin, how a block of more than two targets is cut (by paragraphs, else by lines; no fenced
+# block is as long here), and which small pieces join the one before
+@query(rf"""{_BLOCK_CTES},
+    sized AS MATERIALIZED (SELECT *, length(text) AS size, CASE WHEN type = 'heading' THEN length(text) - length(ltrim(text, '#')) ELSE 0 END AS level FROM b),
+    g(doc_id, block_no, seg, held, alone) AS (
+        SELECT doc_id, block_no, 0, size, size > 9000 FROM sized WHERE block_no = 0
+        UNION ALL
+        SELECT s.doc_id, s.block_no, CASE WHEN cut THEN seg + 1 ELSE seg END, CASE WHEN cut THEN s.size ELSE held + s.size END, s.size > 9000
+        FROM g JOIN sized s ON s.doc_id = g.doc_id AND s.block_no = g.block_no + 1,
+        LATERAL (SELECT alone OR s.size > 9000 OR held > least(4500 - s.size, CASE WHEN level = 0 THEN 1e9 WHEN level <= 2 THEN 1125 ELSE 2250 END) AS cut)),
+    segs AS MATERIALIZED (SELECT g.doc_id, seg, bool_or(alone) AS alone, string_agg(text, chr(10) ORDER BY g.block_no) AS text FROM g JOIN sized s ON s.doc_id = g.doc_id AND s.block_no = g.block_no GROUP BY g.doc_id, seg),
+    wide AS (SELECT doc_id, seg, text, list_filter(regexp_split_to_array(text, '\n\n+'), lambda p: regexp_matches(p, '\S')) AS paragraphs FROM segs WHERE alone),
+    items AS MATERIALIZED (SELECT doc_id, seg, unnest(list) AS item, generate_subscripts(list, 1) AS i, gap
+              FROM (SELECT doc_id, seg, CASE WHEN len(paragraphs) > 1 THEN paragraphs ELSE string_split(text, chr(10)) END AS list, CASE WHEN len(paragraphs) > 1 THEN 0 ELSE 1 END AS gap FROM wide)),
+    w(doc_id, seg, i, part, held) AS (
+        SELECT doc_id, seg, 1, 0, length(item) + gap FROM items WHERE i = 1
+        UNION ALL
+        SELECT x.doc_id, x.seg, x.i, CASE WHEN held + length(item) + gap > 4500 THEN part + 1 ELSE part END, CASE WHEN held + length(item) + gap > 4500 THEN length(item) + gap ELSE held + length(item) + gap END
+        FROM w JOIN items x ON x.doc_id = w.doc_id AND x.seg = w.seg AND x.i = w.i + 1),
+    parts AS (
+        SELECT doc_id, seg, 0 AS part, text FROM segs WHERE NOT alone
+        UNION ALL SELECT w.doc_id, w.seg, part, CASE WHEN gap = 0 THEN string_agg(item, chr(10) || chr(10) ORDER BY w.i) ELSE string_agg(item, chr(10) ORDER BY w.i) END
+        FROM w JOIN items x ON x.doc_id = w.doc_id AND x.seg = w.seg AND x.i = w.i GROUP BY w.doc_id, w.seg, part, gap),
+    pieces AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seg, part) AS k, trim(text, chr(10)) AS text, length(trim(text, chr(10))) + 1 AS size FROM parts WHERE regexp_matches(text, '\S')),
+    j(doc_id, k, chunk_no, held) AS (
+        SELECT doc_id, k, CAST(1 AS BIGINT), size FROM pieces WHERE k = 1
+        UNION ALL
+        SELECT p.doc_id, p.k, CASE WHEN fits THEN chunk_no ELSE chunk_no + 1 END, CASE WHEN fits THEN held + 1 + p.size ELSE p.size END
+        FROM j JOIN pieces p ON p.doc_id = j.doc_id AND p.k = j.k + 1, LATERAL (SELECT p.size < 1350 AND held + p.size <= 5850 AS fits))
+    SELECT j.doc_id, CAST(chunk_no AS INT) AS chunk_no, 'chunk' || lpad(CAST(chunk_no AS VARCHAR), CAST(greatest(4, length(CAST(chunk_no AS VARCHAR))) AS INT), '0') AS chunk_id,
+           sha256(string_agg(text, chr(10) || chr(10) ORDER BY j.k) || chr(10)) AS source_hash
+    FROM j JOIN pieces p ON p.doc_id = j.doc_id AND p.k = j.k GROUP BY j.doc_id, chunk_no""")
+def structured_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return segment.chunk_table(_with_markdown(spark, d)).select("doc_id", "chunk_no", "chunk_id", F.sha2("text", 256).alias("source_hash"))
 
 
 @query()
