@@ -92,14 +92,15 @@ class BlindTrie:
         return out
 
 
-def multikey_quicksort(key_at: Callable[[np.ndarray, np.ndarray], np.ndarray], n: int, shallow: int) -> tuple[np.ndarray, np.ndarray]:
+def multikey_quicksort(key_at: Callable[[np.ndarray, int], np.ndarray], n: int, shallow: int) -> tuple[np.ndarray, np.ndarray]:
     """Items 0..n-1 in the order of their first `shallow` characters: (order, where runs of equal items begin).
 
-    key_at(items, depths) gives characters.  All segments are split side by side: each chooses the
-    median of three as its pivot and is parted into smaller, equal and larger characters; the equal
-    part goes one character deeper.
+    key_at(items, depth) gives characters; they travel with their items and are read again only one
+    character deeper.  All segments are split side by side: each chooses the median of three as its
+    pivot and is parted into smaller, equal and larger characters; the equal part goes deeper.
     """
     order, fresh = np.arange(n), np.ones(n, bool)
+    key_of = key_at(order, 0) if n else np.empty(0, np.uint64)
     lo, size, depth = np.zeros(1, np.int64), np.full(1, n, np.int64), np.zeros(1, np.int64)
     fresh[1:] = False
     while True:
@@ -108,20 +109,27 @@ def multikey_quicksort(key_at: Callable[[np.ndarray, np.ndarray], np.ndarray], n
         if not len(lo):
             return order, fresh
         first = np.cumsum(size) - size
-        items = order[expand(lo, size)]
-        key = key_at(items, np.repeat(depth, size))
+        at = expand(lo, size)
+        items, key = order[at], key_of[at]
         a, b, c = key[first], key[first + size // 2], key[first + size - 1]
         pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), size)
-        place, start, parts = np.empty(len(items), np.int64), lo, []
-        for mine, deeper in ((key < pivot, 0), (key == pivot, 1), (key > pivot, 0)):
-            count = np.add.reduceat(mine.astype(np.int64), first)
-            seen = np.cumsum(mine) - mine
-            place[mine] = (np.repeat(start - seen[first], size) + seen)[mine]
-            fresh[start[count > 0]] = True
-            parts.append((start, count, depth + deeper))
-            start = start + count
-        order[place] = items
-        lo, size, depth = (np.concatenate(x) for x in zip(*parts, strict=True))
+        less, same = key < pivot, key == pivot
+        n_less, n_same = np.cumsum(less), np.cumsum(same)
+        less_before, same_before = n_less[first] - less[first], n_same[first] - same[first]
+        less_here, same_here = n_less[first + size - 1] - less_before, n_same[first + size - 1] - same_before
+        mid, high = lo + less_here, lo + less_here + same_here
+        place = np.arange(len(at)) - n_less - n_same + np.repeat(high - first + less_before + same_before, size)
+        np.copyto(place, n_less + np.repeat(lo - less_before - 1, size), where=less)
+        np.copyto(place, n_same + np.repeat(mid - same_before - 1, size), where=same)
+        order[place], key_of[place] = items, key
+        larger = size - less_here - same_here
+        fresh[mid], fresh[high[larger > 0]] = True, True
+        for deeper in range(1, shallow):
+            down = (depth + 1 == deeper) & (same_here > 1)
+            if down.any():
+                there = expand(mid[down], same_here[down])
+                key_of[there] = key_at(order[there], deeper)
+        lo, size, depth = np.concatenate([lo, mid, high]), np.concatenate([less_here, same_here, larger]), np.concatenate([depth, depth + 1, depth])
 
 
 def equal_runs(text: bytes, starts: np.ndarray, window: int = WINDOW, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
@@ -137,16 +145,22 @@ def equal_runs(text: bytes, starts: np.ndarray, window: int = WINDOW, shallow: i
         return order, np.empty(0, np.int64)
     first = np.flatnonzero(fresh)
     size, done = np.diff(np.append(first, len(order))), 8 * shallow
-    for lo, n in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+    many = size > 1
+    # groups lie one after the other in these lists; what the tries say of them is written back at once
+    place = expand(first[many], size[many])
+    held, begins, settled, lengths, at = order[place].tolist(), starts[order[place]].tolist(), [], [], 0
+    for n in size[many].tolist():
         trie = BlindTrie()
-        for item, s in zip(order[lo : lo + n].tolist(), starts[order[lo : lo + n]].tolist(), strict=True):
+        for item, s in zip(held[at : at + n], begins[at : at + n], strict=True):
             trie.add(text[s + done : s + window], item)
-        at = lo
         for same in trie.runs():
-            order[at : at + len(same)] = same
-            fresh[at] = True
-            fresh[at + 1 : at + len(same)] = False
-            at += len(same)
+            settled += same
+            lengths.append(len(same))
+        at += n
+    order[place] = settled
+    lengths = np.array(lengths, np.int64)
+    fresh[place] = False
+    fresh[place[np.cumsum(lengths) - lengths]] = True
     return order, np.cumsum(fresh) - 1
 
 
