@@ -23,6 +23,8 @@ from pyspark.sql.types import MapType, VariantType
 from quire.llm.common import documents, join_groups, stash
 
 SALTS = 16
+#: Equal rows laid out at a time.
+BLOCK = 1 << 16
 
 
 def sha256(text: Column) -> Column:
@@ -40,23 +42,34 @@ def winners(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column], Colu
     return counted.select("digest", "keep_id", "group_size", "variants", F.when(F.col("variants") > 1, F.col("text")).alias("text"))
 
 
+def _one_kept(found: DataFrame, *also: str) -> DataFrame:
+    """found (doc_id, digest, keep_id, group_size, also) with kept: true for one row of a group that has the
+    largest doc_id.  Rows equal in doc_id and text are alike, so they are counted and laid out again."""
+    stay = found.where("doc_id = keep_id").groupBy("digest", "keep_id", "group_size", *also).agg(F.count(F.lit(1)).alias("n"))
+    block = stay.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / F.lit(BLOCK)))).alias("b"))
+    place = F.sequence(F.col("b") * F.lit(BLOCK), F.least("n", (F.col("b") + 1) * F.lit(BLOCK)) - 1)
+    again = block.select(F.col("keep_id").alias("doc_id"), "digest", "keep_id", "group_size", F.explode(place).alias("i")).withColumn("kept", F.col("i") == 0).drop("i")
+    return again.unionByName(found.where("doc_id <> keep_id").select("doc_id", "digest", "keep_id", "group_size", F.lit(False).alias("kept")))
+
+
 def exact_groups(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column], Column] = sha256, least_hot: int = 100_000) -> DataFrame:
     """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical, without any normalisation; null counts as empty and
     the empty text is a text like any other.  Of equal texts the row with the largest
-    doc_id stays; rows equal in doc_id and text too are all marked as kept (see
-    drop_exact_copies for one of them).  A repeated row counts in group_size and is returned
-    each time.  Rows without doc_id are left out; an empty table gives an empty result.
+    doc_id stays; of rows equal in doc_id and text too, one is marked as kept.  A repeated
+    row counts in group_size and is returned each time.  Rows without doc_id are left out;
+    an empty table gives an empty result.
     """
     won = stash(winners(docs, salts, digest))
     rows = documents(docs).withColumn("digest", digest(F.col("text")))
     # a digest of several texts has no winner by itself; none is known for SHA-256, so this part is empty in practice
     twins = won.where("variants > 1")
-    found = join_groups(rows.select("doc_id", "digest"), won.where("variants = 1").drop("text", "variants"), "digest", "group_size", least_hot)
+    met = join_groups(rows.select("doc_id", "digest"), won.where("variants = 1").drop("text", "variants"), "digest", "group_size", least_hot)
+    found = _one_kept(stash(met))
     if not twins.isEmpty():
-        found = found.unionByName(rows.join(twins.drop("variants"), ["digest", "text"]).drop("text"))
-    return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+        found = found.unionByName(_one_kept(stash(rows.join(twins.drop("variants"), ["digest", "text"])), "text"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
 def drop_exact_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:

@@ -76,7 +76,7 @@ ORACLE_SQL = {
         SELECT doc_id,
                max(doc_id) OVER w AS keep_id,
                count(*) OVER w AS group_size,
-               doc_id = max(doc_id) OVER w AS kept,
+               row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC) = 1 AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WHERE doc_id IS NOT NULL
         WINDOW w AS (PARTITION BY coalesce(text, ''))
