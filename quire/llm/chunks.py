@@ -5,7 +5,8 @@ out into chunks by a hash of their id, as compressed blobs; a chunk asks every b
 hash space with one blob of what it holds there and gets one blob of bits back, in the same
 order.  So the shuffles carry a few bytes per anchor and never a row per anchor, a value
 that a third of all documents hold reaches a bucket once per chunk, and each chunk and each
-bucket fits into one task whatever the size of the whole.
+bucket fits into one task whatever the size of the whole.  With many buckets a sender speaks for
+several chunks: it works on them one by one and sends what they have for a bucket in one frame.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 from quire.llm.common import documents, parts_for, text_bytes
 
 _HELD = 32 << 20
-#: Buckets up to which every chunk sends to every bucket.
-FAN = 256
+#: Buckets up to which every sender sends to every bucket, and up to which a sender is one chunk.
+FAN, ALONE = 8192, 256
+#: Chunks that a sender speaks for at most; it holds what they send.
+TOGETHER = 4
 _GROUPS = 1 << 31
 BLOBS = "chunk long, bucket long, kind int, blob binary"
 _BLOB = [("chunk", pa.int64()), ("bucket", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())]
@@ -55,21 +58,21 @@ def blob_table(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, list[tuple[int, bytes]]] = {}
+    held: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
     size = 0
 
     def flush() -> pa.RecordBatch:
         rows = []
-        for chunk, docs in held.items():
+        for (sender, chunk), docs in held.items():
             ids, texts = [i for i, _ in docs], [t for _, t in docs]
-            rows.append((chunk, 0, 0, squeeze(np.array(ids, "<i8"), np.array([len(t) for t in texts], "<i8"), b"".join(texts))))
+            rows.append((sender, chunk, 0, squeeze(np.array(ids, "<i8"), np.array([len(t) for t in texts], "<i8"), b"".join(texts))))
         held.clear()
         return blob_table(rows).combine_chunks().to_batches()[0]
 
     for batch in batches:
-        for chunk, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for sender, chunk, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             data = text.encode()
-            held.setdefault(chunk, []).append((doc_id, data))
+            held.setdefault((sender, chunk), []).append((doc_id, data))
             size += len(data) + 64
             if size > _HELD:
                 yield flush()
@@ -86,21 +89,31 @@ def chunk_size(spark: SparkSession) -> int:
     return min(256 << 20, max(4 << 20, int(number) * {"k": 1 << 10, "": 1 << 20, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}[unit] // 400))
 
 
-def chunked(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
-    """The documents as blobs, partitioned by chunk, and the bytes of all texts."""
+def speaks_for(buckets: int) -> int:
+    """How many chunks a sender speaks for: a frame for a bucket should not get tiny as buckets get many."""
+    return min(TOGETHER, -(-buckets // ALONE))
+
+
+def chunked(docs: DataFrame, chunk_bytes: int, bucket_bytes: int, together: int | None = None) -> tuple[DataFrame, int]:
+    """The documents as blobs, partitioned by sender, and the number of buckets.
+
+    Of a row, `chunk` is the sender and `bucket` the chunk among its `together` ones.
+    """
     rows = documents(docs)
     total = text_bytes(rows)
-    chunks = parts_for(total, chunk_bytes)
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"), "doc_id", "text")
-    return dealt.mapInArrow(_gather, BLOBS).repartition(max(chunks, 6), "chunk"), total
+    chunks, buckets = parts_for(total, chunk_bytes), parts_for(total, bucket_bytes, 6)
+    senders = -(-chunks // (together or speaks_for(buckets)))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(chunks))
+    dealt = rows.select(F.pmod(place, F.lit(senders)).alias("chunk"), place.alias("bucket"), "doc_id", "text")
+    return dealt.mapInArrow(_gather, BLOBS).repartition(max(senders, 6), "chunk"), buckets
 
 
 class Texts:
     """The documents of a chunk in ascending doc_id order."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, blobs: list[bytes]):
         docs = []
-        for blob in table.column("blob").to_pylist():
+        for blob in blobs:
             ids, sizes, data = unsqueeze(blob)
             at = 0
             for doc_id, size in zip(np.frombuffer(ids, "<i8").tolist(), np.frombuffer(sizes, "<i8").tolist(), strict=True):
@@ -111,16 +124,38 @@ class Texts:
         self.texts = [t for _, t in docs]
 
 
-def ask(chunks: DataFrame, question: Callable[[Texts], list[tuple[int, bytes]]]) -> DataFrame:
+def _spoken_for(table: pa.Table) -> Iterator[tuple[int, Texts]]:
+    """The chunks of a sender, one after the other."""
+    blobs: dict[int, list[bytes]] = {}
+    for chunk, blob in zip(table.column("bucket").to_pylist(), table.column("blob").to_pylist(), strict=True):
+        blobs.setdefault(chunk, []).append(blob)
+    for chunk in sorted(blobs):
+        yield chunk, Texts(blobs.pop(chunk))
+
+
+Sent = list[tuple[int, bytes]]
+
+
+def _frames(sender: int, kind: int, sent: Iterator[tuple[int, Sent]]) -> pa.Table:
+    """What the chunks of a sender have for each bucket, as one compressed frame a bucket."""
+    held: dict[int, Sent] = {}
+    for chunk, pairs in sent:
+        for bucket, blob in pairs:
+            held.setdefault(bucket, []).append((chunk, blob))
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return blob_table([(sender, bucket, kind, pack(frame(held.pop(bucket)))) for bucket in sorted(held)])
+
+
+def ask(chunks: DataFrame, question: Callable[[Texts], Sent]) -> DataFrame:
     """question: the (bucket, blob) pairs of a chunk."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return blob_table([(key[0].as_py(), bucket, 1, blob) for bucket, blob in question(Texts(table))])
+        return _frames(key[0].as_py(), 1, ((chunk, question(texts)) for chunk, texts in _spoken_for(table)))
 
     return chunks.groupBy("chunk").applyInArrow(run, BLOBS)
 
 
-# Blobs of many chunks for one bucket, or of one chunk for many buckets, travel in frames.
+# Blobs of many chunks for one bucket, or of one sender for many buckets, travel in frames.
 
 
 def frame(items: list[tuple[int, bytes]]) -> bytes:
@@ -139,13 +174,13 @@ def unframe(data: bytes) -> Iterator[tuple[int, bytes]]:
 
 
 def fan_out(buckets: int, fan: int = FAN) -> int:
-    """To how many places a chunk sends at most: all buckets while they are few, else the square root of
+    """To how many places a sender sends at most: all buckets while they are few, else the square root of
     their number, if that is more."""
     return min(buckets, max(fan, math.isqrt(buckets - 1) + 1))
 
 
 def _by_range(width: int):
-    """Frames a chunk's blobs by ranges of `width` buckets; a chunk's rows are neighbours."""
+    """Frames a sender's blobs by ranges of `width` buckets; a sender's rows are neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,28 +210,33 @@ def _relay(outer: str, inner: str):
 
 
 def answer(asked: DataFrame, buckets: int, reply: Callable[[list[bytes]], list[bytes]], kind: int, fan: int = FAN) -> DataFrame:
-    """reply: one blob for each blob that reached a bucket, in the order given.
+    """reply: one blob for each blob of a chunk that reached a bucket, in the order given.
 
-    While there are no more buckets than a chunk may send to, its blobs go there and back
-    directly.  With more, a chunk sends a frame to each range of buckets; relays, each of a range
-    and a group of chunks, turn frames by chunk into frames by bucket, and back.  So there are
-    about twice (chunks x square root of buckets) rows instead of chunks x buckets.
+    While there are no more buckets than a sender may send to, its frames go there and back
+    directly, so that what is sent is written once.  With more, a sender sends a frame of frames to
+    each range of buckets; relays, each of a range and a group of senders, turn those by sender into
+    those by bucket, and back.  So there are about twice (senders x square root of buckets) rows
+    instead of senders x buckets, but everything is written twice.
     """
     places = fan_out(buckets, fan)
     relayed = places < buckets
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        senders, blobs = table.column("chunk").to_pylist(), table.column("blob").to_pylist()
-        items = [(s, c, b) for s, data in zip(senders, blobs, strict=True) for c, b in (unframe(data) if relayed else [(s, data)])]
+        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+        came, blobs = table.column("chunk").to_pylist(), table.column("blob").to_pylist()
+        items = [(r, s, f) for r, data in zip(came, blobs, strict=True) for s, f in (unframe(data) if relayed else [(r, data)])]
+        del table, blobs
         items.sort(key=lambda i: i[1])
-        replies = zip([s for s, _, _ in items], [c for _, c, _ in items], reply([b for _, _, b in items]), strict=True)
-        bucket = key[0].as_py()
+        senders, asked_here = [(r, s) for r, s, _ in items], [list(unframe(unpack(f))) for _, _, f in items]
+        del items
+        replies, bucket = iter(reply([b for sent in asked_here for _, b in sent])), key[0].as_py()
+        said = [(r, s, pack(frame([(c, next(replies)) for c, _ in sent]))) for (r, s), sent in zip(senders, asked_here, strict=True)]
         if not relayed:
-            return blob_table([(c, bucket, kind, b) for _, c, b in replies])
-        back: dict[int, list[tuple[int, bytes]]] = {}
-        for s, c, b in replies:
-            back.setdefault(s, []).append((c, b))
-        return blob_table([(s, bucket, kind, frame(got)) for s, got in back.items()])
+            return blob_table([(s, bucket, kind, f) for _, s, f in said])
+        back: dict[int, Sent] = {}
+        for r, s, f in said:
+            back.setdefault(r, []).append((s, f))
+        return blob_table([(r, bucket, kind, frame(got)) for r, got in back.items()])
 
     if not relayed:
         return asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, BLOBS)
@@ -206,14 +246,21 @@ def answer(asked: DataFrame, buckets: int, reply: Callable[[list[bytes]], list[b
     return answered.groupBy("chunk").applyInArrow(_relay("bucket", "chunk"), BLOBS)
 
 
-def hear(chunks: DataFrame, replies: DataFrame, then: Callable[[int, Texts, dict[int, dict[int, bytes]]], pa.Table], schema: str, framed: bool = False) -> DataFrame:
-    """then: chunk, its texts and its replies by kind and bucket; framed: replies came by relays."""
-
-    def run(key: tuple[pa.Scalar, ...], texts: pa.Table, got: pa.Table) -> pa.Table:
-        by: dict[int, dict[int, bytes]] = {1: {}, 2: {}}
-        for kind, bucket, blob in zip(*(got.column(c).to_pylist() for c in ("kind", "bucket", "blob")), strict=True):
-            by[kind].update(unframe(blob) if framed else [(bucket, blob)])
-        return then(key[0].as_py(), Texts(texts), by)
+def hear(
+    chunks: DataFrame, replies: DataFrame, then: Callable[[Texts, dict[int, dict[int, bytes]]], Sent | pa.Table], schema: str, framed: bool = False
+) -> DataFrame:
+    """then: a chunk's texts and its replies by kind and bucket; it gives a table of schema, or with
+    BLOBS the pairs of the second question.  framed: replies came by relays."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table, got: pa.Table) -> pa.Table:
+        unpack, by = zstandard.ZstdDecompressor().decompress, {}
+        for kind, bucket, data in zip(*(got.column(c).to_pylist() for c in ("kind", "bucket", "blob")), strict=True):
+            for b, f in unframe(data) if framed else [(bucket, data)]:
+                for chunk, blob in unframe(unpack(f)):
+                    by.setdefault(chunk, {1: {}, 2: {}})[kind][b] = blob
+        del got
+        said = ((chunk, then(texts, by.pop(chunk, {1: {}, 2: {}}))) for chunk, texts in _spoken_for(table))
+        return _frames(key[0].as_py(), 2, said) if schema == BLOBS else pa.concat_tables([rows for _, rows in said])
 
     return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)
 

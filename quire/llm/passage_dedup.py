@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 
 from quire.llm.anchors import _TABLE, mix64
 from quire.llm.chunks import (
-    BLOBS, FAN, Texts, answer, ask, blob_table, chunk_size, chunked, entry_blobs, fan_out, hear, heard_bits,
-    parts_for, reply_shared, split_by_bucket,
+    BLOBS, FAN, Sent, Texts, answer, ask, chunk_size, chunked, entry_blobs, fan_out, hear, heard_bits,
+    reply_shared, split_by_bucket,
 )
 
 WINDOW = 35
@@ -109,11 +109,11 @@ class _Chunk:
 
 
 def _second_question(buckets: int, window: int, period: int, cover: tuple[int, ...]):
-    def run(chunk: int, texts: Texts, replies: dict[int, dict[int, bytes]]) -> pa.Table:
+    def run(texts: Texts, replies: dict[int, dict[int, bytes]]) -> Sent:
         c = _Chunk(texts, buckets, window, period, cover)
         _, _, order, bounds, flat, _ = c.windows(replies[1], window, period, buckets)
         cuts = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
-        return blob_table([(chunk, b, 2, flat[order[lo:hi]].tobytes()) for b, (lo, hi) in enumerate(cuts) if hi > lo])
+        return [(b, flat[order[lo:hi]].tobytes()) for b, (lo, hi) in enumerate(cuts) if hi > lo]
 
     return run
 
@@ -134,7 +134,7 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_te
 
 
 def _cut(buckets: int, window: int, period: int, cover: tuple[int, ...], with_text: bool):
-    def run(chunk: int, texts: Texts, replies: dict[int, dict[int, bytes]]) -> pa.Table:
+    def run(texts: Texts, replies: dict[int, dict[int, bytes]]) -> pa.Table:
         c = _Chunk(texts, buckets, window, period, cover)
         starts, of, order, bounds, flat, times = c.windows(replies[1], window, period, buckets)
         again = times > 1
@@ -164,6 +164,7 @@ def _cut(buckets: int, window: int, period: int, cover: tuple[int, ...], with_te
 def passage_dedup(
     docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER,
     chunk_bytes: int | None = None, with_text: bool = False, fan: int = FAN,
+    together: int | None = None,
 ) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256 (and kept_text).
 
@@ -172,8 +173,7 @@ def passage_dedup(
     input.  Null, empty and blank texts have no words.  Repeated rows are copies of each other.
     """
     chunk_bytes = chunk_bytes or chunk_size(docs.sparkSession)
-    chunks, total = chunked(docs, chunk_bytes)
-    buckets = parts_for(total, chunk_bytes * 3 // 2, 6)
+    chunks, buckets = chunked(docs, chunk_bytes, chunk_bytes * 3 // 2, together)
 
     def first(texts: Texts) -> list[tuple[int, bytes]]:
         c = _Chunk(texts, buckets, window, period, cover)

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.anchors import anchor_runs, mix64
 from quire.llm.chunks import (
-    BLOBS, FAN, Texts, answer, ask, blob_table, chunk_size, chunked, entry_blobs, expand, fan_out, hear, heard_bits,
-    parts_for, reply_shared, split_by_bucket, squeeze, unsqueeze,
+    BLOBS, FAN, Sent, Texts, answer, ask, chunk_size, chunked, entry_blobs, expand, fan_out, frame, hear, heard_bits,
+    reply_shared, split_by_bucket, unframe,
 )
 
 WINDOW = 50
@@ -225,7 +225,7 @@ def _sent(c: _Chunk, p: _Plan, buckets: int, window: int) -> tuple[np.ndarray, n
 
 
 def _second_question(buckets: int, window: int, gram: int):
-    def run(chunk: int, texts: Texts, replies: dict[int, dict[int, bytes]]) -> pa.Table:
+    def run(texts: Texts, replies: dict[int, dict[int, bytes]]) -> Sent:
         c = _Chunk(texts, buckets, window, gram)
         p = _plan(c, replies[1], window)
         block, single = _sent(c, p, buckets, window)
@@ -241,8 +241,8 @@ def _second_question(buckets: int, window: int, gram: int):
             mine = order[bounds[b] : bounds[b + 1]]
             if len(mine):
                 text = b"".join([c.data[slice(*spans[i])] if i < plain else p.windows[i - plain] for i in mine.tolist()])
-                rows.append((chunk, b, 2, squeeze(docs[mine].astype("<i8"), sizes[mine].astype("<u4"), offs[mine].astype(np.uint8), text)))
-        return blob_table(rows)
+                rows.append((b, frame([(0, docs[mine].astype("<i8").tobytes()), (1, sizes[mine].astype("<u4").tobytes()), (2, offs[mine].astype(np.uint8).tobytes()), (3, text)])))
+        return rows
 
     return run
 
@@ -256,11 +256,11 @@ def _reply_windows(window: int, gram: int):
     def run(blobs: list[bytes]) -> list[bytes]:
         docs, sizes, offs, texts, parts = [], [], [], [], []
         for blob in blobs:
-            d, s, o, t = unsqueeze(blob)
+            d, s, o, t = (part for _, part in unframe(blob))
             docs.append(np.frombuffer(d, "<i8"))
             sizes.append(np.frombuffer(s, "<u4").astype(np.int64))
             offs.append(np.frombuffer(o, np.uint8))
-            texts.append(bytes(t))
+            texts.append(t)
             parts.append(len(docs[-1]))
         doc, size, off, text = np.concatenate(docs), np.concatenate(sizes), np.concatenate(offs), b"".join(texts)
         at = np.cumsum(size) - size
@@ -306,7 +306,7 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 
 def _cut(buckets: int, window: int, gram: int, with_text: bool):
-    def run(chunk: int, texts: Texts, replies: dict[int, dict[int, bytes]]) -> pa.Table:
+    def run(texts: Texts, replies: dict[int, dict[int, bytes]]) -> pa.Table:
         c = _Chunk(texts, buckets, window, gram)
         p = _plan(c, replies[1], window)
         block, single = _sent(c, p, buckets, window)
@@ -355,7 +355,7 @@ def _cut(buckets: int, window: int, gram: int, with_text: bool):
 
 def suffix_dedup(
     docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, chunk_bytes: int | None = None, with_text: bool = False,
-    fan: int = FAN,
+    fan: int = FAN, together: int | None = None,
 ) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text).
 
@@ -368,8 +368,7 @@ def suffix_dedup(
     if not gram <= window <= gram + 254:
         raise ValueError("a window is at least a gram and at most 254 bytes longer")
     chunk_bytes = chunk_bytes or chunk_size(docs.sparkSession)
-    chunks, total = chunked(docs, chunk_bytes)
-    buckets = parts_for(total, chunk_bytes * 3 // 2, 6)
+    chunks, buckets = chunked(docs, chunk_bytes, chunk_bytes * 3 // 2, together)
 
     def first(texts: Texts) -> list[tuple[int, bytes]]:
         c = _Chunk(texts, buckets, window, gram)

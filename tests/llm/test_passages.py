@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 
 from quire.llm import chunks, passage_dedup, suffix_dedup
 from quire.llm.anchors import anchor_runs
@@ -78,6 +79,29 @@ def test_relays_change_no_result(spark):
     assert word_rows(passage_dedup.passage_dedup(df, chunk_bytes=500, fan=3)) == brute_words(rows)
 
 
+def test_senders_of_several_chunks_change_no_result(spark):
+    rows = tangled(60)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for fan in (3, 256):
+        assert byte_rows(suffix_dedup.suffix_dedup(df, hot=5, chunk_bytes=500, fan=fan, together=4)) == brute_bytes(rows)
+        assert word_rows(passage_dedup.passage_dedup(df, chunk_bytes=500, fan=fan, together=4)) == brute_words(rows)
+
+
+def test_what_is_sent_is_written_once_at_6_gb(spark):
+    # 10 GB of text, executors of 1,800 MB: no relay writes it a second time, and frames hold several chunks
+    each = (1800 << 20) // 400
+    buckets = chunks.parts_for(10 * 10**9, each * 3 // 2)
+    assert chunks.fan_out(buckets) == buckets and chunks.speaks_for(buckets) == 4 and chunks.speaks_for(256) == 1
+    rows = tangled(60)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt, n = chunks.chunked(df, 500, 750, together=4)
+    sent = chunks.ask(dealt, lambda texts: [(b, b"x" * len(texts.ids)) for b in range(n)]).collect()
+    total = sum(len(t.encode()) for _, t in rows)
+    assert len(sent) <= n * -(-chunks.parts_for(total, 500) // 4)
+    unpack = zstandard.ZstdDecompressor().decompress
+    assert sum(len(b) for r in sent for _, b in chunks.unframe(unpack(r.blob))) == n * len(rows)
+
+
 def test_a_chunk_sends_to_few_places():
     assert [chunks.fan_out(n, 256) for n in (1, 6, 256, 257, 65_536, 65_537, 10**6)] == [1, 6, 256, 256, 256, 257, 1000]
     items = [(5, b"ab"), (-1, b""), (7, b"c" * 9)]
