@@ -102,6 +102,15 @@ def test_what_is_sent_is_written_once_at_6_gb(spark):
     assert sum(len(b) for r in sent for _, b in chunks.unframe(unpack(r.blob))) == n * len(rows)
 
 
+def test_many_buckets_add_no_shuffle(spark):
+    df = spark.createDataFrame(tangled(60), "doc_id long, text string")
+    total = chunks.text_bytes(df)
+    assert chunks.parts_for(total, 45) > 256
+    for run in (suffix_dedup.suffix_dedup, passage_dedup.passage_dedup):
+        few, many = (run(df, chunk_bytes=n)._jdf.queryExecution().executedPlan().toString().count("Exchange") for n in (total, 30))
+        assert few == many
+
+
 def test_a_chunk_sends_to_few_places():
     assert [chunks.fan_out(n, 256) for n in (1, 6, 256, 257, 65_536, 65_537, 10**6)] == [1, 6, 256, 256, 256, 257, 1000]
     items = [(5, b"ab"), (-1, b""), (7, b"c" * 9)]
