@@ -287,7 +287,7 @@ def entry_blobs(entries: np.ndarray, bounds: np.ndarray, counts: np.ndarray) ->
 
 
 def reply_shared(hot: int) -> Callable[[list[bytes]], list[bytes]]:
-    """Two bits per entry: held by more than one chunk; held by about `hot` documents or more."""
+    """Two bits per entry: held by more than one chunk; counted about `hot` times or more by all chunks."""
 
     def run(blobs: list[bytes]) -> list[bytes]:
         sizes = np.array([len(b) // 5 for b in blobs])

@@ -6,8 +6,9 @@ Those windows' text, once per chunk, goes to the bucket of its k-gram (second qu
 A bucket is a small suffix array: windows are put in order by deep-shallow sorting, a
 multikey quicksort on 8-byte characters down to a shallow depth and, for the groups that
 still agree there, blind tries.  A run of equal windows yields its smallest doc_id.
-K-grams of very many documents are sent window by window, to the bucket of the window, so
-that none of them gathers in one bucket.
+K-grams with so many blocks that these alone would fill a bucket are sent window by window, to
+the bucket of the window, so that none of them gathers in one bucket.  That takes some thirteen
+times the bytes, so the bound grows with the buckets.
 """
 
 from __future__ import annotations
@@ -29,11 +30,18 @@ from quire.llm.chunks import (
 )
 
 WINDOW = 50
-GRAM = 16
-HOT = 4096
+#: Shorter k-grams make fewer anchors, but are shared by chance more and more as the text grows.
+GRAM = 20
+#: The least and the usual bound on the blocks that a k-gram sends as blocks: one for so many bytes of a bucket.
+HOT, HOT_EACH = 4096, 256
 SHALLOW = 2
 
 
+def hot_for(bucket_bytes: int) -> int:
+    """From how many blocks on a k-gram is sent window by window."""
+    return max(HOT, bucket_bytes // HOT_EACH)
+
+
 # --- deep-shallow sorting ---
 
 
@@ -183,6 +191,7 @@ class _Chunk:
         entry, doc = self.entry[order], self.doc[order]
         new = np.append(True, (entry[1:] != entry[:-1]) | (doc[1:] != doc[:-1])) if len(order) else np.empty(0, bool)
         self.docs_here = np.bincount(entry[new], minlength=len(self.entries))
+        self.blocks_here = np.bincount(self.entry, minlength=len(self.entries))
         self.place = keys
 
 
@@ -354,7 +363,7 @@ def _cut(buckets: int, window: int, gram: int, with_text: bool):
 
 
 def suffix_dedup(
-    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, chunk_bytes: int | None = None, with_text: bool = False,
+    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int | None = None, chunk_bytes: int | None = None, with_text: bool = False,
     fan: int = FAN, together: int | None = None,
 ) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text).
@@ -368,14 +377,15 @@ def suffix_dedup(
     if not gram <= window <= gram + 254:
         raise ValueError("a window is at least a gram and at most 254 bytes longer")
     chunk_bytes = chunk_bytes or chunk_size(docs.sparkSession)
-    chunks, buckets = chunked(docs, chunk_bytes, chunk_bytes * 3 // 2, together)
+    bucket_bytes = chunk_bytes * 3 // 2
+    chunks, buckets = chunked(docs, chunk_bytes, bucket_bytes, together)
 
     def first(texts: Texts) -> list[tuple[int, bytes]]:
         c = _Chunk(texts, buckets, window, gram)
-        return entry_blobs(c.entries, c.bounds, c.docs_here)
+        return entry_blobs(c.entries, c.bounds, c.blocks_here)
 
     framed = fan_out(buckets, fan) < buckets
-    one = answer(ask(chunks, first), buckets, reply_shared(hot), 1, fan)
+    one = answer(ask(chunks, first), buckets, reply_shared(hot or hot_for(bucket_bytes)), 1, fan)
     asked = hear(chunks, one, _second_question(buckets, window, gram), BLOBS, framed)
     two = answer(asked, buckets, _reply_windows(window, gram), 2, fan)
     done = hear(chunks, one.union(two), _cut(buckets, window, gram, with_text), RESULT, framed)

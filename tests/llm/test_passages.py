@@ -1,4 +1,5 @@
 import hashlib
+import inspect
 import random
 import re
 from collections import Counter
@@ -111,6 +112,48 @@ def test_many_buckets_add_no_shuffle(spark):
         assert few == many
 
 
+class _Docs:
+    def __init__(self, rows):
+        self.ids, self.texts = np.array([i for i, _ in rows], np.int64), [t.encode() for _, t in rows]
+
+
+def second_question(parts, gram, hot, buckets=4):
+    """Bytes that chunks send in op5's second question, and how many windows go one by one."""
+    held = [suffix_dedup._Chunk(p, buckets, 50, gram) for p in parts]
+    asked = [dict(chunks.entry_blobs(c.entries, c.bounds, getattr(c, "blocks_here", c.docs_here))) for c in held]
+    told = [{} for _ in parts]
+    for b in range(buckets):
+        mine = [i for i, a in enumerate(asked) if b in a]
+        for i, blob in zip(mine, chunks.reply_shared(hot)([asked[i][b] for i in mine])):
+            told[i][b] = blob
+    sent = sum(len(blob) for p, t in zip(parts, told) for _, blob in suffix_dedup._second_question(buckets, 50, gram)(p, {1: t, 2: {}}))
+    return sent, sum(len(suffix_dedup._plan(c, t, 50).windows) for c, t in zip(held, told))
+
+
+def test_a_common_passage_is_sent_as_blocks():
+    # in 5,000 documents, two a chunk, as a passage of 6 GB may be: it fills no bucket of the check's executors
+    assert inspect.signature(suffix_dedup.suffix_dedup).parameters["hot"].default is None
+    random.seed(8)
+    word = lambda: "".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    passage = " ".join(word() for _ in range(40))
+    parts = [_Docs([(2 * n + k, f"{word()} {word()} {passage} {word()}") for k in (0, 1)]) for n in range(2500)]
+    hot = suffix_dedup.hot_for((1800 << 20) // 400 * 3 // 2)
+    few, none = second_question(parts, suffix_dedup.GRAM, hot)
+    many, single = second_question(parts, suffix_dedup.GRAM, 4096)
+    assert none == 0 and single > 0 and few < many / 5
+    # a bound there is, whatever the buckets: it grows with them and does not vanish
+    assert suffix_dedup.hot_for(1 << 20) == 4096 and suffix_dedup.hot_for(1 << 30) == 1 << 22
+
+
+def test_grams_common_by_chance_are_not_sent():
+    # words of few syllables: two in a row recur by chance, 50 bytes do not
+    random.seed(9)
+    words = ["".join(random.choice(["the", "on", "tion", "er", "ou", "ea", "ed"]) for _ in range(random.randint(1, 4))) for _ in range(200)]
+    parts = [_Docs([(100 * n + k, " ".join(random.choice(words) for _ in range(200))) for k in range(100)]) for n in range(8)]
+    sent, _ = second_question(parts, suffix_dedup.GRAM, 4096)
+    assert sent < second_question(parts, 16, 4096)[0] / 2
+
+
 def test_a_chunk_sends_to_few_places():
     assert [chunks.fan_out(n, 256) for n in (1, 6, 256, 257, 65_536, 65_537, 10**6)] == [1, 6, 256, 256, 256, 257, 1000]
     items = [(5, b"ab"), (-1, b""), (7, b"c" * 9)]
