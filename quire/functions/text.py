@@ -32,6 +32,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def rounded(c: Column | str, places: int = 3) -> Column:
+    """A number to so many decimals as SQL rounds it, its product with a power of ten to the next whole
+    number.  F.round takes the number as it is written: 323 / 80 is 4.037 here, 4.038 there."""
+    power = F.lit(10.0**places)
+    return F.round(_c(c) * power, 0) / power
+
+
+def written(c: Column | str, places: int = 3) -> Column:
+    """A rounded number without exponent, with one decimal at least."""
+    return replace(_c(c).cast(f"decimal(20,{places})").cast("string"), r"(\.\d+?)0+\z", "$1")
+
+
 def strip(c: Column | str) -> Column:
     """Without white space at either end, Unicode spaces included."""
     return F.btrim(_c(c), F.lit(P.SPACES))

@@ -137,7 +137,7 @@ def domain_stats(docs: DataFrame, wanted: Sequence[Surface], strong: Sequence[st
     found = surface_hits(docs.select("doc_id", "text"), all_of)
     total = lambda hits: F.aggregate(hits, F.lit(0).cast("long"), lambda a, h: a + h["n"])
     strong_hits = F.filter("hits", lambda h: F.lower(h["surface"]).isin(low_strong))
-    per = lambda n: F.round(F.col(n) * 1000 / F.col("word_count"), 3)
+    per = lambda n: T.rounded(F.col(n) * 1000 / F.col("word_count"))
     ranked = F.array_sort(F.transform("hits", lambda h, i: F.struct((-h["n"]).alias("neg"), i.alias("i"), h["surface"].alias("surface"))))
     base = found.select(
         "doc_id",

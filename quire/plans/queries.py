@@ -561,7 +561,7 @@ def retry_selection(spark: SparkSession, d: str) -> DataFrame:
     FROM (SELECT doc_id, chunk_no, CAST(length({strip("src")}) AS DOUBLE) AS s, length({strip("out")}) AS o FROM ({PAIRS_SQL}))""")
 def length_check(spark: SparkSession, d: str) -> DataFrame:
     return pairs(spark, d).select(
-        "doc_id", "chunk_no", F.round(lint.length_ratio(F.col("src"), F.col("out")), 3).alias("ratio"), lint.length_outside(F.col("src"), F.col("out")).alias("outside")
+        "doc_id", "chunk_no", T.rounded(lint.length_ratio(F.col("src"), F.col("out"))).alias("ratio"), lint.length_outside(F.col("src"), F.col("out")).alias("outside")
     )
 
 

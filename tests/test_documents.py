@@ -3,12 +3,14 @@
 import random
 import re
 
+import duckdb
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
 from quire.functions import text as T
-from quire.catalog import QUERIES
+from quire.catalog import ORACLE_SQL, QUERIES
 from quire.operators import assemble, context, dictionary, integrity, lint, phrases, rewrite, segment
 
 
@@ -213,6 +215,23 @@ def test_honorifics(spark):
     assert found("Umar (Radiallahu Anhu: 1)") == 0 and found("Umar (kitab: 123456789 123456789 12) Radiallahu Anhu") == 1
 
 
+def test_ratios_round_as_sql_does(spark, tmp_path):
+    """323 / 80 times 1000 is less than 4037.5, though 4.0375 is how it is written."""
+    sizes = [(80, 323), (80, 641), (160, 646), (80, 325), (16, 1), (400, 97)]
+    rows = [(i, turn, role, "x" * n) for i, pair in enumerate(sizes) for turn, (role, n) in enumerate(zip(("user", "assistant"), pair, strict=True))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    for name in ("length_check", "lint_length", "lint_feedback"):
+        df = QUERIES[name](spark, str(tmp_path))
+        cursor = duck.execute(ORACLE_SQL[name])
+        names = [c[0] for c in cursor.description]
+        assert sorted(map(repr, df.select(*names).collect())) == sorted(repr(Row(**dict(zip(names, r, strict=True)))) for r in cursor.fetchall())
+    shown = {r.doc_id: r.detail for r in QUERIES["lint_length"](spark, str(tmp_path)).where("doc_id < 7").collect()}
+    assert shown == {0: "4.037", 1: "8.012", 2: "4.037", 3: "4.063", 4: "0.063", 5: "0.243"}
+    assert spark.range(1).select(T.written(F.lit(12345678.25)), T.written(F.lit(4.0)), T.written(F.lit(100.0))).first()[:] == ("12345678.25", "4.0", "100.0")
+
+
 def test_rollup(spark):
     pairs = spark.createDataFrame([(1, 1, SRC, OUT), (1, 2, SRC, None), (2, 1, SRC, OUT + "\nNabi ne kaha\n")], "doc_id long, chunk_no int, src string, out string")
     got = {r.doc_id: (r.chunks, r.errors, r.warnings, r.chunks_with_errors, r.failed) for r in lint.summary(lint.lint(pairs), strict=True).collect()}
