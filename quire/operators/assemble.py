@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
 from quire.functions import text as T
+from quire.functions.python import per_text
 from quire.operators import lint
 
 
@@ -54,12 +54,8 @@ def image_tags(text: str) -> tuple[list[str], list[str]]:
 def html_images(c: Column | str) -> Column:
     """struct<sources, bad attribute names> of the img tags of a text."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [image_tags(text or "") for text in batch]
-            yield pd.DataFrame({"sources": [s for s, _ in found], "bad": [b for _, b in found]})
-
-    return F.pandas_udf(run, "sources array<string>, bad array<string>")(F.col(c) if isinstance(c, str) else c)
+    tags = lambda text: dict(zip(("sources", "bad"), image_tags(text), strict=True))
+    return per_text(lambda: tags, "sources array<string>, bad array<string>", c, null="")
 
 
 def image_parity(pairs: DataFrame) -> DataFrame:

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.functions.python import per_text
 from quire.operators import segment
 from quire.sources import extract
 
@@ -104,19 +104,15 @@ class _Markdown(HTMLParser):
 def html_to_markdown(c: Column | str) -> Column:
     """struct<text, title, author> of a page."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for page in batch:
-                p = _Markdown()
-                p.feed(page or "")
-                p.close()
-                p.flush()
-                text = re.sub(r"\n{3,}", "\n\n", "\n\n".join(p.blocks))
-                rows.append((text + "\n" if text else "", " ".join("".join(p.title).split()) or None, p.meta.get("author")))
-            yield pd.DataFrame(rows, columns=["text", "title", "author"])
-
-    return F.pandas_udf(run, "text string, title string, author string")(F.col(c) if isinstance(c, str) else c)
+    def read(page: str) -> dict:
+        p = _Markdown()
+        p.feed(page)
+        p.close()
+        p.flush()
+        text = re.sub(r"\n{3,}", "\n\n", "\n\n".join(p.blocks))
+        return {"text": text + "\n" if text else "", "title": " ".join("".join(p.title).split()) or None, "author": p.meta.get("author")}
+
+    return per_text(lambda: read, "text string, title string, author string", c, null="")
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:

@@ -2,14 +2,18 @@
 
 import random
 import re
+import tracemalloc
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from quire.functions import patterns as P
 from quire.functions import text as T
+from quire.functions.python import in_parts
 from quire.catalog import ORACLE_SQL, QUERIES
 from quire.operators import assemble, context, dictionary, integrity, lint, phrases, rewrite, segment
 
@@ -276,6 +280,43 @@ def test_prose_is_what_fences_leave(spark):
         assert (got.kept, got.fences) == (want, fences), text
 
 
+def test_texts_reach_python_one_by_one():
+    """Neither the texts of a batch nor their results are held as objects together."""
+    batch = pa.array([f"{i:05}" + "x" * 4000 for i in range(4000)] + [None, ""])
+    seen, given = [], 0
+    tracemalloc.start()
+    for part in in_parts(lambda t: seen.append(t[:5]) or [t, t], iter([batch, batch[:3], batch[:0]]), pa.list_(pa.string())):
+        assert len(part) <= 256 and len(seen) - given <= 256
+        given += len(part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # the texts are 16 MB, their results twice as much
+    assert peak < 4e6 and given == 4005
+    got = [x for part in in_parts(lambda t: t + "!", iter([pa.array(["a", None, ""]), pa.array(["b"])]), pa.string()) for x in part.to_pylist()]
+    assert got == ["a!", None, "!", "b!"]
+    assert next(in_parts(len, iter([pa.array([None], pa.string())]), pa.int64(), "")).to_pylist() == [0]
+    assert [len(x) for x in in_parts(len, iter([pa.array(["x" * (1 << 20)] * 3)]), pa.int64())] == [1, 1, 1]
+
+
+@pytest.mark.parametrize("name", ["structured_chunks", "page_spine", "top_terms_per_doc", "term_tables", "domain_decision", "blocks", "reflowed", "html_to_markdown", "spelling_fixes", "arabic_wrap"])
+def test_no_query_makes_a_batch_of_texts_a_series(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    kinds = re.findall(r"EvalPython .*\], (\d+)$", plan, re.M)
+    assert kinds and set(kinds) == {str(PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF)}
+
+
+def test_python_columns_keep_their_values(spark):
+    """Over more rows than leave at once, nulls and empty texts among them."""
+    texts = [None, "", "the cat. 12", "# A\n\n- b"] * 300
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    hits = {r.doc_id: [tuple(h) for h in r.hits] for r in dictionary.surface_hits(docs, [(1, "cat"), (2, "the cat")]).collect()}
+    assert hits == {i: [(1, "cat", 1), (2, "the cat", 1)] if t == "the cat. 12" else [] for i, t in enumerate(texts)}
+    spine = {r.doc_id: r.x for r in docs.select("doc_id", segment.strip_page_numbers("text").alias("x")).collect()}
+    assert spine == dict(enumerate(texts))
+    chunks = {r.doc_id: r.text for r in segment.chunk_table(docs).collect()}
+    assert chunks == {i: t + "\n" for i, t in enumerate(texts) if t}
+
+
 def test_plans_work_out_each_text_once(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
