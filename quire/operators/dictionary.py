@@ -11,14 +11,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
 from quire.functions import text as T
+from quire.functions.python import per_text
 
 TERM_SCHEMA = (
     "term_id int, source string, aliases array<string>, target string, category string, honorific string, "
@@ -102,12 +102,11 @@ def surface_hits(docs: DataFrame, wanted: Sequence[Surface], text: str = "text")
     if not wanted:
         return docs.withColumn("hits", F.array().cast(kind))
 
-    def match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def match():
         matcher = Matcher(wanted)
-        for batch in batches:
-            yield pd.Series([[{"term_id": wanted[i][0], "surface": wanted[i][1], "n": n} for i, n in matcher.counts(t or "")] for t in batch], dtype=object)
+        return lambda t: [{"term_id": wanted[i][0], "surface": wanted[i][1], "n": n} for i, n in matcher.counts(t)]
 
-    return docs.withColumn("hits", F.pandas_udf(match, kind)(F.col(text)))
+    return docs.withColumn("hits", per_text(match, kind, text, null=""))
 
 
 def term_hits(docs: DataFrame, wanted: Sequence[Surface], key: str = "doc_id") -> DataFrame:
